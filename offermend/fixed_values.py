@@ -362,3 +362,17 @@ OFFER_ALIASES = {
     "weight": ["weight", "greutate", "weight_kg", "greutate_kg"],
     "warranty": ["warranty", "garantie", "garanție", "garantie_luni", "warranty_months"],
 }
+
+# ---------------------------------------------------------------- result texts (fixed values)
+
+NO_VALUES_REASON = "Fără valori permise definite pentru această categorie"
+MODEL_MISS_REASON = "Detectie automată și AI nu au găsit o valoare validă în titlu/descriere"
+RULE_MISS_REASON = "Keywords nedetectate în titlu/descriere (AI dezactivat)"
+CATEGORY_TIMEOUT_REASON = (
+    "AI timeout — modelul nu a raspuns la timp. Mareste OLLAMA_TIMEOUT in .env sau foloseste un model mai rapid."
+)
+CATEGORY_UNKNOWN_REASON = ("AI a sugerat '", "' dar nu există în lista marketplace-ului")
+CATEGORY_NULL_REASON = "AI a returnat null — categoria nu a putut fi determinată din titlu"
+CATEGORY_OFF_REASON = "AI dezactivat — categoria nu a putut fi determinată automat"
+TIMEOUT_MARK = "__timeout__"
+NO_CATEGORY_LABEL = "(fara categorie)"

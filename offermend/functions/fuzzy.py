@@ -19,6 +19,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offermend.functions import ship_by_value
+
+ship_by_value(__name__)
+
 # ---------------------------------------------------------------- pair scores
 
 
@@ -197,36 +201,48 @@ def _chunks(rows: DataFrame, group: list[str], item: list[str], name: str) -> Da
     )
 
 
-def _top_of_block(k: int):
-    schema = "array<struct<query:string,value:string,score:double>>"
+def _top_of_block(k: int, bonus: float, floor: float):
+    fields = [T.StructField("query", T.StringType()), T.StructField("value", T.StringType()),
+              T.StructField("score", T.DoubleType()), T.StructField("synonym", T.BooleanType())]
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(T.ArrayType(T.StructType(fields)))
     def top(queries: pd.Series, values: pd.Series) -> pd.Series:
         out = []
         for qs, vs in zip(queries, values):
             block = []
             for q in qs:
-                scored = sorted(
-                    ((token_score(q["query_norm"], v["value_norm"]), v["value"]) for v in vs),
-                    key=lambda x: (-x[0], len(x[1]), x[1]),
-                )
-                block.extend({"query": q["query"], "value": v, "score": s} for s, v in scored[:k])
+                scored = []
+                for v in vs:
+                    score = token_score(q["query_norm"], v["value_norm"])
+                    synonym = q["cluster"] is not None and q["cluster"] in v["clusters"]
+                    if synonym:
+                        score = max(min(score + bonus, 1.0), floor)
+                    scored.append((-score, len(v["value"]), v["value"], synonym))
+                scored.sort()
+                block.extend({"query": q["query"], "value": v, "score": -s, "synonym": syn} for s, _, v, syn in scored[:k])
             out.append(block)
         return pd.Series(out)
 
     return top
 
 
-def rank_candidates(queries: DataFrame, candidates: DataFrame, group: list[str], k: int) -> DataFrame:
+def rank_candidates(
+    queries: DataFrame, candidates: DataFrame, group: list[str], k: int, bonus: float = 0.0, floor: float = 0.0
+) -> DataFrame:
     """The k best candidates per query by token score, then length, then text.
 
-    ``queries``: group, query, query_norm. ``candidates``: group, value, value_norm.
-    Result: group, query, value, score, rank.
+    ``queries``: group, query, query_norm and optionally ``cluster``; ``candidates``: group, value,
+    value_norm and optionally ``clusters``. A candidate of the query's cluster scores
+    ``max(min(score + bonus, 1), floor)``. Result: group, query, value, score, synonym, rank.
     """
-    blocks = _chunks(queries, group, ["query", "query_norm"], "_qs").join(
-        _chunks(candidates, group, ["value", "value_norm"], "_vs"), group
+    if "cluster" not in queries.columns:
+        queries = queries.withColumn("cluster", F.lit(None).cast("string"))
+    if "clusters" not in candidates.columns:
+        candidates = candidates.withColumn("clusters", F.array().cast("array<string>"))
+    blocks = _chunks(queries, group, ["query", "query_norm", "cluster"], "_qs").join(
+        _chunks(candidates, group, ["value", "value_norm", "clusters"], "_vs"), group
     )
-    top = _top_of_block(k)
+    top = _top_of_block(k, bonus, floor)
     found = blocks.select(*group, F.explode(top("_qs", "_vs")).alias("_t")).select(*group, "_t.*")
     order = W.partitionBy(*group, "query").orderBy(F.desc("score"), F.length("value"), "value")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -9,8 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offermend.functions import ship_by_value
 from offermend.functions.text import _col, collapse_spaces
 
+ship_by_value(__name__)
+
 # elements whose content is not shown
 HIDDEN = ("script", "style", "template")
 

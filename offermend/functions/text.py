@@ -23,6 +23,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` computed once, for expressions that mention their input many times."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def _code_point_class(keep) -> str:
     """Java character class of all code points for which ``keep`` holds, as ranges."""
     parts, start, last = [], None, None
@@ -103,8 +108,7 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def to_number(c: Column | str) -> Column:
     """Double for a plain decimal text, else null (no type suffixes, no infinities)."""
-    c = strip(_col(c))
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return bound(strip(_col(c)), lambda s: F.when(s.rlike(NUMBER), s.try_cast("double")))
 
 
 def norm_id(c: Column | str) -> Column:
@@ -141,6 +145,10 @@ def _drop_zeros(c: Column) -> Column:
 
 def compact_number(x: Column) -> Column:
     """Six significant digits without trailing zeros; exponent form outside 1e-4 .. 1e6."""
+    return bound(x, _compact_number)
+
+
+def _compact_number(x: Column) -> Column:
     size = F.abs(x)
     out = F.when(size == 0, F.lit("0"))
     for limit, digits in ((1e-3, 9), (1e-2, 8), (1e-1, 7), (1.0, 6), (1e1, 5), (1e2, 4), (1e3, 3), (1e4, 2), (1e5, 1)):
@@ -156,7 +164,7 @@ def compact_number(x: Column) -> Column:
 def size_format(c: Column | str) -> Column:
     """``42,5`` to ``42.5 EU`` for a size between 1 and 200, else null."""
     number = to_number(F.replace(_col(c), F.lit(","), F.lit(".")))
-    return F.when(number.between(1, 200), F.concat(compact_number(number), F.lit(" EU")))
+    return bound(number, lambda n: F.when(n.between(1, 200), F.concat(_compact_number(n), F.lit(" EU"))))
 
 
 def word_pattern(*words: str) -> str:

@@ -6,13 +6,14 @@ which concept feeds which attribute is one row per category, joined once.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offermend import fixed_values as V
-from offermend.functions.text import norm_char_name, size_format, size_from_title, strip, word_match
+from offermend.functions.text import WORD, norm_char_name, size_format, size_from_title, strip, to_number, word_pattern
 from offermend.operators.indexes import ReferenceIndex
 
 
@@ -63,103 +64,183 @@ def applicable_concepts(index: ReferenceIndex, names: DataFrame) -> DataFrame:
     )
 
 
-def concept_maps(index: ReferenceIndex, names: DataFrame) -> DataFrame:
-    """cat -> map concept -> attribute (at most one entry per concept)."""
-    return applicable_concepts(index, names).groupBy("cat").agg(
-        F.map_from_entries(F.collect_list(F.struct("concept", "attribute"))).alias("concepts")
+def resolve_rules(
+    index: ReferenceIndex, concepts: DataFrame, rules: list[Rule], fuzzy: bool = True, gated: bool = False
+) -> DataFrame:
+    """cat -> sorted array of (concept, step, rule, attribute, value): what each rule yields there.
+
+    Rules name a fixed set of values, so their lists are consulted once per category and rule and
+    not once per offer. A list holds at most one entry per rule. ``gated`` gives values as they
+    leave the validation gate: free text takes the spelling other categories list.
+    """
+    from offermend.operators.matching import KEY, match_values
+
+    spark = concepts.sparkSession
+    table = spark.createDataFrame(
+        [(i, r.concept, r.step, r.value, r.mode) for i, r in enumerate(rules)],
+        "rule int, concept string, step int, value_input string, mode string",
+    )
+    asked = concepts.join(F.broadcast(table), "concept").withColumnRenamed("attribute", "char_input")
+    free = F.col("concept").isin(*V.FREEFORM_CONCEPTS) & ~F.col("has_values")
+    value = (
+        F.when(F.col("mode") == "exact", F.when(F.col("exact_hit"), F.col("value_input")))
+        .when(F.col("mode") == "lower", F.col("lower_value"))
+        .otherwise(F.coalesce("found", F.when(free, F.coalesce("fallback", "value_input") if gated else F.col("value_input"))))
+    )
+    entry = F.struct("concept", "step", "rule", F.col("char_input").alias("attribute"), "value")
+    return (
+        asked.join(match_values(asked, index, fuzzy), KEY)
+        .withColumn("value", value)
+        .where(F.col("value").isNotNull())
+        .groupBy("cat")
+        .agg(F.sort_array(F.collect_list(entry)).alias("rules"))
     )
 
 
-PROPOSAL = "struct<concept:string,step:int,attribute:string,value:string,mode:string>"
+def _is_token(word: str) -> bool:
+    return re.fullmatch(r"\w+", word) is not None
 
 
-def _proposal(concept: str, step: int, value: Column, mode: str, fires: Column) -> Column:
-    attribute = F.element_at("concepts", F.lit(concept))
-    return F.when(
-        attribute.isNotNull() & F.coalesce(fires, F.lit(False)),
-        F.struct(
-            F.lit(concept).alias("concept"), F.lit(step).alias("step"), attribute.alias("attribute"),
-            value.alias("value"), F.lit(mode).alias("mode"),
-        ),
-    )
+def words_present(text: Column, words: list[str]) -> Column:
+    """Those of the words that stand in the lower-cased text as whole words.
 
+    Single words are found by one set intersection with the text's tokens, phrases by search.
+    """
+    tokens = F.split(text, f"[^{WORD}]+")
+    singles = [w for w in words if _is_token(w)]
+    found = [F.array_intersect(tokens, F.array(*[F.lit(w) for w in singles]))] if singles else []
+    phrases = [w for w in words if not _is_token(w)]
+    if phrases:
+        found.append(
+            F.array_compact(F.array(*[F.when(text.contains(w) & text.rlike(word_pattern(w)), F.lit(w)) for w in phrases]))
+        )
+    return F.concat(*found) if found else F.array().cast("array<string>")
 
-def proposals_column(rules: list[Rule], title: Column, text: Column) -> Column:
-    """All proposals of an offer row that carries ``concepts``; ``text`` is the visible description."""
-    title = F.coalesce(title, F.lit(""))
-    text = F.coalesce(text, F.lit(""))
-    both = F.concat(title, F.lit(" "), text)
-    out = []
-    by_words: dict[tuple, list[Rule]] = {}
-    for rule in rules:
-        by_words.setdefault((rule.concept, rule.words, rule.unless), []).append(rule)
-    for (concept, words, unless), group in by_words.items():
-        subject = title if concept in V.TITLE_CONCEPTS else both
-        fires = word_match(subject, *words) if words else F.lit(True)
-        if unless:
-            fires = fires & ~word_match(subject, *unless)
-        if len(group) == 1:
-            rule = group[0]
-            out.append(F.array(_proposal(concept, rule.step, F.lit(rule.value), rule.mode, fires)))
-        else:
-            # several spellings behind one test: the words are searched once
-            spellings = F.array(*[_proposal(concept, r.step, F.lit(r.value), r.mode, F.lit(True)) for r in group])
-            out.append(F.when(fires, spellings).otherwise(F.array().cast(f"array<{PROPOSAL}>")))
-    size = size_from_title(title)
-    leading = F.nullif(F.regexp_extract(size, r"^([0-9]+(?:[,.][0-9]+)?)", 1), F.lit(""))
-    # the whole tail, then its leading number; "size" rows also carry their free-text form
-    out.append(F.array(_proposal("size", 0, size, "valid", size.isNotNull())))
-    out.append(F.array(_proposal("size", 1, leading, "valid", leading.isNotNull())))
-    out.append(F.array(_proposal("size", 2, size_format(leading), "free", size_format(leading).isNotNull())))
-    plain = F.coalesce(
-        size_format(size),
-        F.when(~F.replace(size, F.lit(","), F.lit(".")).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), size),
-    )
-    out.append(F.array(_proposal("size", 3, plain, "free", plain.isNotNull())))
-    for step, pattern in enumerate(V.AGE_PATTERNS):
-        age = strip(F.regexp_extract(F.lower(text), f"({pattern})", 1))
-        out.append(F.array(_proposal("age", step, age, "exact", age != "")))
-    return F.array_compact(F.flatten(F.array(*out)))
 
+def fired_rules(rules: list[Rule], title: Column, text: Column) -> Column:
+    """Numbers of the rules whose words stand in the offer."""
 
-def propose(offers: DataFrame, concepts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Long proposals (offer_id, cat, concept, step, char_input, value_input, mode).
+    def fired(subset: list[tuple[int, Rule]], subject: Column) -> Column:
+        words = sorted({w for _, r in subset for w in r.words + r.unless})
+        numbers = F.create_map(
+            *[
+                part
+                for w in words
+                for part in (F.lit(w), F.array(*[F.lit(i) for i, r in subset if w in r.words]).cast("array<int>"))
+            ]
+        )
+        always = F.array(*[F.lit(i) for i, r in subset if not r.words]).cast("array<int>")
+        blocked = [(i, F.array(*[F.lit(w) for w in r.unless])) for i, r in subset if r.unless]
 
-    ``offers``: offer_id, cat, title, visible (description text). Attributes already filled are
-    left out if ``offers`` has a ``filled`` array of names.
-    """
-    rules = rules or builtin_rules()
-    rows = offers.join(concepts, "cat").withColumn("_p", F.explode(proposals_column(rules, F.col("title"), F.col("visible"))))
-    if "filled" in offers.columns:
-        rows = rows.where(~F.array_contains("filled", F.col("_p.attribute")))
-    return rows.select(
-        "offer_id", "cat", "_p.concept", "_p.step", F.col("_p.attribute").alias("char_input"),
-        F.col("_p.value").alias("value_input"), "_p.mode",
+        def of_words(present: Column) -> Column:
+            out = F.concat(always, F.flatten(F.transform(present, lambda w: F.element_at(numbers, w))))
+            for number, unless in blocked:
+                out = F.when(F.arrays_overlap(unless, present), F.array_remove(out, number)).otherwise(out)
+            return out
+
+        # bound once per row: the words found are an argument, not searched again per use
+        return F.flatten(F.transform(F.array(words_present(subject, words)), of_words))
+
+    read_title = [(i, r) for i, r in enumerate(rules) if r.concept in V.TITLE_CONCEPTS]
+    read_both = [(i, r) for i, r in enumerate(rules) if r.concept not in V.TITLE_CONCEPTS]
+    return F.concat(*[fired(part, subject) for part, subject in ((read_title, title), (read_both, text)) if part])
+
+
+def detect_by_words(offers: DataFrame, resolved: DataFrame, rules: list[Rule]) -> DataFrame:
+    """offers (cat, title, visible, ...) with ``detected``: array of (concept, step, rule, attribute,
+    value), the first accepted rule per concept. No shuffle when the per-category lists broadcast."""
+    lowered = offers.withColumn("_title", F.lower(F.coalesce("title", F.lit("")))).withColumn(
+        "_text", F.concat("_title", F.lit(" "), F.lower(F.coalesce("visible", F.lit(""))))
+    )
+    fired = lowered.withColumn("_fired", fired_rules(rules, F.col("_title"), F.col("_text")))
+    hits = fired.join(resolved, "cat", "left").withColumn(
+        "_hits", F.filter("rules", lambda r: F.array_contains(F.col("_fired"), r["rule"]))
+    )
+    first = F.filter("_hits", lambda r, i: (i == 0) | (F.get("_hits", i - 1)["concept"] != r["concept"]))
+    return hits.withColumn("detected", F.coalesce(first, F.array().cast(first_type()))).drop(
+        "_title", "_text", "_fired", "_hits", "rules"
     )
 
 
-def proposal_value() -> Column:
-    """Value a matched proposal yields, null if its list does not take it."""
-    free = F.col("concept").isin(*V.FREEFORM_CONCEPTS) & ~F.col("has_values")
+def first_type() -> str:
+    return "array<struct<concept:string,step:int,rule:int,attribute:string,value:string>>"
+
+
+def size_and_age(offers: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Proposals whose value comes from the text itself (offer_id, cat, concept, step, char_input,
+    value_input, mode): the title's size in up to four forms and an age range of the description."""
+    text = F.lower(F.coalesce("visible", F.lit("")))
+    offers = offers.select(
+        "offer_id", "cat", text.alias("_text"), size_from_title(F.coalesce("title", F.lit(""))).alias("_size")
+    ).withColumn("_lead", F.nullif(F.regexp_extract("_size", r"^([0-9]+(?:[,.][0-9]+)?)", 1), F.lit("")))
+    text, size, leading = F.col("_text"), F.col("_size"), F.col("_lead")
+    # free forms apply only to an attribute without a list
+    words_only = F.when(to_number(F.replace(size, F.lit(","), F.lit("."))).isNull(), size)
+    forms = [
+        ("size", 0, "valid", size),
+        ("size", 1, "valid", leading),
+        ("size", 2, "free", size_format(leading)),
+        ("size", 3, "free", F.coalesce(size_format(size), words_only)),
+    ]
+    forms += [
+        ("age", step, "exact", F.nullif(strip(F.regexp_extract(text, f"({pattern})", 1)), F.lit("")))
+        for step, pattern in enumerate(V.AGE_PATTERNS)
+    ]
+    wide = offers.select(
+        "offer_id", "cat",
+        F.explode(
+            F.filter(
+                F.array(*[
+                    F.struct(F.lit(c).alias("concept"), F.lit(s).alias("step"), F.lit(m).alias("mode"), v.alias("value_input"))
+                    for c, s, m, v in forms
+                ]),
+                lambda f: f["value_input"].isNotNull(),
+            )
+        ).alias("f"),
+    ).select("offer_id", "cat", "f.*")
+    fed = concepts.where(F.col("concept").isin("size", "age")).select("cat", "concept", F.col("attribute").alias("char_input"))
+    return wide.join(fed, ["cat", "concept"])
+
+
+def size_and_age_value() -> Column:
+    """Value a matched text proposal yields, null if its list does not take it."""
     return (
         F.when(F.col("mode") == "exact", F.when(F.col("exact_hit"), F.col("value_input")))
-        .when(F.col("mode") == "lower", F.col("lower_value"))
         .when(F.col("mode") == "free", F.when(~F.col("has_values"), F.col("value_input")))
-        .otherwise(F.coalesce("found", F.when(free, F.col("value_input"))))
+        .otherwise(F.col("found"))
     )
 
 
-def detect(offers: DataFrame, index: ReferenceIndex, names: DataFrame, rules: list[Rule] | None = None, fuzzy: bool = True) -> DataFrame:
-    """(offer_id, cat, concept, char_name, value): the first proposal per concept a list accepts."""
+def detect(
+    offers: DataFrame, index: ReferenceIndex, names: DataFrame, rules: list[Rule] | None = None, fuzzy: bool = True
+) -> DataFrame:
+    """(offer_id, cat, concept, char_name, value): the first proposal per concept its list accepts.
+
+    ``offers``: offer_id, cat, title, visible (description text). An optional ``filled`` array names
+    attributes that already have a value; they are left alone.
+    """
     from offermend.operators.matching import KEY, match_values
 
-    proposed = propose(offers, concept_maps(index, names), rules)
-    matched = proposed.join(match_values(proposed, index, fuzzy), KEY, "left").withColumn("value", proposal_value())
-    return (
-        matched.where(F.col("value").isNotNull())
+    rules = rules or builtin_rules()
+    concepts = applicable_concepts(index, names)
+    by_words = (
+        detect_by_words(offers, resolve_rules(index, concepts, rules, fuzzy), rules)
+        .select("offer_id", "cat", F.explode("detected").alias("d"))
+        .select("offer_id", "cat", "d.concept", F.col("d.attribute").alias("char_name"), "d.value")
+    )
+    read = size_and_age(offers, concepts)
+    by_text = (
+        read.join(match_values(read, index, fuzzy), KEY)
+        .withColumn("value", size_and_age_value())
+        .where(F.col("value").isNotNull())
         .groupBy("offer_id", "cat", "concept", F.col("char_input").alias("char_name"))
         .agg(F.min_by("value", "step").alias("value"))
     )
+    found = by_words.unionByName(by_text)
+    if "filled" in offers.columns:
+        filled = offers.select("offer_id", F.explode("filled").alias("char_name"))
+        found = found.join(filled, ["offer_id", "char_name"], "left_anti")
+    return found
 
 
 # ---------------------------------------------------------------- category rules

@@ -177,26 +177,36 @@ class ReferenceIndex:
     char_names: DataFrame
     chars: DataFrame
     values: DataFrame
+    lookup: DataFrame
 
     @classmethod
     def build(cls, categories, characteristics, values, prefer_most_chars: bool = False) -> "ReferenceIndex":
         names = category_index(categories, characteristics, prefer_most_chars)
         attributes = _attributes(categories, characteristics)
+        listed = value_index(categories, attributes, values)
+        from offermend.operators.matching import value_lookup
+
         return cls(
             categories=names.select("category_name", "cat", "position"),
             category_keys=category_key_index(names),
             attributes=attributes,
             char_names=char_names_index(attributes),
             chars=char_index(attributes),
-            values=value_index(categories, attributes, values),
+            values=listed,
+            lookup=value_lookup(listed),
         )
 
+    def frames(self) -> list[DataFrame]:
+        return [
+            self.categories, self.category_keys, self.attributes, self.char_names, self.chars, self.values, self.lookup
+        ]
+
     def persist(self) -> "ReferenceIndex":
         """Keep the derived tables for a run that joins them several times."""
-        for frame in (self.categories, self.category_keys, self.attributes, self.char_names, self.chars, self.values):
+        for frame in self.frames():
             frame.persist()
         return self
 
     def unpersist(self) -> None:
-        for frame in (self.categories, self.category_keys, self.attributes, self.char_names, self.chars, self.values):
+        for frame in self.frames():
             frame.unpersist()

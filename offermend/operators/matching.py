@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from offermend import fixed_values as V
 from offermend.functions.fuzzy import closest
 from offermend.functions.text import compact_number, norm_char_name, norm_text, strip, to_number
-from offermend.operators.indexes import ReferenceIndex, marketplace_value_index, value_norm_index
+from offermend.operators.indexes import ReferenceIndex, value_norm_index
+from offermend.session import staged
 
 
 # ---------------------------------------------------------------- categories
@@ -87,12 +88,18 @@ def has_char(pairs: DataFrame, index: ReferenceIndex) -> DataFrame:
 
 # ---------------------------------------------------------------- values
 
-_EXACT_TIERS = 7
-_NORM_TIER, _LOWER_TIER = 8, 20
+_NORM_TIER, _LOWER_TIER, _LIST_TIER = 8, 20, 30
+_SAME_TIER, _TWIN_TIER = 40, 41
+ANY_CATEGORY = "*"
 
 
-def _value_forms(value: Column) -> Column:
-    """Ordered spellings under which a value may stand in a list, as (kind, tier, text)."""
+def _forms(value: Column, cat: Column, name: Column, key: Column) -> Column:
+    """Everything to look up for one value, as (scope, name, kind, tier, text).
+
+    Tiers 1-7 are the ordered spellings under which a value may stand in its list, 8 its normalised
+    form, 20 its lower-case form, 30 asks whether the list has values at all, 40 and 41 look the
+    value up for the attribute in any category.
+    """
     s = strip(value)
     dotted = F.replace(s, F.lit(","), F.lit("."))
     number = to_number(dotted)
@@ -105,24 +112,42 @@ def _value_forms(value: Column) -> Column:
         F.concat(dotted, F.lit(" EU")),
         F.when(number.isNotNull(), F.concat(compact_number(number), F.lit(" EU"))),
     ]
-    forms = [
-        F.struct(F.lit("value").alias("kind"), F.lit(tier).alias("tier"), text.alias("text"))
-        for tier, text in enumerate(texts, 1)
-    ]
-    forms.append(F.struct(F.lit("norm").alias("kind"), F.lit(_NORM_TIER).alias("tier"), norm_text(s).alias("text")))
-    forms.append(F.struct(F.lit("lower").alias("kind"), F.lit(_LOWER_TIER).alias("tier"), F.lower(s).alias("text")))
-    return F.array(*forms)
-
-
-def _value_lookup(values: DataFrame) -> DataFrame:
-    """(cat, char_name, kind, text) -> value, unique per key."""
-    exact = values.select("cat", "char_name", F.lit("value").alias("kind"), F.col("value").alias("text"), "value")
-    norm = value_norm_index(values).select("cat", "char_name", F.lit("norm").alias("kind"), F.col("value_norm").alias("text"), "value")
-    lower = (
-        values.groupBy("cat", "char_name", "value_lower").agg(F.min("value").alias("value"))
-        .select("cat", "char_name", F.lit("lower").alias("kind"), F.col("value_lower").alias("text"), "value")
+
+    def form(scope: Column, of: Column, kind: str, tier: int, text: Column) -> Column:
+        return F.struct(
+            scope.alias("scope"), of.alias("name"), F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), text.alias("text")
+        )
+
+    forms = [form(cat, name, "value", tier, text) for tier, text in enumerate(texts, 1)]
+    forms.append(form(cat, name, "norm", _NORM_TIER, norm_text(s)))
+    forms.append(form(cat, name, "lower", _LOWER_TIER, F.lower(s)))
+    forms.append(form(cat, name, "list", _LIST_TIER, F.lit("")))
+    forms.append(form(F.lit(ANY_CATEGORY), key, "value", _SAME_TIER, s))
+    forms.append(form(F.lit(ANY_CATEGORY), key, "norm", _TWIN_TIER, norm_text(s)))
+    return F.filter(F.array(*forms), lambda f: f["text"].isNotNull() & f["name"].isNotNull())
+
+
+def value_lookup(values: DataFrame) -> DataFrame:
+    """(scope, name, kind, text) -> value, one row per key; the smallest of equal keys."""
+
+    def keyed(scope: Column, of: Column, kind: str, text: Column) -> Column:
+        return F.struct(scope.alias("scope"), of.alias("name"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    cat, name, anywhere, key = F.col("cat"), F.col("char_name"), F.lit(ANY_CATEGORY), F.col("char_key")
+    rows = values.withColumn("char_key", norm_char_name("char_name")).select(
+        "value",
+        F.explode(
+            F.array(
+                keyed(cat, name, "value", F.col("value")),
+                keyed(cat, name, "norm", F.col("value_norm")),
+                keyed(cat, name, "lower", F.col("value_lower")),
+                keyed(cat, name, "list", F.lit("")),
+                keyed(anywhere, key, "value", F.col("value")),
+                keyed(anywhere, key, "norm", F.col("value_norm")),
+            )
+        ).alias("k"),
     )
-    return exact.unionByName(norm).unionByName(lower)
+    return rows.groupBy("k.scope", "k.name", "k.kind", "k.text").agg(F.min("value").alias("value"))
 
 
 KEY = ["cat", "char_input", "value_input"]
@@ -141,71 +166,63 @@ def match_values(requests: DataFrame, index: ReferenceIndex, fuzzy: bool = True)
         .where("cat IS NOT NULL AND char_input IS NOT NULL AND value_input IS NOT NULL")
         .distinct()
     )
-    named = keys.join(canonical_chars(keys, index), ["cat", "char_input"], "left")
+    exact = index.char_names.select("cat", F.col("char_name").alias("char_input"), F.col("char_name").alias("exact_name"))
+    named = (
+        keys.join(exact, ["cat", "char_input"], "left")
+        .withColumn("char_key", norm_char_name("char_input"))
+        .join(index.chars.select("cat", "char_key", F.col("canonical").alias("by_key"), "restrictive"), ["cat", "char_key"], "left")
+        .withColumn("canonical", F.coalesce("exact_name", "by_key"))
+        .withColumn("restrictive", F.coalesce("restrictive", F.lit(True)))
+    )
     # an attribute outside the characteristics table may still have listed values under its raw name
-    named = named.withColumn("char_name", F.coalesce("canonical", "char_input"))
+    name = F.coalesce("canonical", "char_input")
+    asked = named.select(
+        *KEY, "canonical", "restrictive",
+        F.explode(_forms(F.col("value_input"), F.col("cat"), name, F.when(F.col("canonical").isNotNull(), F.col("char_key")))).alias("f"),
+    ).select(*KEY, "canonical", "restrictive", "f.*")
 
-    lookup = _value_lookup(index.values)
-    forms = (
-        named.select(*KEY, "char_name", F.explode(_value_forms(F.col("value_input"))).alias("f"))
-        .select(*KEY, "char_name", "f.kind", "f.tier", "f.text")
-        .where(F.col("text").isNotNull())
-    )
-    hits = (
-        forms.join(lookup, ["cat", "char_name", "kind", "text"])
-        .groupBy(*KEY)
+    def at(tier: int) -> Column:
+        return F.max(F.when(F.col("tier") == tier, F.col("value")))
+
+    listed = F.col("value").isNotNull() & (F.col("tier") <= _NORM_TIER)
+    matched = (
+        asked.join(index.lookup, ["scope", "name", "kind", "text"], "left")
+        .groupBy(*KEY, "canonical", "restrictive")
         .agg(
-            F.max(F.col("tier") == 1).alias("exact_hit"),
-            F.min_by("value", F.when(F.col("tier") < _LOWER_TIER, F.col("tier"))).alias("hit"),
-            F.min(F.when(F.col("tier") < _LOWER_TIER, F.col("tier"))).alias("hit_tier"),
-            F.max(F.when(F.col("tier") == _LOWER_TIER, F.col("value"))).alias("lower_value"),
+            at(_LIST_TIER).isNotNull().alias("has_values"),
+            at(1).isNotNull().alias("exact_hit"),
+            at(_LOWER_TIER).alias("lower_value"),
+            F.min_by("value", F.when(listed, F.col("tier"))).alias("found"),
+            F.min(F.when(listed, F.col("tier"))).alias("tier"),
+            F.coalesce(at(_SAME_TIER), at(_TWIN_TIER)).alias("fallback"),
         )
+        .withColumn("fallback", F.when(~F.col("has_values"), F.col("fallback")))
     )
-    listed = index.values.select("cat", "char_name").distinct().withColumn("has_values", F.lit(True))
-    matched = (
-        named.join(hits, KEY, "left")
-        .join(listed, ["cat", "char_name"], "left")
-        .withColumn("has_values", F.coalesce("has_values", F.lit(False)))
-        .withColumn("exact_hit", F.coalesce("exact_hit", F.lit(False)))
-    )
-    matched = matched.join(_marketplace_fallback(matched, index), KEY, "left")
-    found, tier = F.col("hit"), F.col("hit_tier")
     if fuzzy:
-        near = _closest_values(matched, index)
-        matched = matched.join(near, KEY, "left")
-        found, tier = F.coalesce("hit", "near"), F.coalesce("hit_tier", F.when(F.col("near").isNotNull(), F.lit(9)))
+        matched = _add_closest(matched, index)
     return matched.select(
-        *KEY, "canonical", "restrictive", "has_values", "exact_hit", "lower_value",
-        found.alias("found"), tier.alias("tier"), "fallback",
+        *KEY, "canonical", "restrictive", "has_values", "exact_hit", "lower_value", "found", "tier", "fallback"
     )
 
 
-def _marketplace_fallback(matched: DataFrame, index: ReferenceIndex) -> DataFrame:
-    """For attributes without a list: the value itself or its normalised twin in another category."""
-    asked = (
-        matched.where("canonical IS NOT NULL AND NOT has_values")
-        .withColumn("char_key", norm_char_name("canonical"))
-        .withColumn("s", strip("value_input"))
-        .withColumn("value_norm", norm_text("s"))
-    )
-    everywhere = marketplace_value_index(index.values)
-    smallest = everywhere.groupBy("char_key", "value_norm").agg(F.min("value").alias("twin"))
-    same = everywhere.select("char_key", F.col("value").alias("s"), F.col("value").alias("same"))
-    return (
-        asked.join(smallest, ["char_key", "value_norm"])
-        .join(same, ["char_key", "s"], "left")
-        .select(*KEY, F.coalesce("same", "twin").alias("fallback"))
-    )
-
+def _add_closest(matched: DataFrame, index: ReferenceIndex) -> DataFrame:
+    """Fill ``found`` of still unmatched keys with the closest listed value at 0.80.
 
-def _closest_values(matched: DataFrame, index: ReferenceIndex) -> DataFrame:
-    missed = matched.where("has_values AND hit IS NULL").select(
-        *KEY, "char_name", norm_text(strip("value_input")).alias("query")
+    The keys are written once: they feed both the search and the result.
+    """
+    matched = staged(matched)
+    missed = matched.where("has_values AND found IS NULL").select(
+        *KEY, F.coalesce("canonical", "char_input").alias("char_name"), norm_text(strip("value_input")).alias("query")
     )
     norms = value_norm_index(index.values)
     near = closest(missed, norms, ["cat", "char_name"], "query", "value_norm", V.VALUE_CUTOFF)
     near = near.join(norms, ["cat", "char_name", "value_norm"]).select("cat", "char_name", "query", F.col("value").alias("near"))
-    return missed.join(near, ["cat", "char_name", "query"]).select(*KEY, "near")
+    near = missed.join(near, ["cat", "char_name", "query"]).select(*KEY, "near")
+    return (
+        matched.join(near, KEY, "left")
+        .withColumn("tier", F.coalesce("tier", F.when(F.col("near").isNotNull(), F.lit(9))))
+        .withColumn("found", F.coalesce("found", "near"))
+    )
 
 
 def find_valid(requests: DataFrame, index: ReferenceIndex, fuzzy: bool = True) -> DataFrame:
@@ -277,7 +294,7 @@ def check_existing(attributes: DataFrame, index: ReferenceIndex) -> DataFrame:
     ``invalid``: outside a non-empty list even in lower case; ``foreign``: unknown to the category;
     ``keep`` otherwise.
     """
-    asked = attributes.where(F.col("value_input") != "")
+    asked = attributes.where("cat IS NOT NULL AND value_input <> ''")
     return asked.join(match_values(asked, index, fuzzy=False), KEY, "left").withColumn(
         "verdict",
         F.when(F.col("has_values") & F.col("lower_value").isNull(), F.lit("invalid"))

@@ -152,4 +152,5 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def reference(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], ReferenceIndex]:
     fx = load(spark, sf_dir)
-    return fx, ReferenceIndex.build(fx["fx_categories"], fx["fx_characteristics"], fx["fx_values"])
+    index = ReferenceIndex.build(fx["fx_categories"], fx["fx_characteristics"], fx["fx_values"])
+    return fx, index.persist()

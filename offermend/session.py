@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     # results must not depend on the machine's zone
@@ -55,3 +56,14 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="offermend-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def staged(frame: DataFrame) -> DataFrame:
+    """The frame as a table written once in the shared folder.
+
+    For a result that several later steps read: their work does not repeat what made it, and a lost
+    executor costs only its tasks.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/staged-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
