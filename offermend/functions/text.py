@@ -80,13 +80,16 @@ def norm_text(c: Column | str) -> Column:
     return strip(F.lower(bare))
 
 
-def norm_char_name(c: Column | str, keep_accents: bool = False) -> Column:
-    """Key of an attribute name: spaces collapsed, trailing colons dropped, case folded."""
+def casefold(c: Column | str) -> Column:
     c = _col(c)
-    trimmed = strip(F.rtrim(collapse_spaces(c), F.lit(":")))
-    folded = F.when(is_ascii(c), F.lower(trimmed)).otherwise(
-        F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), trimmed, F.lit(True))
+    return F.when(is_ascii(c), F.lower(c)).otherwise(
+        F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
     )
+
+
+def norm_char_name(c: Column | str, keep_accents: bool = False) -> Column:
+    """Key of an attribute name: spaces collapsed, trailing colons dropped, case folded."""
+    folded = casefold(strip(F.rtrim(collapse_spaces(c), F.lit(":"))))
     return folded if keep_accents else norm_text(folded)
 
 

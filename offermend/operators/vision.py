@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offermend import fixed_values as V
-from offermend.functions.text import collapse_spaces, norm_char_name, norm_text
+from offermend.functions.text import casefold, collapse_spaces, norm_text
 from offermend.operators.indexes import ReferenceIndex
 from offermend.operators.matching import KEY, match_values
 from offermend.operators.resolver import map_color
@@ -324,9 +324,9 @@ def fusion_policy(names: DataFrame, table: DataFrame, loose: bool = True) -> Dat
     exact = asked.join(F.broadcast(table.withColumnRenamed("policy_name", "char_input")), "char_input").withColumn("t", F.lit(0))
     hits = exact
     if loose:
-        fold = lambda c: norm_char_name(F.concat(c, F.lit("​")), keep_accents=True)
-        folded = table.withColumn("k", fold(F.trim("policy_name"))).drop("policy_name")
-        near = asked.withColumn("k", fold(F.trim("char_input"))).join(F.broadcast(folded), "k").drop("k").withColumn("t", F.lit(1))
+        fold = lambda c: casefold(F.trim(c))
+        folded = table.withColumn("k", fold("policy_name")).drop("policy_name")
+        near = asked.withColumn("k", fold("char_input")).join(F.broadcast(folded), "k").drop("k").withColumn("t", F.lit(1))
         hits = exact.unionByName(near)
     best = hits.groupBy("char_input").agg(F.min_by(F.struct("min_confidence", "conflict_action"), "t").alias("p"))
     return asked.join(best, "char_input", "left").select(
