@@ -102,8 +102,8 @@ DETECTED = """
 SELECT offer_id, cat, concept, attribute AS char_name, arg_min(value, step) AS value FROM (
   SELECT o.offer_id, o.cat, r.concept, r.attribute, r.step, r.value
   FROM texts o JOIN rule_values r ON r.cat = o.cat AND r.value IS NOT NULL
-  WHERE (r.always OR len(list_filter(r.words, w -> contains(CASE WHEN r.title_only THEN o.title_run ELSE o.text_run END, w))) > 0)
-    AND (r.no_unless OR len(list_filter(r.unless, w -> contains(o.text_run, w))) = 0)
+  WHERE (r.always OR len(list_filter(r.words, lambda w: contains(CASE WHEN r.title_only THEN o.title_run ELSE o.text_run END, w))) > 0)
+    AND (r.no_unless OR len(list_filter(r.unless, lambda w: contains(o.text_run, w))) = 0)
   UNION ALL
   SELECT o.offer_id, o.cat, 'size', f.attribute, 0, v.value
   FROM live o JOIN fed f ON f.cat = o.cat AND f.concept = 'size'

@@ -124,8 +124,8 @@ _RULE_HITS = "SELECT r.*, len(string_split(r.keywords, ',')) AS n FROM (VALUES "
     with_views("fx_offers", rules=_RULE_HITS, titles=f"SELECT DISTINCT title, {_padded.format('title')} AS p FROM fx_offers")
     + """SELECT title, arg_min(category, -n * 1000 + rule_id) AS category, arg_min(rule_id, -n * 1000 + rule_id) AS rule_id
 FROM titles t JOIN rules r
-  ON len(list_filter(string_split(r.keywords, ','), k -> NOT contains(t.p, concat(' ', trim(k), ' ')))) = 0
- AND len(list_filter(string_split(r.exclude, ','), k -> trim(k) <> '' AND contains(t.p, concat(' ', trim(k), ' ')))) = 0
+  ON len(list_filter(string_split(r.keywords, ','), lambda k: NOT contains(t.p, concat(' ', trim(k), ' ')))) = 0
+ AND len(list_filter(string_split(r.exclude, ','), lambda k: trim(k) <> '' AND contains(t.p, concat(' ', trim(k), ' ')))) = 0
 GROUP BY title"""
 )
 def keyword_rules(spark, sf_dir):
