@@ -201,12 +201,12 @@ def near_tie(spark, sf_dir):
 
 
 @query(
-    _PAIRS + "SELECT vec_id, candidate, round(round(0.65 * score + 0.25 * ((vec_id % 7) / 7.0) "
-    "+ 0.10 * ((vec_id % 5) / 5.0), 6), 5) + 0.0 AS score FROM s"
+    _PAIRS + "SELECT vec_id, candidate, round(0.65 * score + 0.25 * ((vec_id % 7) / 7.0) "
+    "+ 0.10 * ((vec_id % 5) / 5.0), 6) + 0.0 AS score FROM s"
 )
 def hybrid_score(spark, sf_dir):
     score = fuzzy.hybrid_score(F.col("score"), (F.col("vec_id") % 7) / 7.0, (F.col("vec_id") % 5) / 5.0)
-    return _scored(spark, sf_dir).select("vec_id", "candidate", (F.round(score, 5) + F.lit(0.0)).alias("score"))
+    return _scored(spark, sf_dir).select("vec_id", "candidate", (score + F.lit(0.0)).alias("score"))
 
 
 @query(
