@@ -15,6 +15,7 @@ from offermend.functions.text import casefold, collapse_spaces, norm_text
 from offermend.operators.indexes import ReferenceIndex
 from offermend.operators.matching import KEY, match_values
 from offermend.operators.resolver import map_color
+from offermend.session import staged
 
 # ---------------------------------------------------------------- colours
 
@@ -189,6 +190,7 @@ def apply_color(
         .join(multicolor_value(lists, group), group, "left")
         .withColumn("n_values", F.coalesce("n_values", F.lit(0)))
     )
+    rows = staged(rows)  # read twice: by the colour mapping and by the decision
     mapped = map_color(rows.select(*group, F.col("dominant_color").alias("detected")), lists, group, synonyms, embeddings).select(
         *group, F.col("detected").alias("dominant_color"), "mapped_value"
     )

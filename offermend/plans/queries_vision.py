@@ -102,7 +102,7 @@ def multicolor_value(spark, sf_dir):
     return vision.multicolor_value(lists, ["cat"])
 
 
-@query("SELECT DISTINCT CASE p_type WHEN 'SMALL' THEN 'Watches' ELSE p_type END AS category, CASE p_type WHEN 'SMALL' THEN 0.4 ELSE 0.6 END AS min_confidence, "
+@query("SELECT DISTINCT CASE p_type WHEN 'SMALL' THEN 'Watches' ELSE p_type END AS category, CAST(CASE p_type WHEN 'SMALL' THEN 0.4 ELSE 0.6 END AS DOUBLE) AS min_confidence, "
        "CASE p_type WHEN 'SMALL' THEN 'Watches override' ELSE 'default' END AS source FROM part")
 def category_overrides(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -147,7 +147,7 @@ def fuse_category(spark, sf_dir):
     return out.select("event_id", "case_name", "final_category", F.round("final_confidence", 4).alias("final_confidence"), "rule_applied", "needs_review")
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.95 WHEN 1 THEN 0.75 WHEN 2 THEN 0.7 WHEN 3 THEN 0.7 ELSE 0.0 END AS confidence FROM events")
+@query("SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN 0.95 WHEN 1 THEN 0.75 WHEN 2 THEN 0.7 WHEN 3 THEN 0.7 ELSE 0.0 END AS DOUBLE) AS confidence FROM events")
 def action_confidence(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("ok", "assigned", "cat_assigned", "ai_assigned", "unknown")])
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -157,7 +157,7 @@ def action_confidence(spark, sf_dir):
 _ASKED = "SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'Stil:' WHEN 1 THEN 'STIL:' WHEN 2 THEN 'Material:' ELSE 'color' END AS char_input FROM part"
 
 
-@query(f"WITH a AS ({_ASKED}) SELECT char_input, char_input <> 'Material:' AS eligible, CASE lower(char_input) WHEN 'stil:' THEN 0.7 WHEN 'color' THEN 0.6 END AS min_confidence, "
+@query(f"WITH a AS ({_ASKED}) SELECT char_input, char_input <> 'Material:' AS eligible, CAST(CASE lower(char_input) WHEN 'stil:' THEN 0.7 WHEN 'color' THEN 0.6 END AS DOUBLE) AS min_confidence, "
        "CASE lower(char_input) WHEN 'stil:' THEN 'review' WHEN 'color' THEN 'prefer_text' END AS conflict_action FROM a")
 def fusion_policy(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
