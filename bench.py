@@ -21,7 +21,7 @@ def main() -> None:
     from offermend.plans import registry, runs
     from offermend.plans.fixtures import reference
     from offermend.plans.import_marketplace import import_marketplace
-    from offermend.session import local_session
+    from offermend.session import local_session, spread
     from offermend.sources.store import Store
 
     spark = local_session(CPUS)
@@ -40,7 +40,7 @@ def main() -> None:
     store = Store(spark, tempfile.mkdtemp(prefix="offermend-bench-"))
 
     # values import: every lineitem as a value row of its part's attribute
-    line = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    line = spread(spark.read.parquet(f"{SF_DIR}/lineitem.parquet"))
     part = spark.read.parquet(f"{SF_DIR}/part.parquet")
     characteristics = part.select(
         F.col("p_partkey").cast("string").alias("characteristic_id"), F.col("p_partkey").cast("string").alias("external_characteristic_id"),

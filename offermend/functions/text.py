@@ -42,8 +42,9 @@ def _code_point_class(keep) -> str:
     return "[" + "".join(parts) + "]"
 
 
-# Code points with a non-zero combining class: what "drop combining marks" means here.
-COMBINING = _code_point_class(lambda ch: unicodedata.combining(ch) != 0)
+# Code points with a non-zero combining class: what "drop combining marks" means here. The quick
+# category test comes first, so other characters never walk the long class.
+COMBINING = r"\p{M}(?<=" + _code_point_class(lambda ch: unicodedata.combining(ch) != 0) + ")"
 
 
 def is_ascii(c: Column | str) -> Column:

@@ -9,11 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offermend.operators.indexes import ReferenceIndex
-
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-    "conversations"
-).split()
+from offermend.session import spread
 
 # attributes every category has: number, name, mandatory, restrictive
 ATTRIBUTES = [
@@ -141,8 +137,8 @@ def view_sql(*names: str) -> str:
 
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Register the test tables and the derived views; return the views by name."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    for name in ("part", "events"):
+        spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(name)
     frames = {}
     for name, text in SQL.items():
         frames[name] = spark.sql(text)

@@ -13,10 +13,9 @@ from offermend.session import staged
 from offermend.sources.store import Store
 
 
-def prepare_reference(categories: DataFrame, characteristics: DataFrame, values: DataFrame) -> dict[str, DataFrame]:
-    """Tables as they are stored: values repaired, ids normalised, external category ids replaced,
-    empty values left out."""
-    enriched = enrich_values(values, characteristics)
+def prepare_reference(categories: DataFrame, characteristics: DataFrame, enriched: DataFrame) -> dict[str, DataFrame]:
+    """Tables as they are stored: ids normalised, external category ids replaced, empty values left
+    out. ``enriched``: values with their gaps filled."""
     kept = enriched.where(strip(F.coalesce("value", F.lit(""))) != "").withColumn("value", strip("value"))
     return {
         "categories": categories.withColumn("category_id", norm_id("category_id")).withColumn("external_id", norm_id("external_id")),

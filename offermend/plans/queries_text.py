@@ -9,6 +9,7 @@ from offermend.functions.html import strip_html as visible
 from offermend.operators import context
 from offermend.plans.check_sql import lit
 from offermend.plans.registry import query
+from offermend.session import spread
 
 DOC = "SELECT doc_id, md5({}) AS key FROM documents"
 _BARE = "strip_accents(text)"
@@ -16,7 +17,7 @@ _WS = "'[\\s\\x1c-\\x1f]+'"
 
 
 def _docs(spark, sf_dir, key):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(key).alias("key"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.md5(key).alias("key"))
 
 
 @query(DOC.format(f"trim(lower({_BARE}), E' \\n\\t\\r')"))

@@ -67,3 +67,13 @@ def staged(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/staged-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan over at least as many tasks as there are cores.
+
+    For small single-file inputs only: a scan that already has enough splits is left as it is, so
+    large inputs are not shuffled.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
