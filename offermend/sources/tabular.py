@@ -19,7 +19,12 @@ def read_tabular(spark: SparkSession, path: str) -> DataFrame:
     """CSV or TSV by extension, every cell a string; bytes that are not UTF-8 are replaced."""
     sep = "\t" if path.lower().rstrip("/").endswith(".tsv") else ","
     frame = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=False, escape='"', encoding="UTF-8", mode="PERMISSIVE")
-    return frame.dropna("all")
+    return drop_blank_rows(frame)
+
+
+def drop_blank_rows(frame: DataFrame) -> DataFrame:
+    """Rows with at least one cell; headers may hold dots, so columns are quoted."""
+    return frame.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in frame.columns]).isNotNull()) if frame.columns else frame
 
 
 def with_ordinal(frame: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def concat_same_schema(parts: list[tuple[str, DataFrame]]) -> Concatenated:
     chosen, header, skipped = [], None, []
     for name, part in parts:
         first = part.columns[0].strip().upper() if part.columns else ""
-        rows = part.dropna("all")
+        rows = drop_blank_rows(part)
         if not part.columns or first.startswith(("SELECT", "--", "/*")) or rows.isEmpty():
             skipped.append(name)
         elif header is None or part.columns == header:
@@ -158,9 +163,14 @@ def fold_existing_chars(pairs: list[tuple[str, str]]) -> Column:
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n, last(n))))
 
 
-def read_offers(frame: DataFrame) -> DataFrame:
-    """Offer rows in the ``OFFERS`` schema from an export with any of the known headers."""
-    frame = _ordered(frame.dropna("all"))
+def read_offers(frame: DataFrame, numbered: bool = True) -> DataFrame:
+    """Offer rows in the ``OFFERS`` schema from an export with any of the known headers.
+
+    The row number only serves display order. ``numbered=False`` leaves it null, which keeps a very
+    large export entirely in the JVM.
+    """
+    frame = drop_blank_rows(frame)
+    frame = _ordered(frame) if numbered else frame.withColumn(ORDINAL, F.lit(None).cast("bigint"))
     m = alias_columns(frame, V.OFFER_ALIASES)
     pairs = attribute_pairs(frame.columns)
     return frame.select(*[_pick(m, name).alias(name) for name in V.OFFER_ALIASES], fold_existing_chars(pairs).alias("existing_chars"), ORDINAL)

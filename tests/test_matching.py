@@ -23,7 +23,7 @@ def make_index(spark, chars, values, name="Tricouri"):
         [("1", i, n, v, k) for k, (i, n, v) in enumerate(values)],
         "category_id string, characteristic_id string, characteristic_name string, value string, ordinal bigint",
     )
-    return ReferenceIndex.build(cats, chars, vals)
+    return ReferenceIndex.build(cats, chars, vals).persist()
 
 
 COLOR = [("10", "Culoare:", True, True, "100")]
@@ -66,36 +66,46 @@ def test_restrictive_flag(spark):
     assert {r.char_input: r.restrictive for r in matching.is_restrictive(pairs, index).collect()} == {"Brand:": False, "Tip": True, "Other": True}
 
 
-def rule_values(spark, attribute, values, title, text=""):
-    index = make_index(spark, [("1", attribute, False, True, "1")], [("1", attribute, v) for v in values])
-    offers = spark.createDataFrame([("o", "1", title, text)], "offer_id string, cat string, title string, visible string")
-    return [r.value for r in detect.detect(offers, index, detect.concept_names_table(spark)).collect()]
-
-
-@pytest.mark.parametrize(
-    "attribute, values, title, text, want",
-    [
-        ("Culoare de baza", ["negru", "alb"], "Tricou negru", "", ["negru"]),
-        ("Material:", [], "Nike Cotton T-Shirt", "", ["Bumbac"]),
-        ("Material:", ["Fleece"], "Cotton", "", []),
-        ("Sport:", ["alergare"], "Pantofi de alergare", "", ["alergare"]),
-        ("Tip produs:", ["Pantaloni", "Tricou"], "Nike Short Sleeve Running Top - L", "", []),
-        ("Imprimeu:", ["Cu model", "Uni", "Logo"], "Nike Air Force 1 Model 2024 - Alb", "", []),
-        ("Imprimeu:", ["Cu model", "Uni"], "Tricou Graphic Nike", "", ["Cu model"]),
-        ("Sezon:", ["Toamna-Iarna"], "Bluza Fleece Lightweight", "", []),
-        ("Sezon:", ["Toamna-Iarna", "Primavara-Vara"], "Bluza Fleece Lightweight", "", ["Primavara-Vara"]),
-        ("Sezon:", ["Toamna-Iarna"], "Bluza Fleece", "", ["Toamna-Iarna"]),
-        ("Pentru:", ["Women", "Men"], "Női cipő", "", ["Women"]),
-        ("Marime:", ["42 EU"], "Nike - 42 férfi futócipő", "", ["42 EU"]),
-        ("Marime:", [], "Nike - 42,5", "", ["42.5 EU"]),
-        ("Marime:", [], "Nike - 2024", "", []),
-        ("Marime:", [], "Nike - One Size", "", ["One Size"]),
-        ("Varsta:", ["7-8 ani"], "x", "pentru 7-8 ani", ["7-8 ani"]),
-        ("Crampoane detasabile:", ["N/A"], "x", "", ["N/A"]),
-    ],
-)
-def test_rules(spark, attribute, values, title, text, want):
-    assert rule_values(spark, attribute, values, title, text) == want
+RULE_CASES = [
+    ("Culoare de baza", ["negru", "alb"], "Tricou negru", "", ["negru"]),
+    ("Material:", [], "Nike Cotton T-Shirt", "", ["Bumbac"]),
+    ("Material:", ["Fleece"], "Cotton", "", []),
+    ("Sport:", ["alergare"], "Pantofi de alergare", "", ["alergare"]),
+    ("Tip produs:", ["Pantaloni", "Tricou"], "Nike Short Sleeve Running Top - L", "", []),
+    ("Imprimeu:", ["Cu model", "Uni", "Logo"], "Nike Air Force 1 Model 2024 - Alb", "", []),
+    ("Imprimeu:", ["Cu model", "Uni"], "Tricou Graphic Nike", "", ["Cu model"]),
+    ("Sezon:", ["Toamna-Iarna"], "Bluza Fleece Lightweight", "", []),
+    ("Sezon:", ["Toamna-Iarna", "Primavara-Vara"], "Bluza Fleece Lightweight", "", ["Primavara-Vara"]),
+    ("Sezon:", ["Toamna-Iarna"], "Bluza Fleece", "", ["Toamna-Iarna"]),
+    ("Pentru:", ["Women", "Men"], "Női cipő", "", ["Women"]),
+    ("Marime:", ["42 EU"], "Nike - 42 férfi futócipő", "", ["42 EU"]),
+    ("Marime:", [], "Nike - 42,5", "", ["42.5 EU"]),
+    ("Marime:", [], "Nike - 2024", "", []),
+    ("Marime:", [], "Nike - One Size", "", ["One Size"]),
+    ("Varsta:", ["7-8 ani"], "x", "pentru 7-8 ani", ["7-8 ani"]),
+    ("Crampoane detasabile:", ["N/A"], "x", "", ["N/A"]),
+]
+
+
+def test_rules(spark):
+    """Every case is a category of its own, so one run covers them all."""
+    cats, chars, vals, offers = [], [], [], []
+    for n, (attribute, values, title, text, _) in enumerate(RULE_CASES):
+        cats.append((str(n), None, f"cat {n}", n))
+        chars.append((f"a{n}", f"e{n}", str(n), attribute, False, True, n))
+        vals += [(str(n), f"a{n}", attribute, v, i) for i, v in enumerate(values)]
+        offers.append((str(n), str(n), title, text))
+    index = ReferenceIndex.build(
+        spark.createDataFrame(cats, "category_id string, external_id string, category_name string, ordinal bigint"),
+        spark.createDataFrame(
+            chars,
+            "characteristic_id string, external_characteristic_id string, category_id string, characteristic_name string, mandatory boolean, restrictive boolean, ordinal bigint",
+        ),
+        spark.createDataFrame(vals, "category_id string, characteristic_id string, characteristic_name string, value string, ordinal bigint"),
+    ).persist()
+    rows = spark.createDataFrame(offers, "offer_id string, cat string, title string, visible string")
+    got = {r.offer_id: r.value for r in detect.detect(rows, index, detect.concept_names_table(spark)).collect()}
+    assert got == {str(n): case[4][0] for n, case in enumerate(RULE_CASES) if case[4]}
 
 
 def test_keyword_rules(spark):
