@@ -74,11 +74,15 @@ def truthy(c: Column | str) -> Column:
     return F.coalesce(_col(c).cast("string").isin("1", "True", "true", "yes", "1.0"), F.lit(False))
 
 
+def drop_marks(c: Column | str) -> Column:
+    """Compatibility-decomposed text without combining marks."""
+    c = _col(c)
+    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(_decompose(c, True), COMBINING, ""))
+
+
 def norm_text(c: Column | str) -> Column:
     """Compatibility-decompose, drop combining marks, lower, strip."""
-    c = _col(c)
-    bare = F.when(is_ascii(c), c).otherwise(F.regexp_replace(_decompose(c, True), COMBINING, ""))
-    return strip(F.lower(bare))
+    return strip(F.lower(drop_marks(c)))
 
 
 def casefold(c: Column | str) -> Column:
@@ -96,7 +100,7 @@ def norm_char_name(c: Column | str, keep_accents: bool = False) -> Column:
 
 def norm_color(c: Column | str) -> Column:
     """Colour key: accents dropped, separators to spaces, other punctuation removed."""
-    spaced = F.regexp_replace(norm_text(F.lower(strip(_col(c)))), r"[-/_.,;:]+", " ")
+    spaced = F.regexp_replace(drop_marks(F.lower(strip(_col(c)))), r"[-/_.,;:]+", " ")
     return collapse_spaces(F.regexp_replace(spaced, f"(?U)[^{WORD}{SPACE}]", ""))
 
 
