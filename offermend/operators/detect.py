@@ -6,6 +6,7 @@ which concept feeds which attribute is one row per category, joined once.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -108,7 +109,7 @@ def words_present(text: Column, words: list[str]) -> Column:
     """
     tokens = F.split(text, f"[^{WORD}]+")
     singles = [w for w in words if _is_token(w)]
-    found = [F.array_intersect(tokens, F.array(*[F.lit(w) for w in singles]))] if singles else []
+    found = [F.array_intersect(tokens, F.split(F.lit(" ".join(singles)), " "))] if singles else []
     phrases = [w for w in words if not _is_token(w)]
     if phrases:
         found.append(
@@ -122,13 +123,9 @@ def fired_rules(rules: list[Rule], title: Column, text: Column) -> Column:
 
     def fired(subset: list[tuple[int, Rule]], subject: Column) -> Column:
         words = sorted({w for _, r in subset for w in r.words + r.unless})
-        numbers = F.create_map(
-            *[
-                part
-                for w in words
-                for part in (F.lit(w), F.array(*[F.lit(i) for i, r in subset if w in r.words]).cast("array<int>"))
-            ]
-        )
+        # one constant each, so the plan holds a map and not a thousand literals
+        of_word = {w: [i for i, r in subset if w in r.words] for w in words}
+        numbers = F.from_json(F.lit(json.dumps(of_word)), "map<string,array<int>>")
         always = F.array(*[F.lit(i) for i, r in subset if not r.words]).cast("array<int>")
         blocked = [(i, F.array(*[F.lit(w) for w in r.unless])) for i, r in subset if r.unless]
 
