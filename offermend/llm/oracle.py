@@ -50,3 +50,29 @@ SELECT doc_id, size, source_size, target,
   (copies * size + greatest(0, least(high - at, size)) - greatest(0, least(low - at, size)) + greatest(0, least(high - span - at, size)))::BIGINT AS taken
 FROM placed
 """
+
+URL_FILTER = r"""
+WITH parts AS (
+  SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched_on,
+    regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
+    regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+(?::[0-9]*)?/([^/?#]+)', 1) AS seg FROM pages),
+pages_k AS (
+  SELECT page_id, fetched_on, host, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain, CASE WHEN seg <> '' THEN host || '/' || seg ELSE '' END AS path FROM parts),
+keys AS (
+  SELECT page_id, fetched_on, 'domain' AS kind, 1 AS rank, domain AS key FROM pages_k
+  UNION ALL SELECT page_id, fetched_on, 'host', 2, host FROM pages_k
+  UNION ALL SELECT page_id, fetched_on, 'path', 3, path FROM pages_k),
+listed AS (SELECT *, md5(kind || ':' || key) AS h FROM (SELECT DISTINCT kind, key FROM keys WHERE key <> '')),
+dated AS (
+  SELECT kind, key, ('0x' || substr(h, 9, 4))::INTEGER % 3 AS a, DATE '2024-01-01' + ('0x' || substr(h, 5, 4))::INTEGER % 300 AS d,
+    ('0x' || substr(h, 13, 4))::INTEGER % 120 + 1 AS lift, ('0x' || substr(h, 17, 4))::INTEGER % 200 + 122 AS again
+  FROM listed WHERE ('0x' || substr(h, 1, 4))::INTEGER % 4 = 0),
+spells AS (
+  SELECT kind, key, CASE WHEN a = 0 THEN 'allow' ELSE 'block' END AS verdict, d AS since, d + lift AS until FROM dated
+  UNION ALL SELECT kind, key, 'block', d + again, NULL FROM dated),
+hits AS (
+  SELECT k.page_id, s.kind, s.key, s.verdict, s.since, row_number() OVER (PARTITION BY k.page_id ORDER BY k.rank DESC) AS place
+  FROM keys k JOIN spells s ON k.kind = s.kind AND k.key = s.key AND k.fetched_on >= s.since AND (s.until IS NULL OR k.fetched_on < s.until))
+SELECT p.page_id, p.fetched_on, p.host, CASE WHEN h.verdict = 'block' THEN 'block' ELSE 'keep' END AS verdict, h.kind AS matched_kind, h.key AS matched_key, h.since AS listed_since
+FROM pages_k p LEFT JOIN hits h ON p.page_id = h.page_id AND h.place = 1
+"""
