@@ -46,11 +46,11 @@ class Template:
         return re.sub(f"{re.escape(self.escape)}({self._units(extra)})", lambda m: m[1], text)
 
     def opening(self, role: str) -> str:
-        return self.openings.get(role) or self.other[0] + self.hide(role, ":") + self.other[1]
+        return self.openings.get(role) or self.other[0] + self.hide(role, self.other[1][0]) + self.other[1]
 
     def role(self, opening: str) -> str:
         known = {v: k for k, v in self.openings.items()}
-        return known[opening] if opening in known else self.show(opening[len(self.other[0]):len(opening) - len(self.other[1])], ":")
+        return known[opening] if opening in known else self.show(opening[len(self.other[0]):len(opening) - len(self.other[1])], self.other[1][0])
 
     def allows(self, state: str, role: str) -> bool:
         return role in self.moves.get(state, ())
@@ -59,9 +59,10 @@ class Template:
         """One turn of formatted text: opening, escaped text."""
         e, stop = re.escape(self.escape), re.escape(self.end.rstrip("\n"))
         first = re.escape(self.end[0])
-        body = f"(?:[^{e}{first}]+|{e}(?:{self._units()})|{first}(?!{stop[len(first):]}))*"
+        body = f"(?:[^{e}{first}]++|{e}(?:{self._units()})|{first}(?!{stop[len(first):]}))*+"
         named = "|".join(re.escape(o) for o in self.openings.values())
-        general = f"{re.escape(self.other[0])}(?:[^{e}:]+|{e}(?:{self._units(':')}))*{re.escape(self.other[1])}"
+        close = self.other[1][0]
+        general = f"{re.escape(self.other[0])}(?:[^{e}{re.escape(close)}]++|{e}(?:{self._units(close)}))*+{re.escape(self.other[1])}"
         return re.compile(f"({named}|{general})({body}){re.escape(self.end)}", re.S)
 
 
