@@ -44,10 +44,10 @@ runs AS (
     ('0x' || substr(md5('mix-1:' || ordinal || ':' || shard), 1, 8))::BIGINT % greatest(blocks, 1) AS first_block FROM blocks),
 placed AS (
   SELECT d.*, r.copies, r.blocks * 16 AS span, r.first_block * 16 AS low, (r.first_block + r.seats - r.copies * r.blocks) * 16 AS high,
-    sum(d.size) OVER (PARTITION BY d.ordinal, d.shard ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS at
+    sum(d.size) OVER (PARTITION BY d.ordinal, d.shard ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS pos
   FROM dealt d JOIN runs r USING (ordinal, shard))
 SELECT doc_id, size, source_size, target,
-  (copies * size + greatest(0, least(high - at, size)) - greatest(0, least(low - at, size)) + greatest(0, least(high - span - at, size)))::BIGINT AS taken
+  (copies * size + greatest(0, least(high - pos, size)) - greatest(0, least(low - pos, size)) + greatest(0, least(high - span - pos, size)))::BIGINT AS taken
 FROM placed
 """
 

@@ -51,7 +51,7 @@ def test_one_language_share_is_the_likeliest(spark):
 def test_odd_rows(spark):
     rows = [(1, "the of and to in is", "en"), (2, "le la les des un", "fr"), (3, None, "en"), (4, "123 -- !", "en"), (5, "", None), (None, "the the", None), (6, "the " * 200_000, "en"), (6, "the " * 200_000, "en")]
     frame = docs(spark, rows).withColumns({"score": F.lit("mine"), "fp": F.lit(1)})
-    got = language.predict(frame, language.train(frame)).select("doc_id", "lang_pred", "score").collect()
+    got = language.predict(frame, language.train(frame.where("doc_id < 6"))).select("doc_id", "lang_pred", "score").collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(rows) and by[1]["lang_pred"] == "en" and by[2]["lang_pred"] == "fr" and by[6]["lang_pred"] == "en"
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (3, 4, 5))
