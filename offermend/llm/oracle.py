@@ -17,7 +17,7 @@ WITH sized AS (
     md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ordinal FROM sized GROUP BY source),
-weighed AS (SELECT *, [3.0, 1.0, 2.0]::DOUBLE[][ordinal % 3 + 1] AS w, (2 * source_size)::DOUBLE AS cap FROM src),
+weighed AS (SELECT *, CASE ordinal % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, (2 * source_size)::DOUBLE AS cap FROM src),
 levels AS (
   SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, ordinal ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
