@@ -211,27 +211,48 @@ FAMILY_TERMS = {
 
 MULTICOLOR_NAMES = ["Multicolor", "Több színű", "Многоцветен", "Multi"]
 
-# Colour words that mean the same across languages: the basic words of each family. Shade names
-# are open-ended, so the mapper takes a (cluster, term) table with more of them as a parameter.
+# Colour words of each family, which have to equal the published table for equal results.
+# More can be added as rows of ``cluster_table``.
 COLOR_CLUSTERS = {
-    "negru": ["negru", "black", "noir", "schwarz", "fekete", "czarny", "μαύρο", "черен", "nero", "antracit", "charcoal"],
-    "alb": ["alb", "white", "blanc", "weiss", "feher", "bialy", "λευκό", "бял", "bianco", "off white"],
-    "gri": ["gri", "gray", "grey", "grau", "szurke", "szary", "γκρι", "сив", "grigio", "melange"],
-    "argintiu": ["argintiu", "silver", "ezust", "srebrny", "ασημί", "сребрист", "argento", "chrome"],
-    "rosu": ["rosu", "red", "rouge", "rot", "piros", "czerwony", "κόκκινο", "червен", "rosso", "scarlet", "crimson"],
-    "roz": ["roz", "pink", "rose", "rosa", "rozsaszin", "rozowy", "ροζ", "розов", "fuchsia", "magenta"],
-    "portocaliu": ["portocaliu", "orange", "narancssarga", "pomaranczowy", "πορτοκαλί", "оранжев", "arancione", "coral"],
-    "galben": ["galben", "yellow", "jaune", "gelb", "sarga", "zolty", "κίτρινο", "жълт", "giallo", "mustard"],
-    "verde": ["verde", "green", "vert", "grun", "zold", "zielony", "πράσινο", "зелен", "khaki", "olive", "emerald"],
-    "albastru": ["albastru", "blue", "bleu", "blau", "kek", "niebieski", "μπλε", "син", "azzurro", "cobalt", "sky blue"],
-    "bleumarin": ["bleumarin", "navy", "navy blue", "marine", "granatowy", "темносин", "indigo", "dark blue"],
-    "mov": ["mov", "lila", "violet", "purple", "liliowy", "λιλά", "лилав", "viola", "lavender", "mauve", "plum"],
-    "maro": ["maro", "brown", "marron", "braun", "barna", "brazowy", "καφέ", "кафяв", "chocolate", "camel"],
-    "bej": ["bej", "beige", "bezs", "bezowy", "μπεζ", "бежов", "cream", "ivory", "nude", "sand", "champagne"],
-    "turcoaz": ["turcoaz", "turquoise", "turkiz", "turkusowy", "тюркоаз", "turchese", "teal", "aqua", "cyan", "mint"],
-    "visiniu": ["visiniu", "burgundy", "bordo", "bordeaux", "бордо", "cherry", "wine", "marsala", "dark red"],
-    "auriu": ["auriu", "gold", "aur", "arany", "zloty", "χρυσό", "злато", "oro", "golden", "rose gold"],
-    "multicolor": ["multicolor", "multi", "multi color", "több színű", "wielokolorowy", "многоцветен", "printed", "tie dye"],
+    "negru": ["negru", "black", "noir", "schwarz", "fekete", "czarny", "μαύρο", "mavro", "черен", "чёрный", "negra", "nero",
+              "antracit", "anthracite", "charcoal", "carbune", "grafit", "jet black", "onyx"],
+    "alb": ["alb", "white", "blanc", "weiss", "feher", "bialy", "λευκό", "lefko", "бял", "bianco", "blanco", "alb optic",
+            "optical white", "off white", "off-white", "snow"],
+    "gri": ["gri", "gray", "grey", "grau", "szurke", "szary", "γκρι", "gkri", "сив", "grigio", "gris", "melange", "melanj", "heather",
+            "marl", "gri deschis", "gri inchis", "light gray", "dark gray", "light grey", "dark grey", "slate", "ash", "smoke"],
+    "argintiu": ["argintiu", "silver", "ezust", "srebrny", "ασημί", "asimi", "сребрист", "argento", "plata", "metalic argintiu",
+                 "metallic silver", "chrome"],
+    "rosu": ["rosu", "roșu", "red", "rouge", "rot", "piros", "czerwony", "κόκκινο", "kokkino", "червен", "rosso", "rojo", "scarlet",
+             "carmin", "carmine", "tomato", "rosu aprins", "bright red", "crimson"],
+    "roz": ["roz", "pink", "rose", "rosa", "rozsaszin", "rozowy", "ροζ", "розов", "rosato", "roz pudrat", "dusty pink", "blush",
+            "salmon", "somon", "hot pink", "fuchsia", "fuxia", "magenta"],
+    "portocaliu": ["portocaliu", "orange", "narancssarga", "pomaranczowy", "πορτοκαλί", "portokali", "оранжев", "arancione", "coral",
+                   "corai", "peach", "piersica", "terracota", "terra", "burnt orange"],
+    "galben": ["galben", "yellow", "jaune", "gelb", "sarga", "zolty", "κίτρινο", "kitrino", "жълт", "giallo", "amarillo", "mustard",
+               "mustar", "lime", "lemon", "lamaie", "neon yellow", "gold yellow"],
+    "verde": ["verde", "green", "vert", "grun", "zold", "zielony", "πράσινο", "prasino", "зелен", "khaki", "kaki", "olive", "oliv",
+              "masliniu", "forest green", "army green", "military", "militar", "lime green", "neon green", "sage", "mint green",
+              "hunter green", "emerald", "smarald"],
+    "albastru": ["albastru", "blue", "bleu", "blau", "kek", "niebieski", "μπλε", "mple", "син", "azzurro", "azul", "cobalt",
+                 "cobalt blue", "electric blue", "royal blue", "albastru electric", "albastru royal", "denim", "powder blue",
+                 "sky blue", "cerulean", "cornflower"],
+    "bleumarin": ["bleumarin", "navy", "navy blue", "marine", "sotétkék", "granatowy", "ναυτικό", "темносин", "тъмносин", "blu navy",
+                  "azul marino", "indigo", "midnight blue", "dark blue", "albastru inchis", "dark navy", "ink blue"],
+    "mov": ["mov", "lila", "violet", "purple", "lilas", "liliowy", "λιλά", "лилав", "μωβ", "mwv", "bíbor", "viola", "liliac", "lavanda",
+            "lavender", "mauve", "mouve", "orchid", "plum", "pruna", "amethyst", "ametist", "grape", "eggplant", "wisteria"],
+    "maro": ["maro", "brown", "marron", "braun", "barna", "brazowy", "καφέ", "kafe", "кафяв", "marrone", "marrón", "chocolate",
+             "ciocolata", "camel", "tan", "cognac", "coniac", "chestnut", "castan", "walnut", "nuc", "rust", "rugina", "cinnamon",
+             "scortisoara", "hazel", "aluna"],
+    "bej": ["bej", "beige", "bezs", "bezowy", "μπεζ", "mpez", "бежов", "cream", "crema", "ivory", "fildes", "lapte", "nude",
+            "nude color", "sand", "nisip", "dune", "natural", "ecru", "linen", "in", "taupe", "stone", "piatra", "champagne", "sampanie"],
+    "turcoaz": ["turcoaz", "turquoise", "turkiz", "turkusowy", "τιρκουάζ", "tirkoaz", "тюркоаз", "turchese", "teal", "aqua", "cyan",
+                "mint", "menta", "aquamarine", "acvamarin", "sea green", "petrol", "duck blue", "albastru verzui"],
+    "visiniu": ["visiniu", "burgundy", "bordo", "bordeaux", "burgund", "бордо", "bordó", "cherry", "cirese", "wine", "vin", "marsala",
+                "oxblood", "claret", "deep red", "dark red", "rosu inchis", "merlot"],
+    "auriu": ["auriu", "gold", "aur", "arany", "zloty", "χρυσό", "chryso", "злато", "oro", "dorado", "golden", "dourado",
+              "champagne gold", "rose gold", "aur roz"],
+    "multicolor": ["multicolor", "multi", "multi color", "több színű", "wielokolorowy", "πολύχρωμο", "многоцветен", "colorat",
+                   "printed", "print", "pattern", "tipar", "tie dye", "tie-dye"],
 }
 AMBIGUOUS_CLUSTERS = ["mov", "turcoaz", "visiniu", "bej"]
 

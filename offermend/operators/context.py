@@ -27,8 +27,8 @@ def locale(marketplaces: DataFrame, table: DataFrame) -> DataFrame:
     names = names.withColumn("name_tokens", _tokens(F.col("name")))
     probes = names.withColumn("token", F.explode(F.array_distinct("name_tokens")))
     keyed = table.withColumn("token", F.element_at("tokens", 1))
-    by_tokens = probes.join(F.broadcast(keyed), "token").where(F.size(F.array_except("tokens", "name_tokens")) == 0)
-    exact = names.join(F.broadcast(table), F.col("name") == F.col("registry_key"))
+    by_tokens = probes.join(keyed, "token").where(F.size(F.array_except("tokens", "name_tokens")) == 0)
+    exact = names.join(table, F.col("name") == F.col("registry_key"))
     hits = exact.select("marketplace", F.lit(0).alias("tier"), F.lit(0).alias("n"), "position", "language").unionByName(
         by_tokens.select("marketplace", F.lit(1).alias("tier"), (-F.size(_tokens(F.col("registry_key")))).alias("n"), "position", "language")
     )
@@ -61,11 +61,10 @@ def error_code_table(spark: SparkSession, saved: dict[str, list[str]] | None = N
 def eligible_offers(offers: DataFrame, codes: DataFrame) -> DataFrame:
     """Offers (marketplace, error, …) whose code is configured; no code counts as ``empty``.
 
-    The code table is a handful of configuration rows, so it is broadcast.
     """
     coded = offers.withColumn("error_code", error_code("error")).withColumn("_code", F.coalesce("error_code", F.lit("empty")))
     keys = codes.select("marketplace", F.col("code").alias("_code")).distinct()
-    return coded.join(F.broadcast(keys), ["marketplace", "_code"], "left_semi").drop("_code")
+    return coded.join(keys, ["marketplace", "_code"], "left_semi").drop("_code")
 
 
 def filter_category(offers: DataFrame, category: str) -> DataFrame:

@@ -54,11 +54,11 @@ def concept_names_table(spark: SparkSession, names: dict[str, list[str]] | None
 
 def applicable_concepts(index: ReferenceIndex, names: DataFrame) -> DataFrame:
     """(cat, concept) -> attribute: the first of the concept's names the category knows."""
-    exact = index.char_names.join(F.broadcast(names), F.col("char_name") == F.col("name")).select(
+    exact = index.char_names.join(names, F.col("char_name") == F.col("name")).select(
         "cat", "concept", "priority", F.col("char_name").alias("attribute"), F.lit(0).alias("loose")
     )
     keyed = index.chars.join(
-        F.broadcast(names.withColumn("char_key", norm_char_name("name"))), "char_key"
+        names.withColumn("char_key", norm_char_name("name")), "char_key"
     ).select("cat", "concept", "priority", F.col("canonical").alias("attribute"), F.lit(1).alias("loose"))
     return exact.unionByName(keyed).groupBy("cat", "concept").agg(
         F.min_by("attribute", F.struct("priority", "loose")).alias("attribute")
@@ -81,7 +81,7 @@ def resolve_rules(
         [(i, r.concept, r.step, r.value, r.mode) for i, r in enumerate(rules)],
         "rule int, concept string, step int, value_input string, mode string",
     )
-    asked = concepts.join(F.broadcast(table), "concept").withColumnRenamed("attribute", "char_input")
+    asked = concepts.join(table, "concept").withColumnRenamed("attribute", "char_input")
     free = F.col("concept").isin(*V.FREEFORM_CONCEPTS) & ~F.col("has_values")
     value = (
         F.when(F.col("mode") == "exact", F.when(F.col("exact_hit"), F.col("value_input")))

@@ -163,7 +163,7 @@ def missing_color_attribute(offers: DataFrame, filled: DataFrame, index: Referen
     names = spark.createDataFrame(list(enumerate(V.COLOR_ATTRIBUTES)), "priority int, char_name string")
     mandatory = index.attributes.where("mandatory").select("cat", "char_name", F.lit(0).alias("class"))
     listed = index.values.select("cat", "char_name", F.lit(1).alias("class")).distinct()
-    wanted = mandatory.unionByName(listed).join(F.broadcast(names), "char_name").groupBy("cat", "char_name").agg(
+    wanted = mandatory.unionByName(listed).join(names, "char_name").groupBy("cat", "char_name").agg(
         F.min(F.struct("class", "priority")).alias("o")
     )
     have = filled.where("value_input <> ''").select("offer_id", F.col("char_input").alias("char_name"))
@@ -323,12 +323,12 @@ def policy_table(spark: SparkSession, policy: dict | None = None) -> DataFrame:
 def fusion_policy(names: DataFrame, table: DataFrame, loose: bool = True) -> DataFrame:
     """char_input -> eligible, min_confidence, conflict_action: exact name, else without case."""
     asked = names.select("char_input").distinct()
-    exact = asked.join(F.broadcast(table.withColumnRenamed("policy_name", "char_input")), "char_input").withColumn("t", F.lit(0))
+    exact = asked.join(table.withColumnRenamed("policy_name", "char_input"), "char_input").withColumn("t", F.lit(0))
     hits = exact
     if loose:
         fold = lambda c: casefold(F.trim(c))
         folded = table.withColumn("k", fold("policy_name")).drop("policy_name")
-        near = asked.withColumn("k", fold("char_input")).join(F.broadcast(folded), "k").drop("k").withColumn("t", F.lit(1))
+        near = asked.withColumn("k", fold("char_input")).join(folded, "k").drop("k").withColumn("t", F.lit(1))
         hits = exact.unionByName(near)
     best = hits.groupBy("char_input").agg(F.min_by(F.struct("min_confidence", "conflict_action"), "t").alias("p"))
     return asked.join(best, "char_input", "left").select(

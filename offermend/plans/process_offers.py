@@ -2,12 +2,13 @@
 
 eligible -> category -> check of existing attributes -> rules -> suggestions -> image values ->
 gate -> missing mandatory -> action, as one DataFrame plan. Reference sides are unique per key, so
-joins never multiply rows; the only wide shuffles of offers are by ``offer_id``.
+joins never multiply rows. Ids may be blank or repeated: a run works on distinct rows under a digest of
+their content, which is what the wide shuffles are by, and shows the ids again at the end.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ class Options:
     rules: list[Rule] = field(default_factory=builtin_rules)
     concept_names: dict[str, list[str]] | None = None
     category_rules: DataFrame | None = None  # keywords, exclude, category, ordinal
-    category_suggestions: DataFrame | None = None  # offer_id, suggested
+    category_suggestions: DataFrame | None = None  # offer_id, suggested; the first in text order counts
     suggestions: DataFrame | None = None  # offer_id, position, char_input, value_input
-    repair_choices: DataFrame | None = None  # cat, char_name, value_input, choice
+    repair_choices: DataFrame | None = None  # cat, char_name, value_input, choice; likewise
     image_values: DataFrame | None = None  # offer_id, char_input, value_input
     filter_category: str | None = None
     target_char: str | None = None
@@ -121,11 +122,39 @@ def _long(rows: DataFrame, source: str, prio: int, position: Column, mode: str |
     )
 
 
+def by_row(offers: DataFrame) -> DataFrame:
+    """Distinct offers with ``offer_id`` replaced by a digest of the row; ``shown_id`` is the id as
+    given, ``copies`` how many rows are equal. Equal rows are combined before the shuffle."""
+    content = F.md5(F.to_json(F.struct(*offers.columns), {"ignoreNullFields": "false"}))
+    one = offers.withColumn("row_key", content).groupBy("row_key").agg(F.first(F.struct(*offers.columns)).alias("o"), F.count("*").alias("copies"))
+    others = [F.col(f"o.{c}") for c in offers.columns if c != "offer_id"]
+    return one.select(F.col("row_key").alias("offer_id"), *others, F.col("o.offer_id").alias("shown_id"), "copies")
+
+
+def _by_row(options: Options, rows: DataFrame) -> Options:
+    """The options with tables keyed by offer id keyed by row instead, and one answer per question."""
+    keys = rows.select(F.col("shown_id").alias("_shown"), F.col("offer_id").alias("_row"))
+
+    def keyed(table: DataFrame | None) -> DataFrame | None:
+        if table is None:
+            return None
+        return table.join(keys, F.col("offer_id") == F.col("_shown")).drop("offer_id", "_shown").withColumnRenamed("_row", "offer_id")
+
+    replies, choices = options.category_suggestions, options.repair_choices
+    if replies is not None:
+        replies = keyed(replies.groupBy("offer_id").agg(F.min("suggested").alias("suggested")))
+    if choices is not None:
+        choices = choices.groupBy("cat", "char_name", "value_input").agg(F.min("choice").alias("choice"))
+    return replace(options, category_suggestions=replies, suggestions=keyed(options.suggestions), repair_choices=choices, image_values=keyed(options.image_values))
+
+
 def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options | None = None) -> DataFrame:
     """Results of a run: one row per offer in the ``RESULTS`` schema (see ``schemas``), plus ``cat``,
     ``kept`` (existing attributes that stay) and ``audit_rejected`` (image values turned down)."""
     options = options or Options()
     spark = offers.sparkSession
+    offers = by_row(offers)
+    options = _by_row(options, offers)
     names = concept_names_table(spark, options.concept_names)
     concepts = applicable_concepts(index, names)
     base = resolve_offers(offers, index, options)
@@ -241,8 +270,9 @@ def _assemble(base: DataFrame, per_offer: DataFrame, worded: DataFrame, index: R
     )
     live = F.col("cat").isNotNull()
     no_names = F.array().cast("array<string>")
-    return rows.select(
-        "offer_id", "title", F.coalesce("category", F.lit("")).alias("original_cat"), "error_code",
+    shown = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return shown.select(
+        F.col("shown_id").alias("offer_id"), "title", F.coalesce("category", F.lit("")).alias("original_cat"), "error_code",
         F.when((F.col("category_action") == "skip") & live & ((F.size("new_chars") > 0) | (F.size("cleared_items") > 0)), F.lit("updated"))
         .otherwise(F.col("category_action")).alias("action"),
         "new_category",

@@ -7,6 +7,7 @@ tests and the bench.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,13 +47,16 @@ def local_session(cpus: int | str = 8, app: str = "offermend", memory: str = "12
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for tables a job writes to cut lineage.
+    """Folder for tables a job writes to cut lineage, named by ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests) a local
-    folder is used, and it is recorded so that later calls agree.
+    Only a local session, whose tasks all run on this machine, gets one of its own where the setting
+    is missing; it is recorded so that later calls agree. A cluster without the setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="offermend-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -67,13 +71,3 @@ def staged(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/staged-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A table scan over at least as many tasks as there are cores.
-
-    For small single-file inputs only: a scan that already has enough splits is left as it is, so
-    large inputs are not shuffled.
-    """
-    wanted = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan

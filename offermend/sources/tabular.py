@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from offermend import fixed_values as V
 from offermend.functions.text import null_if_blank, strip
@@ -16,9 +15,13 @@ ORDINAL = "ordinal"
 
 
 def read_tabular(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or TSV by extension, every cell a string; bytes that are not UTF-8 are replaced."""
+    """CSV or TSV by extension, every cell a string; bytes that are not UTF-8 are replaced.
+
+    Cells may hold line breaks within quotes, as descriptions do, so a file cannot be split: large
+    inputs should come as many files, each of which is one task.
+    """
     sep = "\t" if path.lower().rstrip("/").endswith(".tsv") else ","
-    frame = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=False, escape='"', encoding="UTF-8", mode="PERMISSIVE")
+    frame = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8", mode="PERMISSIVE")
     return drop_blank_rows(frame)
 
 
@@ -30,11 +33,10 @@ def drop_blank_rows(frame: DataFrame) -> DataFrame:
 def with_ordinal(frame: DataFrame) -> DataFrame:
     """Rows numbered in file order, which first-wins and last-wins rules refer to.
 
-    ``zipWithIndex`` counts partitions first and then numbers them in place: no shuffle, no single
-    task, and the same numbers on every run of an immutable file.
+    Rows of one file get 0, 1, 2, ...; those of further files follow in order, with gaps. Numbers are made
+    in the scan itself and are the same on every run of immutable files.
     """
-    schema = T.StructType([*frame.schema.fields, T.StructField(ORDINAL, T.LongType(), False)])
-    return frame.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1])).toDF(schema)
+    return frame.withColumn(ORDINAL, F.monotonically_increasing_id())
 
 
 @dataclass
@@ -166,8 +168,7 @@ def fold_existing_chars(pairs: list[tuple[str, str]]) -> Column:
 def read_offers(frame: DataFrame, numbered: bool = True) -> DataFrame:
     """Offer rows in the ``OFFERS`` schema from an export with any of the known headers.
 
-    The row number only serves display order. ``numbered=False`` leaves it null, which keeps a very
-    large export entirely in the JVM.
+    The row number only serves display order; ``numbered=False`` leaves it null.
     """
     frame = drop_blank_rows(frame)
     frame = _ordered(frame) if numbered else frame.withColumn(ORDINAL, F.lit(None).cast("bigint"))

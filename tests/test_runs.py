@@ -200,3 +200,24 @@ def test_replies(spark):
     assert [r.m for r in rows] == [{"a": "1"}, {"a": '["x","y"]'}, {}, {}, {"a": '{"b":1}'}]
     fields = spark.createDataFrame([("o", "Tip:", 1), ("o", "Tip", 2)], "offer_id string, char_name string, position int")
     assert {r.char_name: r.display for r in suggest.display_names(fields).collect()} == {"Tip:": "Tip", "Tip": "Tip"}
+
+
+def test_blank_and_repeated_ids_are_offers_of_their_own(offers, index, results):
+    from pyspark.sql import functions as F
+
+    one = offers.where("offer_id = 'o1'")
+    other = offers.where("offer_id = 'o2'").withColumn("offer_id", F.lit("o1"))
+    blank = one.withColumn("offer_id", F.lit(None).cast("string"))
+    alone = {r.title: r for r in results.where("offer_id IN ('o1', 'o2')").collect()}
+    rows = process_offers(one.union(other).union(blank).union(blank), index, Options()).collect()
+    titles = [one.first().title, other.first().title]
+    assert sorted((r.offer_id or "", r.title) for r in rows) == sorted([("", titles[0]), ("", titles[0]), ("o1", titles[0]), ("o1", titles[1])])
+    for r in rows:
+        assert (r.kept, r.new_chars, r.cleared) == (alone[r.title].kept, alone[r.title].new_chars, alone[r.title].cleared)
+
+
+def test_cells_with_line_breaks_and_row_numbers(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('id,text\n1,"first\nsecond"\n2,plain\n')
+    rows = tabular.with_ordinal(tabular.read_tabular(spark, str(path))).collect()
+    assert [(r.id, r.text, r.ordinal) for r in rows] == [("1", "first\nsecond", 0), ("2", "plain", 1)]
