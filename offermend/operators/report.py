@@ -167,8 +167,8 @@ def char_reason_counts(results: DataFrame) -> DataFrame:
 
 def reason_share(counts: DataFrame) -> DataFrame:
     """Counts with their percentage of the whole, one decimal."""
-    whole = counts.agg(F.sum("n").alias("_all"))
-    return counts.join(F.broadcast(whole)).withColumn("pct", F.bround(F.col("n") / F.col("_all") * 100, 1)).drop("_all")
+    whole = F.sum("n").over(W.partitionBy())  # counts are a row per reason
+    return counts.withColumn("pct", F.bround(F.col("n") / whole * 100, 1))
 
 
 def top_problem_chars(counts: DataFrame, n: int = 10) -> DataFrame:
@@ -334,12 +334,3 @@ def truncate_strings(c: Column, max_len: int = 800) -> Column:
 def truncate_list(c: Column, max_items: int = 30) -> Column:
     return F.slice(c, 1, max_items)
 
-
-def checkpoint_marks(rows: DataFrame, order: str, every: int = V.CHECKPOINT_EVERY) -> DataFrame:
-    """How many offers each snapshot of a run covers, by hash slices numbered on their own."""
-    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    n = F.row_number().over(W.partitionBy("_slice").orderBy(order))
-    return (
-        rows.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices))).withColumn("_n", n)
-        .groupBy("_slice", F.ceil(F.col("_n") / every).alias("snapshot")).agg(F.count("*").alias("offers"))
-    )

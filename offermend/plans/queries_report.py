@@ -296,11 +296,6 @@ def truncate_strings(spark, sf_dir):
     return docs.select("doc_id", F.md5(report.truncate_strings(F.col("text"))).alias("cut"))
 
 
-@query("SELECT count(*) AS offers FROM events")
-def checkpoint_marks(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return report.checkpoint_marks(events, "event_id").agg(F.sum("offers").alias("offers"))
-
 
 # ---------------------------------------------------------------- exports
 

@@ -66,18 +66,17 @@ def accept_suggestions(spark, sf_dir):
     return out.select("offer_id", "char_input", "value_input", "value", "method", "needs_review", "reason")
 
 
-LISTS = """, lists AS (SELECT cat, char_name, count(*) AS n FROM vals GROUP BY 1, 2),
-options AS (SELECT o.offer_id, r.cat, l.char_name, l.n FROM fx_offers o JOIN resolved r USING (category) JOIN lists l ON l.cat = r.cat
-  WHERE (l.n <= 80 OR lower(l.char_name) IN ('culoare de baza', 'color'))
-    AND NOT EXISTS (SELECT 1 FROM fx_attributes a WHERE a.offer_id = o.offer_id AND a.char_name = l.char_name))
+LISTS = """, lists AS (SELECT cat, char_name, count(*) AS n, string_agg(value, '|' ORDER BY value) AS listed FROM vals GROUP BY 1, 2),
+options AS (SELECT o.offer_id, r.cat, l.char_name, l.n, l.listed FROM fx_offers o JOIN resolved r USING (category) JOIN lists l ON l.cat = r.cat
+  WHERE NOT EXISTS (SELECT 1 FROM fx_attributes a WHERE a.offer_id = o.offer_id AND a.char_name = l.char_name))
 """
 
 
-@query(ALL + LISTS + "SELECT offer_id, char_name, n AS n_values, CAST(least(n, 50) AS INT) AS n_options FROM options")
+@query(ALL + LISTS + "SELECT offer_id, char_name, n AS n_values, md5(listed) AS options FROM options")
 def fillable_options(spark, sf_dir):
     _, index, offers = located(spark, sf_dir)
     out = suggest.fillable_options(offers.where("cat IS NOT NULL"), attribute_rows(offers), index)
-    return out.select("offer_id", "char_name", "n_values", F.size("options").alias("n_options"))
+    return out.select("offer_id", "char_name", "n_values", F.md5(F.array_join("options", "|")).alias("options"))
 
 
 def _fields(spark, sf_dir):
@@ -89,8 +88,7 @@ def _fields(spark, sf_dir):
 @query(
     ALL + LISTS + """, flagged AS (SELECT p.*, coalesce((SELECT bool_or(t.mandatory) FROM attrs t WHERE t.cat = p.cat AND t.char_name = p.char_name), false) AS mandatory FROM options p),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY offer_id, mandatory ORDER BY char_name) AS rn, sum(CAST(mandatory AS INT)) OVER (PARTITION BY offer_id) AS m FROM flagged)
-SELECT offer_id, char_name, mandatory, CAST(CASE WHEN mandatory THEN rn ELSE least(m, 12) + rn END AS BIGINT) AS position FROM ranked
-WHERE CASE WHEN mandatory THEN rn <= 12 ELSE rn <= 20 - least(m, 12) END"""
+SELECT offer_id, char_name, mandatory, CAST(CASE WHEN mandatory THEN rn ELSE m + rn END AS BIGINT) AS position FROM ranked"""
 )
 def prompt_fields(spark, sf_dir):
     return _fields(spark, sf_dir)[2].select("offer_id", "char_name", "mandatory", F.col("position").cast("bigint").alias("position"))
@@ -99,12 +97,11 @@ def prompt_fields(spark, sf_dir):
 @query(
     ALL + """, c AS (SELECT o.offer_id, t.char_name, t.mandatory, t.ordinal, (SELECT count(*) FROM vals v WHERE v.cat = r.cat AND v.char_name = t.char_name) AS n,
   t.char_name = 'Brand' AS known, coalesce(o.description, '') AS d FROM fx_offers o JOIN resolved r USING (category) JOIN attrs t ON t.cat = r.cat),
-s AS (SELECT *, CASE WHEN known THEN 3 ELSE 0 END + CASE WHEN contains(lower(d), lower(char_name)) THEN 2 ELSE 0 END + CASE WHEN n BETWEEN 1 AND 9 THEN 1 ELSE 0 END AS score FROM c),
-k AS (SELECT *, row_number() OVER (PARTITION BY offer_id, mandatory ORDER BY score DESC, ordinal) AS rn, sum(CAST(mandatory AS INT)) OVER (PARTITION BY offer_id) AS m FROM s)
-SELECT offer_id, char_name FROM k WHERE mandatory OR rn <= greatest(0, 8 - m)"""
+s AS (SELECT *, CASE WHEN known THEN 3 ELSE 0 END + CASE WHEN contains(lower(d), lower(char_name)) THEN 2 ELSE 0 END + CASE WHEN n BETWEEN 1 AND 9 THEN 1 ELSE 0 END AS score FROM c)
+SELECT offer_id, char_name, score FROM s"""
 )
 def schema_select(spark, sf_dir):
-    return _schema_candidates(spark, sf_dir).select("offer_id", "char_name")
+    return _schema_candidates(spark, sf_dir).select("offer_id", "char_name", "score")
 
 
 def _schema_candidates(spark, sf_dir):
@@ -114,7 +111,7 @@ def _schema_candidates(spark, sf_dir):
     rows = offers.where("cat IS NOT NULL").select("offer_id", "cat", F.coalesce("description", F.lit("")).alias("description")).join(
         attributes.select("cat", "char_name", F.col("mandatory").alias("is_mandatory"), "ordinal", "n_values"), "cat"
     ).withColumn("known", F.col("char_name") == "Brand")
-    return suggest.schema_select(rows, max_total=8)
+    return suggest.schema_select(rows)
 
 
 @query()
@@ -139,11 +136,14 @@ def image_prompts(spark, sf_dir):
     return suggest.image_prompts(offers.withColumn("marketplace", F.lit("shop")), fields)
 
 
-@query(with_views("fx_offers") + "SELECT count(*) AS offers, true AS within_size FROM fx_offers")
+@query(
+    with_views("fx_offers") + """, t AS (SELECT count(*) AS c FROM fx_offers)
+SELECT b AS batch, CAST(least(60, c - b * 60) AS BIGINT) AS n, CAST(least(60, c - b * 60) AS BIGINT) AS lines FROM t, unnest(range(0, (c + 59) // 60)) AS u(b)"""
+)
 def batches(spark, sf_dir):
-    """Every offer in exactly one batch of at most sixty."""
-    sizes = suggest.batches(load(spark, sf_dir)["fx_offers"]).groupBy("batch").agg(F.count("*").alias("n"), F.max("line").alias("last"))
-    return sizes.agg(F.sum("n").alias("offers"), F.max((F.col("n") <= 60) & (F.col("last") == F.col("n"))).alias("within_size"))
+    """Every batch holds sixty offers on lines of their own, the last one the rest."""
+    rows = suggest.batches(load(spark, sf_dir)["fx_offers"])
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("line").alias("lines"))
 
 
 @query()
