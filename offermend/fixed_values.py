@@ -262,8 +262,8 @@ CATEGORY_CUTOFF, SUGGESTED_CATEGORY_CUTOFF, VALUE_CUTOFF = 0.90, 0.88, 0.80
 AUTO_ACCEPT, SOFT_REVIEW, SOFT_ACCEPT = 0.82, 0.68, 0.70
 RESOLVER_TIE, COLOR_TIE = 0.10, 0.08
 SYNONYM_BONUS, SYNONYM_FLOOR = 0.15, 0.85
-BATCH_SIZE, CHECKPOINT_EVERY = 60, 25
-REPAIR_BUDGET, REPAIR_BUDGET_MANDATORY_ONLY = 5, 2
+BATCH_SIZE = 60
+REPAIR_BUDGET = 5
 PRICE_IN, PRICE_OUT = 0.80 / 1_000_000, 4.00 / 1_000_000
 ACTION_CONFIDENCE = {"ok": 0.95, "assigned": 0.75, "cat_assigned": 0.70, "ai_assigned": 0.70, "unknown": 0.0}
 
@@ -315,7 +315,7 @@ COLOR_ATTRIBUTES = [
     "Culoare de baza", "Culoare:", "Szín:", "Цвят:", "Color", "Case Color", "Strap Color", "Web Color", "Dial Color",
     "Band Color", "Lens Color", "Kolor", "Farba", "Barva", "Colore", "Couleur",
 ]
-MIN_COLOR_CONFIDENCE, MULTICOLOR_THRESHOLD, MIN_PRODUCT_CONFIDENCE = 0.60, 0.80, 0.65
+MIN_COLOR_CONFIDENCE, MULTICOLOR_THRESHOLD = 0.60, 0.80
 CATEGORY_COLOR_CONFIDENCE = {"Smartwatches": 0.40, "Watches": 0.40}
 
 # attribute -> (lowest image confidence, what a contradiction leads to)

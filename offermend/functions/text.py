@@ -254,9 +254,5 @@ def url_guard(c: Column | str) -> Column:
     )
 
 
-def first_url(c: Column | str) -> Column:
-    return strip(F.element_at(F.split(F.coalesce(_col(c), F.lit("")), ","), 1))
-
-
 def display_name(c: Column | str) -> Column:
     return F.rtrim(_col(c), F.lit(":"))

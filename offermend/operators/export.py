@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRINGS = "map<string,string>"
@@ -70,6 +70,25 @@ def export_model_rows(offers: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select(*base, *pairs)
 
 
+def _additions() -> Column:
+    """New attributes, then mandatory names that are still missing, as (name, value)."""
+    return F.concat(
+        F.transform(F.map_entries("new_chars"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))),
+        F.transform(
+            F.filter("missing_mandatory", lambda m: ~F.map_contains_key(F.col("new_chars"), m)),
+            lambda m: F.struct(m.alias("name"), F.lit(None).cast("string").alias("value")),
+        ),
+    )
+
+
+def export_overflow(offers: DataFrame, results: DataFrame) -> DataFrame:
+    """(offer_id, position, name, value) of additions that find no free slot in the original layout."""
+    rows = offers.select("offer_id", "slots").join(results.select("offer_id", "new_chars", "missing_mandatory"), "offer_id")
+    free = F.size(F.filter("slots", lambda s: s["name"].isNull()))
+    left = rows.select("offer_id", free.alias("free"), F.posexplode(_additions()).alias("position", "a")).where("position >= free")
+    return left.select("offer_id", "position", "a.name", "a.value")
+
+
 def export_original_rows(offers: DataFrame, results: DataFrame, n_slots: int) -> DataFrame:
     """Source slots kept in place: cleared names lose their value, new attributes and then missing
     mandatory names go to the first free slots; what does not fit is left out, as the file has no
@@ -78,14 +97,7 @@ def export_original_rows(offers: DataFrame, results: DataFrame, n_slots: int) ->
     rows = offers.select("offer_id", "category", "slots").join(
         results.select("offer_id", "action", "new_category", "new_chars", "cleared", "missing_mandatory"), "offer_id"
     )
-    additions = F.concat(
-        F.transform(F.map_entries("new_chars"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))),
-        F.transform(
-            F.filter("missing_mandatory", lambda m: ~F.map_contains_key(F.col("new_chars"), m)),
-            lambda m: F.struct(m.alias("name"), F.lit(None).cast("string").alias("value")),
-        ),
-    )
-    rows = rows.withColumn("_add", additions)
+    rows = rows.withColumn("_add", _additions())
     # rank of a free slot among the free ones = position of the addition it takes
     free_before = lambda i: F.size(F.filter(F.slice("slots", 1, i), lambda s: s["name"].isNull()))
     first_named = lambda s, i: ~F.exists(F.slice("slots", 1, i), lambda t: t["name"] == s["name"])

@@ -47,10 +47,6 @@ def knowledge_upsert(knowledge: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def knowledge_confidence(accepted, requested):
-    return F.bround(accepted / F.greatest(requested, F.lit(1)), 2)
-
-
 def cached_categories(offers: DataFrame, cache: DataFrame, marketplace: str) -> DataFrame:
     """(offer_id, category) for titles a model already classified; ``cache``: key, category."""
     keyed = offers.select("offer_id", title_key("title", F.lit(marketplace)).alias("key"))
@@ -136,5 +132,3 @@ def pending(offers: DataFrame, done: DataFrame) -> DataFrame:
 def resume(done: DataFrame, fresh: DataFrame) -> DataFrame:
     """Earlier results kept in place, with the fresh ones for the rest."""
     return done.unionByName(fresh.join(done.select("offer_id"), "offer_id", "left_anti"))
-
-

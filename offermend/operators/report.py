@@ -329,8 +329,3 @@ def unified_log(app: DataFrame, runs: DataFrame, model: DataFrame, vision: DataF
 def truncate_strings(c: Column, max_len: int = 800) -> Column:
     """Long text cut, with the number of characters left out."""
     return F.when(F.length(c) > max_len, F.concat(F.substring(c, 1, max_len), F.lit("…[+"), F.length(c) - max_len, F.lit("]"))).otherwise(c)
-
-
-def truncate_list(c: Column, max_items: int = 30) -> Column:
-    return F.slice(c, 1, max_items)
-

@@ -125,11 +125,6 @@ def validate_reference(categories: DataFrame, characteristics: DataFrame, values
     return union_all(parts)
 
 
-def ordered_issues(issues: DataFrame) -> DataFrame:
-    """Issues of a run for display: warnings before errors as text order gives it, then type."""
-    return issues.orderBy(F.desc("severity"), "issue_type", "entity_id", "message")
-
-
 def reference_stats(index: ReferenceIndex, categories: DataFrame, characteristics: DataFrame) -> DataFrame:
     """Rows of categories and attributes, distinct listed values per (category, attribute)."""
     def counted(rows: DataFrame, name: str) -> DataFrame:

@@ -132,7 +132,7 @@ def token_scores(spark, sf_dir):
     return pairs.withColumn("score", fuzzy.token_score_udf(norm_color("p_name"), norm_color("first_name")))
 
 
-@query()
+@query("SELECT DISTINCT p_type, substr(p_name, 1, 2) || substr(p_name, 4) AS query, p_name AS candidate, round(2.0 * (length(p_name) - 1) / (2 * length(p_name) - 1), 6)::DOUBLE AS ratio FROM part")
 def closest_names(spark, sf_dir):
     """Part names with a letter dropped, matched back to the names of their type."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -141,7 +141,10 @@ def closest_names(spark, sf_dir):
     return fuzzy.closest(typos, names, ["p_type"], "query", "candidate", 0.80).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(
+    with_views("fx_offers", "fx_categories") + "SELECT DISTINCT ' ' || lower(o.category) || ' ' AS suggested, c.category_name FROM fx_offers o "
+    "LEFT JOIN (SELECT DISTINCT category_name FROM fx_categories) c ON lower(c.category_name) = lower(o.category) WHERE o.category <> ''"
+)
 def match_suggested_categories(spark, sf_dir):
     fx, index, _ = located(spark, sf_dir)
     replies = fx["fx_offers"].where("category <> ''").select(F.concat(F.lit(" "), F.lower("category"), F.lit(" ")).alias("suggested"))

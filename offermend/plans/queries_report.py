@@ -9,6 +9,7 @@ from offermend.operators import matching, report
 from offermend.operators.export import change_tags as tags
 from offermend.operators.export import export_model_rows as model_rows
 from offermend.operators.export import export_original_rows as original_rows
+from offermend.operators.export import export_overflow as overflow_rows
 from offermend.operators.export import long_attributes
 from offermend.plans.check_sql import REFERENCE, RESOLVED, VIEWS, lit, with_views
 from offermend.plans.fixtures import load
@@ -324,11 +325,23 @@ def export_model_rows(spark, sf_dir):
 
 @query()
 def export_original_rows(spark, sf_dir):
+    return original_rows(_slotted(spark, sf_dir, 6), saved_run(spark, sf_dir), 6)
+
+
+def _slotted(spark, sf_dir, n):
+    """Offers with at least n slots; no existing attribute is cut."""
     fx, _, _ = located(spark, sf_dir)
     slots = F.transform(F.map_entries("existing_chars"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
-    free = F.array_repeat(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value")), 6)
-    offers = fixture_offers(fx).withColumn("slots", F.slice(F.concat(slots, free), 1, 6))
-    return original_rows(offers, saved_run(spark, sf_dir), 6)
+    none = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))
+    return fixture_offers(fx).withColumn("slots", F.concat(slots, F.array_repeat(none, F.greatest(F.lit(0), n - F.size(slots)))))
+
+
+@query()
+def export_overflow(spark, sf_dir):
+    """Additions that do not fit when every offer has one slot more than attributes."""
+    offers = _slotted(spark, sf_dir, 0)
+    none = offers.schema["slots"].dataType.elementType
+    return overflow_rows(offers.withColumn("slots", F.concat("slots", F.array(F.lit(None).cast(none)))), saved_run(spark, sf_dir))
 
 
 @query(
