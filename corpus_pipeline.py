@@ -14,12 +14,17 @@ from offermend.llm import exact_dedup, language, mixing, packing, simhash
 from offermend.session import shared_folder
 
 
+def _aside(docs: DataFrame, added: tuple[str, ...]) -> dict[str, str]:
+    """Names for the documents' own columns that an operator's results would replace."""
+    return {c: f"__own_{c}" for c in added if c in docs.columns}
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or null go; so do those of which no language makes up half."""
-    model = language.train(docs)
-    named = language.predict(docs.withColumnsRenamed({c: f"__own_{c}" for c in ("lang_pred", "score", "languages") if c in docs.columns}), model)
+    own = _aside(docs, ("lang_pred", "score", "languages"))
+    named = language.predict(docs.withColumnsRenamed(own), language.train(docs))
     kept = named.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)).drop("lang_pred", "score", "languages")
-    return kept.withColumnsRenamed({f"__own_{c}": c for c in ("lang_pred", "score", "languages")})
+    return kept.withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole copy the mix takes, and one for a part of a document at the edge of a run."""
-    return mixing.realise(mixing.mix(docs), docs.columns)
+    own = _aside(docs, ("size", "shards", "shard", "quota", "ordinal", *mixing.ADDED))
+    renamed = docs.withColumnsRenamed(own)
+    return mixing.realise(mixing.mix(renamed), renamed.columns).withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
