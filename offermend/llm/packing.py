@@ -36,8 +36,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of one length that one window counts.
 RANKED_ROWS = 1000
-#: Texts tokenised at a time.
-SLICE = 64
+#: Documents whose pieces are handed on at a time.
+SLICE = 500
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -52,12 +52,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
             keys, texts = batch[id_col].tolist(), batch[text].tolist()
             for at in range(0, len(texts), SLICE):
                 rows = []
-                for key, ids in zip(keys[at:at + SLICE], enc.encode([t or "" for t in texts[at:at + SLICE]]), strict=True):
-                    ids += end
+                for key, text_ in zip(keys[at:at + SLICE], texts[at:at + SLICE], strict=True):
+                    ids = enc.encode(text_ or "") + end
                     for piece, first in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[first:first + 4 * capacity]
                         rows.append((key, piece, first // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
-                yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids).astype({id_col: batch[id_col].dtype})
+                yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return docs.select(id_col, text).mapInPandas(cut, schema)
 

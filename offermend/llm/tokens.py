@@ -1,23 +1,71 @@
 """Token ids of whole texts by a public tokenizer file, a word at a time.
 
-The tokenizer lower-cases, cuts words by a pattern and merges within a word only, so a word has the
-same ids wherever it stands. Each worker keeps the ids of words it has met; new words go to the
-tokenizer in one call. A text with any character outside the range for which the two regular
-expression engines surely agree is given to the tokenizer as a whole.
+The tokenizer lower-cases, cuts words by a pattern that never crosses white space, and merges within a
+word only, so a stretch between white space has the same ids wherever it stands. Each worker keeps the
+ids of stretches and of words it has met; the words of new stretches go to the tokenizer's model. A
+text with any character outside the range for which the two regular expression engines surely agree
+is given to the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+import sys
+from array import array
 
 import regex
 
 #: The word pattern of the tokenizer file.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space, printable ASCII and the composed Latin letters without the two whose case changes length.
-PLAIN = regex.compile("[\x09-\x0d\x20-\x7e¡-įı-ňŊ-ž]*")
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 300_000
+PLAIN = re.compile("[\x09-\x0d\x20-\x7e¡-įı-ňŊ-ž]*")
+#: Stretches, and words, that a worker remembers before it starts anew.
+REMEMBERED = 350_000
+
+
+class Memory(dict):
+    """Remembers what ``make`` gives for a key. When full it starts anew, taking over what is asked for again."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict = {}
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        ids = self[key] = self.before.pop(key, None) or self.make(key)
+        return ids
+
+
+class Words(Memory):
+    """Word -> ids by the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        from tokenizers import pre_tokenizers
+
+        super().__init__()
+        self.model = tokenizer.model
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def make(self, key: str) -> bytes:
+        spelled = key if key.isascii() else self.to_bytes.pre_tokenize_str(key)[0][0]
+        return _packed([t.id for t in self.model.tokenize(spelled)])
+
+
+class Stretches(Memory):
+    """Lower-cased text without white space -> ids."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def make(self, key: str) -> bytes:
+        return b"".join([self.words[w] for w in PATTERN.findall(key)])
 
 
 class Encoder:
@@ -26,42 +74,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for word, ids in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = _packed(ids.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [not PLAIN.fullmatch(t) or any(s in t for s in self.specials) for t in texts]
-        words = [None if w else PATTERN.findall(t.lower()) for t, w in zip(texts, whole, strict=True)]
-        out: list[bytes] = []
-        for text, found in zip(texts, words, strict=True):
-            if found is None:
-                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            known = self.known
-            try:
-                out.append(b"".join([known[w] for w in found]))
-            except KeyError:
-                self._learn(list({w: None for w in found if w not in known}))
-                missing = [w for w in found if w not in known]
-                if missing:  # a worker that has just started anew
-                    self._learn(list(dict.fromkeys(missing)))
-                out.append(b"".join([known[w] for w in found]))
-        return out
+        self.known = Stretches(Words(self.tokenizer))
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        known = self.known
+        return b"".join([known[s] for s in text.lower().split()])
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
 
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
