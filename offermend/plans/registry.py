@@ -28,6 +28,7 @@ from offermend.plans import (  # noqa: E402,F401
     queries_process,
     queries_reference,
     queries_report,
+    queries_sources,
     queries_suggest,
     queries_text,
     queries_vision,
