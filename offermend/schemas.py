@@ -46,6 +46,7 @@ RESULTS = (
     "category_reason string, chars_reasons map<string,string>, "
     "review array<struct<char_name:string,value_input:string,value:string,method:string,score:double,reason:string>>"
 )
+RUN_INDEX = "marketplace string, run_id string, run_ts timestamp"
 TABLES = {
     "categories": CATEGORIES,
     "characteristics": CHARACTERISTICS,
@@ -56,4 +57,5 @@ TABLES = {
     "product_knowledge": PRODUCT_KNOWLEDGE,
     "ai_run_log": AI_RUN_LOG,
     "process_runs": RESULTS,
+    "run_index": RUN_INDEX,
 }

@@ -72,11 +72,11 @@ class Store:
         return {name: self.read(name).where(pick) for name in REFERENCE}
 
     def clear_marketplace(self, marketplace_id: str) -> None:
-        """Nothing of the marketplace is readable afterwards: its partitions are emptied and its
-        runs are withdrawn."""
+        """Nothing of the marketplace is readable afterwards: its runs are withdrawn, then its
+        partitions go, so that no reader is led to files that are being deleted."""
+        self.log_run(marketplace_id, f"cleared-{dt.datetime.now().timestamp()}", "completed", "clear")
         for name in REFERENCE:
             self._drop_partitions(name, f"marketplace_id={marketplace_id}")
-        self.log_run(marketplace_id, f"cleared-{dt.datetime.now().timestamp()}", "completed", "clear")
 
     def _drop_partitions(self, table: str, partition: str) -> None:
         jvm = self.spark._jvm
@@ -101,25 +101,28 @@ class Store:
     # ------------------------------------------------------------ runs and logs
 
     def save_run(self, results: DataFrame, marketplace: str, run_id: str) -> None:
-        """Append the results of a run."""
+        """Store the results of a run; saving it again replaces it. A row in ``run_index`` announces it."""
         rows = results.withColumn("marketplace", F.lit(marketplace)).withColumn("run_id", F.lit(run_id)).withColumn("run_ts", F.current_timestamp())
-        rows.write.mode("append").partitionBy("marketplace", "run_id").parquet(self.path("process_runs"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("marketplace", "run_id").parquet(self.path("process_runs"))
+        entry = self.spark.range(1).select(F.lit(marketplace).alias("marketplace"), F.lit(run_id).alias("run_id"), F.current_timestamp().alias("run_ts"))
+        self.append("run_index", entry)
 
     def last_run(self, marketplace: str) -> DataFrame:
-        runs = self.spark.read.parquet(self.path("process_runs")).where(F.col("marketplace") == marketplace)
-        newest = runs.agg(F.max_by("run_id", "run_ts").alias("run_id")).first()["run_id"]
-        return runs.where(F.col("run_id") == newest)
+        """The newest run's results: found in the index, read from its own partition."""
+        newest = self.read("run_index").where(F.col("marketplace") == marketplace).agg(F.max_by("run_id", "run_ts").alias("run_id")).first()["run_id"]
+        runs = self.spark.read.parquet(self.path("process_runs"))
+        return runs.where((F.col("marketplace") == marketplace) & (F.col("run_id") == F.lit(newest)))
 
     def write_run_log(self, rows: DataFrame, run_id: str) -> None:
-        """Run log as JSON under its day, so that old days can be let go whole."""
+        """Run log as JSON under its day and run: old days can be let go whole, one run is read alone."""
         rows.withColumn("run_id", F.lit(run_id)).withColumn("logged_at", F.current_timestamp()).withColumn(
             "day", F.current_date()
-        ).write.mode("append").partitionBy("day").json(self.path("run_logs"))
+        ).write.mode("append").partitionBy("day", "run_id").json(self.path("run_logs"))
 
     def list_logs(self) -> DataFrame:
         """run_id, logged_at and rows of every stored log, newest first."""
         logs = self.spark.read.json(self.path("run_logs"))
-        return logs.groupBy("run_id").agg(F.max("logged_at").alias("logged_at"), F.count("*").alias("entries")).orderBy(F.desc("logged_at"))
+        return logs.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.max("logged_at").alias("logged_at"), F.count("*").alias("entries")).orderBy(F.desc("logged_at"))
 
     def read_log(self, run_id: str) -> DataFrame:
         return self.spark.read.json(self.path("run_logs")).where(F.col("run_id") == run_id)
