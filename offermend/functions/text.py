@@ -216,10 +216,11 @@ def checkpoint_key(marketplace, filename) -> Column:
     return F.substring(F.md5(text), 1, 12)
 
 
-def sanitize(c: Column | str, max_len: int = 300) -> Column:
-    """Text safe inside a quoted request: one line, quotes escaped, cut at ``max_len``."""
+def sanitize(c: Column | str, max_len: int | None = None) -> Column:
+    """Text safe inside a quoted request: one line, quotes escaped, cut at ``max_len`` if one is given."""
     one_line = F.translate(F.coalesce(_col(c), F.lit("")), "\n\r", "  ")
-    return F.substring(F.replace(one_line, F.lit('"'), F.lit('\\"')), 1, max_len)
+    safe = F.replace(one_line, F.lit('"'), F.lit('\\"'))
+    return safe if max_len is None else F.substring(safe, 1, max_len)
 
 
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}).*?\[(\w+)\]\s+(.*)"

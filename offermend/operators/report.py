@@ -246,9 +246,11 @@ SHADOW = (
 )
 
 
-def shadow_agreement(log: DataFrame, last: int = 100) -> DataFrame:
-    """Over the newest shadow comparisons: runs, agreement percentage, runs with conflicts."""
-    newest = log.where("structured_mode = 'shadow' AND shadow_diff IS NOT NULL").orderBy(F.desc("created_at"), "run_id").limit(last)
+def shadow_agreement(log: DataFrame, last: int | None = None) -> DataFrame:
+    """Over all shadow comparisons, or the newest ``last``: runs, agreement percentage, runs with conflicts."""
+    newest = log.where("structured_mode = 'shadow' AND shadow_diff IS NOT NULL")
+    if last is not None:
+        newest = newest.orderBy(F.desc("created_at"), "run_id").limit(last)
     d = newest.select(F.from_json("shadow_diff", SHADOW).alias("d")).select("d.*").na.drop("all")
     empty = F.array().cast("array<string>")
     agree, left, right = [F.coalesce(c, empty) for c in ("agree", "only_structured", "only_plain")]

@@ -196,7 +196,7 @@ def telemetry_by_marketplace(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT * FROM events WHERE event_id % 3 = 1 ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 100)
+    """WITH s AS (SELECT * FROM events WHERE event_id % 3 = 1)
 SELECT count(*) AS shadow_runs,
   round(sum(1 + user_id % 2) * 100.0 / sum(1 + user_id % 2 + user_id % 3), 1) AS agreement_rate,
   count(*) FILTER (WHERE user_id % 4 = 0) AS runs_with_conflicts FROM s"""
@@ -284,9 +284,9 @@ def unified_log(spark, sf_dir):
     return _unified(spark, sf_dir)
 
 
-@query(UNIFIED + "SELECT * FROM u WHERE level IN ('WARNING', 'ERROR') AND source = 'vision' ORDER BY ts DESC, source, message LIMIT 500")
+@query(UNIFIED + "SELECT * FROM u WHERE level IN ('WARNING', 'ERROR') AND source = 'vision'")
 def log_filter(spark, sf_dir):
-    return report.log_filter(_unified(spark, sf_dir), "WARNING", "vision", 500)
+    return report.log_filter(_unified(spark, sf_dir), "WARNING", "vision")
 
 
 @query(

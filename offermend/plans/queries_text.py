@@ -109,9 +109,9 @@ def keys(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, md5(substr(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '\"', '\\\"'), 1, 300)) AS key FROM documents")
+@query("SELECT doc_id, md5(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '\"', '\\\"')) AS key FROM documents")
 def sanitize(spark, sf_dir):
-    return _docs(spark, sf_dir, T.sanitize("text", 300))
+    return _docs(spark, sf_dir, T.sanitize("text"))
 
 
 @query(

@@ -115,7 +115,8 @@ def apply_color(spark, sf_dir):
     _, index, offers = located(spark, sf_dir)
     live = offers.where("cat IS NOT NULL")
     colors = vision.palette_color(_palette(spark, sf_dir))
-    pictures = live.select("offer_id", (F.col("ordinal") % 500).alias("image_id")).join(colors, "image_id").drop("image_id").withColumnRenamed("offer_id", "image_id")
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    pictures = live.select("offer_id", (F.col("ordinal") % n).alias("image_id")).join(colors, "image_id").drop("image_id").withColumnRenamed("offer_id", "image_id")
     return vision.apply_color(live, pictures, attribute_rows(live), index, resolver.cluster_table(spark))
 
 
