@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-GRAM = 5
+GRAM = 4
 #: Documents that may share an anchor before its windows are kept apart.
 HOT = 500
 #: Words, and hot windows, that a task remembers before it starts anew.
@@ -146,12 +146,14 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "anchor long, id long")
 
 
-_PASSAGE = "key long, id long, start int, words binary, stop int"
+_PASSAGE = "key long, id long, start int, words binary, stop int, more array<int>"
 
 
 def _passages(rows: DataFrame, window: int) -> DataFrame:
     """Passages (``stop`` null) to their shards, and spans of hot windows (``words`` null) that are settled here.
 
+    A passage that a document repeats goes once; ``more`` holds its other places.
+
     Rows come sorted by id, so the first document of a task with a hot window has its smallest id.
     """
 
@@ -166,47 +168,46 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
                     continue
                 is_hot = np.isin(anchor, np.array(hot, np.int64))
                 is_cold = np.isin(anchor, np.array(cold, np.int64))
-                edges = np.flatnonzero(np.diff(anchor) != 0) + 1
-                starts = np.concatenate(([0], edges))
-                for a, b in zip(starts.tolist(), [*edges.tolist(), len(anchor)], strict=True):
+                starts = np.concatenate(([0], np.flatnonzero(np.diff(anchor) != 0) + 1))
+                own: dict[tuple[int, bytes], list[int]] = {}  # passages of this document, each once
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(anchor)], strict=True):
                     if is_cold[a]:
-                        out.append((int(anchor[a]), key, a, b" ".join(words[a:b + window - 1]), None))
+                        own.setdefault((int(anchor[a]), b" ".join(words[a:b + window - 1])), []).append(a)
+                settled = np.zeros(len(words), bool)
                 for a in np.flatnonzero(is_hot).tolist():
                     some = b" ".join(words[a:a + window])
                     mark = hashlib.blake2b(some, digest_size=16).digest()
                     if first.setdefault(mark, key) != key:
-                        if out and out[-1][4] == a + window - 1 and out[-1][1] == key:
-                            out[-1] = (*out[-1][:4], a + window)
-                        else:
-                            out.append((key, key, a, None, a + window))
+                        settled[a:a + window] = True
                     else:
-                        out.append((int.from_bytes(mark[:8], "little", signed=True), key, a, some, None))
+                        own.setdefault((int.from_bytes(mark[:8], "little", signed=True), some), []).append(a)
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], settled, [False]))))
+                out += [(key, key, a, None, b, None) for a, b in edges.reshape(-1, 2).tolist()]
+                out += [(shard, key, at[0], some, None, at[1:] or None) for (shard, some), at in own.items()]
                 if len(first) > REMEMBERED:
                     first.clear()
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "start", "words", "stop"])
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "start", "words", "stop", "more"])
 
     return rows.select("id", "text", "cold", "hot").mapInArrow(run, _PASSAGE)
 
 
-def shard_spans(passages: list[tuple[int, int, bytes]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """(id, start, stop) in words of what a shard's passages, (id, start, words) in order of id, repeat of earlier documents."""
-    seen: dict[bytes, int] = {}
+def shard_spans(passages: list[tuple[int, list[int], bytes]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+    """(id, start, stop) in words of what a shard's passages, (id, starts, words) in order of id, repeat of earlier documents."""
+    seen: set[bytes] = set()  # passages of earlier documents
     automaton: Automaton | None = None
-    pending: list[list[bytes]] = []  # distinct passages not yet in the automaton
+    pending: list[list[bytes]] = []  # those not yet in the automaton
     for key, same in groupby(passages, key=lambda p: p[0]):
         fresh: list[bytes] = []
-        for _, start, raw in same:
+        for _, starts, raw in same:
             words = raw.split()
-            if seen.get(raw, key) != key:
-                yield key, start, start + len(words)
+            if raw in seen:
+                yield from ((key, at, at + len(words)) for at in starts)
+                continue
+            fresh.append(raw)
+            if not seen:
                 continue
-            if raw not in seen:
-                seen[raw] = key
-                fresh.append(raw)
-            if len(seen) == len(fresh):
-                continue  # no earlier document yet
             if automaton is None:
                 automaton = Automaton()
             for earlier in pending:
@@ -217,19 +218,20 @@ def shard_spans(passages: list[tuple[int, int, bytes]], window: int = WINDOW) ->
                 if length >= window:
                     if i - window + 1 > stop:
                         if stop >= 0:
-                            yield key, start + begin, start + stop
+                            yield from ((key, at + begin, at + stop) for at in starts)
                         begin = i - window + 1
                     stop = i + 1
             if stop >= 0:
-                yield key, start + begin, start + stop
+                yield from ((key, at + begin, at + stop) for at in starts)
         pending += [raw.split() for raw in fresh]
+        seen.update(fresh)
 
 
 def _spans(passages: DataFrame, window: int) -> DataFrame:
     """(id, start, stop) of all words to remove, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, int, bytes]] = []
+        shard: list[tuple[int, list[int], bytes]] = []
         now = None
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,7 +240,7 @@ def _spans(passages: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             out: list[tuple[int, int, int]] = []
-            for key, one, start, words, stop in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for key, one, start, words, stop, more in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if words is None:
                     out.append((one, start, stop))
                     continue
@@ -246,12 +248,12 @@ def _spans(passages: DataFrame, window: int) -> DataFrame:
                     if len(shard) > 1:
                         out += shard_spans(shard, window)
                     shard, now = [], key
-                shard.append((one, start, words))
+                shard.append((one, [start, *(more or ())], words))
             yield made(out)
         if len(shard) > 1:
             yield made(list(shard_spans(shard, window)))
 
-    return passages.repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(run, "id long, start int, stop int")
+    return passages.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "id long, start int, stop int")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, with_text: bool = False) -> DataFrame:
