@@ -154,7 +154,8 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
 
     A passage that a document repeats goes once; ``more`` holds its other places.
 
-    Rows come sorted by id, so the first document of a task with a hot window has its smallest id.
+    A task forwards a hot window of the smallest id it has met and settles those of larger ones. Rows come
+    sorted by id, so it forwards one document's; in another order it forwards more, with the same result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +178,10 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
                 for a in np.flatnonzero(is_hot).tolist():
                     some = b" ".join(words[a:a + window])
                     mark = hashlib.blake2b(some, digest_size=16).digest()
-                    if first.setdefault(mark, key) != key:
+                    if first.setdefault(mark, key) < key:
                         settled[a:a + window] = True
                     else:
+                        first[mark] = key
                         own.setdefault((int.from_bytes(mark[:8], "little", signed=True), some), []).append(a)
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], settled, [False]))))
                 out += [(key, key, a, None, b, None) for a, b in edges.reshape(-1, 2).tolist()]
@@ -262,7 +264,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     found = _anchor_rows(rows, window)
     shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     mine = found.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
-    spans = _spans(_passages(rows.join(mine, "id"), window), window).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = _spans(_passages(rows.join(mine, "id").sortWithinPartitions("id"), window), window).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,24 @@ def test_kept_text_and_empty(spark):
     got = substring_dedup.dedup(docs(spark, [(1, twelve + " m"), (2, "x " + twelve + " m y"), (3, twelve)]), with_text=True)
     assert {r["doc_id"]: r["kept"] for r in got.collect()} == {1: twelve + " m", 2: "x y", 3: twelve}
     assert substring_dedup.dedup(docs(spark, [])).count() == 0
+
+
+def test_hot_windows_in_a_broadcast_join_whose_rows_come_in_no_order(spark):
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(i, ("z" * 8000) + f"{i} " + (shared if i % 4 == 0 else "one")) for i in range(3000, 0, -1)]
+    frame = docs(spark, rows).repartition(4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold") if spark.conf.get(k, None) is not None}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        assert rows_of(substring_dedup.dedup(frame, hot=3)) == brute(rows)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_a_hot_window_of_a_smaller_id_is_kept_in_any_order(spark):
+    words = " ".join(f"s{i}" for i in range(13))
+    [anchor] = substring_dedup.anchors(substring_dedup.words_of(words), substring_dedup.Hasher()).tolist()
+    rows = spark.createDataFrame([(i, words, [], [anchor]) for i in (7, 3, 5)], "id long, text string, cold array<long>, hot array<long>").coalesce(1)
+    got = substring_dedup._passages(rows, 13).collect()
+    assert sorted((r["id"], r["stop"]) for r in got) == [(3, None), (5, 13), (7, None)]
