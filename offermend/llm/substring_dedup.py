@@ -15,6 +15,10 @@ An anchor in more than ``HOT`` documents would make a shard without bound. Its w
 their own, keyed by the whole window; a task forwards only the first document it meets with each and
 removes the others at once, so such a shard has one passage per task.
 
+Spans go back to the row they were found in, by id and text: ``row`` is 0, or the hash of the text of a
+row without an id, and spreads such rows over tasks; ``mark`` is another hash of the text, checked when
+spans are cut out. Rows that share an id are told apart by these; equal rows get equal results.
+
 Defined results: null text has no words; a row without an id counts as the last document; rows that
 share an id are not compared with each other; windows are judged on the input, not on what is left.
 """
@@ -132,21 +136,23 @@ def anchors(words: list[bytes], known: Hasher, window: int = WINDOW) -> np.ndarr
 
 
 def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, id), once per row and anchor."""
+    """(anchor, id, row), once per row and anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hasher()
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            for text in batch.column(1).to_pylist():
-                found.append(np.unique(anchors(words_of(text), known, window)))
-            all_ids = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), pa.array(all_ids)], names=["anchor", "id"])
+            found = [np.unique(anchors(words_of(text), known, window)) for text in batch.column(2).to_pylist()]
+            own = [pa.array(np.repeat(np.array(batch.column(i).to_pylist(), np.int64), [len(f) for f in found])) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), *own], names=["anchor", "id", "row"])
+
+    return rows.select("id", "row", "text").mapInArrow(run, "anchor long, id long, row long")
+
 
-    return rows.select("id", "text").mapInArrow(run, "anchor long, id long")
+_PASSAGE = "key long, id long, start int, words binary, stop int, more array<int>, row long, mark long"
 
 
-_PASSAGE = "key long, id long, start int, words binary, stop int, more array<int>"
+def _mark(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _passages(rows: DataFrame, window: int) -> DataFrame:
@@ -162,7 +168,7 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
         known, first = Hasher(), {}
         for batch in batches:
             out: list[tuple] = []
-            for key, text, cold, hot in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, row, text, cold, hot in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 words = words_of(text)
                 anchor = anchors(words, known, window)
                 if not len(anchor):
@@ -184,25 +190,26 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
                         first[mark] = key
                         own.setdefault((int.from_bytes(mark[:8], "little", signed=True), some), []).append(a)
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], settled, [False]))))
-                out += [(key, key, a, None, b, None) for a, b in edges.reshape(-1, 2).tolist()]
-                out += [(shard, key, at[0], some, None, at[1:] or None) for (shard, some), at in own.items()]
+                of = (row, _mark(text))
+                out += [(key, key, a, None, b, None, *of) for a, b in edges.reshape(-1, 2).tolist()]
+                out += [(shard, key, at[0], some, None, at[1:] or None, *of) for (shard, some), at in own.items()]
                 if len(first) > REMEMBERED:
                     first.clear()
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "start", "words", "stop", "more"])
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "start", "words", "stop", "more", "row", "mark"])
 
-    return rows.select("id", "text", "cold", "hot").mapInArrow(run, _PASSAGE)
+    return rows.select("id", "row", "text", "cold", "hot").mapInArrow(run, _PASSAGE)
 
 
-def shard_spans(passages: list[tuple[int, list[int], bytes]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """(id, start, stop) in words of what a shard's passages, (id, starts, words) in order of id, repeat of earlier documents."""
+def shard_spans(passages: list[tuple[tuple[int, int, int], list[int], bytes]], window: int = WINDOW) -> Iterator[tuple[tuple[int, int, int], int, int]]:
+    """((id, row, mark), start, stop) in words of what a shard's passages, ((id, row, mark), starts, words) in order of id, repeat of earlier documents."""
     seen: set[bytes] = set()  # passages of earlier documents
     automaton: Automaton | None = None
     pending: list[list[bytes]] = []  # those not yet in the automaton
-    for key, same in groupby(passages, key=lambda p: p[0]):
+    for _, same in groupby(passages, key=lambda p: p[0][0]):
         fresh: list[bytes] = []
-        for _, starts, raw in same:
+        for key, starts, raw in same:
             words = raw.split()
             if raw in seen:
                 yield from ((key, at, at + len(words)) for at in starts)
@@ -230,41 +237,45 @@ def shard_spans(passages: list[tuple[int, list[int], bytes]], window: int = WIND
 
 
 def _spans(passages: DataFrame, window: int) -> DataFrame:
-    """(id, start, stop) of all words to remove, shard by shard."""
+    """(id, row, mark, start, stop) of all words to remove, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, list[int], bytes]] = []
+        shard: list[tuple[tuple[int, int, int], list[int], bytes]] = []
         now = None
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "start", "stop"])
+            columns = list(zip(*((*of, a, b) for of, a, b in rows), strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "row", "mark", "start", "stop"])
 
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for key, one, start, words, stop, more in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            out: list[tuple[tuple[int, int, int], int, int]] = []
+            for key, one, start, words, stop, more, row, mark in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                of = (one, row, mark)
                 if words is None:
-                    out.append((one, start, stop))
+                    out.append((of, start, stop))
                     continue
                 if key != now:
                     if len(shard) > 1:
                         out += shard_spans(shard, window)
                     shard, now = [], key
-                shard.append((one, [start, *(more or ())], words))
+                shard.append((of, [start, *(more or ())], words))
             yield made(out)
         if len(shard) > 1:
             yield made(list(shard_spans(shard, window)))
 
-    return passages.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "id long, start int, stop int")
+    return passages.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "id long, row long, mark long, start int, stop int")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 (and the kept words as ``kept``)."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    known = F.col(id_col).cast("long")
+    row = F.when(known.isNull(), F.xxhash64(text)).otherwise(F.lit(0))
+    rows = docs.select(F.coalesce(known, F.lit(LAST)).alias("id"), row.alias("row"), F.col(text).alias("text"))
     found = _anchor_rows(rows, window)
     shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    mine = found.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.when(F.col("n") <= hot, F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
-    spans = _spans(_passages(rows.join(mine, "id").sortWithinPartitions("id"), window), window).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    mine = found.join(shared, "anchor").groupBy("id", "row").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
+    spans = _spans(_passages(rows.join(mine, ["id", "row"]).sortWithinPartitions("id"), window), window).groupBy("id", "row").agg(F.collect_set(F.struct("mark", "start", "stop")).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,13 +284,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
             for raw, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = words_of(raw)
                 keep = np.ones(len(words), bool)
+                mark = _mark(raw) if some else 0
                 for s in some or ():
-                    keep[s["start"]:s["stop"]] = False
+                    if s["mark"] == mark:
+                        keep[s["start"]:s["stop"]] = False
                 kept = b" ".join([words[i] for i in np.flatnonzero(keep).tolist()]) if some else b" ".join(words)
                 out.append((len(words), int((~keep).sum()), hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "replace"),) if with_text else ()))
             columns = list(zip(*out, strict=True)) or [[]] * (3 + with_text)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()][: 3 + with_text]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
 
-    done = rows.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(run, schema)
+    done = rows.join(spans, ["id", "row"], "left").select("id", "text", "spans").mapInArrow(run, schema)
     return done.withColumn("id", F.when(F.col("id") != LAST, F.col("id")).cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

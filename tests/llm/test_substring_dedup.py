@@ -89,6 +89,16 @@ def test_hot_windows_in_a_broadcast_join_whose_rows_come_in_no_order(spark):
 def test_a_hot_window_of_a_smaller_id_is_kept_in_any_order(spark):
     words = " ".join(f"s{i}" for i in range(13))
     [anchor] = substring_dedup.anchors(substring_dedup.words_of(words), substring_dedup.Hasher()).tolist()
-    rows = spark.createDataFrame([(i, words, [], [anchor]) for i in (7, 3, 5)], "id long, text string, cold array<long>, hot array<long>").coalesce(1)
+    rows = spark.createDataFrame([(i, 0, words, [], [anchor]) for i in (7, 3, 5)], "id long, row long, text string, cold array<long>, hot array<long>").coalesce(1)
     got = substring_dedup._passages(rows, 13).collect()
     assert sorted((r["id"], r["stop"]) for r in got) == [(3, None), (5, 13), (7, None)]
+
+
+def test_rows_without_an_id_or_with_one_id_keep_their_own_words(spark):
+    shared = " ".join(f"s{i}" for i in range(15))
+    rows = [(1, shared), (2, "two " * 3 + shared), (2, " ".join(f"q{i}" for i in range(30)))]
+    for i in range(4):
+        own = " ".join(f"n{i}x{j}" for j in range(12 + i))
+        rows += [(None, f"{own} {shared} {own}"), (None, f"{own} {own}"), (None, f"{own} {own}")]
+    for hot in (substring_dedup.HOT, 3, 0):
+        assert rows_of(substring_dedup.dedup(docs(spark, rows).repartition(3), hot=hot)) == brute(rows)
