@@ -2,27 +2,31 @@
 
 Each text is scanned for assignments, access keys and hex runs. Then its encoded layers go on a
 worklist: percent escapes and Unicode escapes are decoded over the whole layer, base64 runs become
-layers of their own, and what they hold is unpacked if it is compressed. Every new layer is scanned
+layers of their own, and what they hold is unpacked if it is compressed. A run is read from each of its
+first four characters, as it may follow a word and a slash, and both by line and over line ends; bytes
+that are not UTF-8 are kept as characters of their own. Compressed data may begin anywhere in a run and
+have several members. Every new layer is scanned
 and unwrapped in turn until none is new; a layer equal to one of those it came from closes a cycle and
 is left. Each layer carries, for every character, the place in the original text that it stands for,
 so spans found deep inside are reported where they stand in the document.
 
 Defined results: null text counts as empty; a text without secrets has counts of 0 and empty spans;
-rows that repeat get the same result. A layer that unpacks to more than ``MOST_BYTES`` (a bomb, not
+rows that repeat get the same result; ``n_layers`` counts layers that are printable, lead to others or
+hold a secret. A layer that unpacks to more than ``MOST_BYTES`` (a bomb, not
 text) is not read; ``n_unread`` counts those.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import pairwise
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import zstandard
@@ -53,6 +57,8 @@ _IS_BASE64 = bytes(1 if chr(c).isascii() and (chr(c).isalnum() or c in b"+/-_")
 _PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST_BASE64)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r\n|\n|\r)[A-Za-z0-9+/_-]++)++={0,2}")
+_PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 Span = tuple[str, int, int]
 
@@ -72,20 +78,27 @@ def base_spans(text: str, raw: bytes | None = None) -> list[Span]:
 
 
 class Layer:
-    """Text with, per character, where it begins and ends in the document (None: where it stands)."""
+    """Text with, per character, where it begins and ends in the document (None: where it stands); ``whole`` is the one place of all unpacked text."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, above: tuple[bytes, ...] = ()):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, above: tuple[bytes, ...] = (), whole: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
         self.mark = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         self.above = above
 
     def place(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
         return (start, end) if self.starts is None else (min(self.starts[start:end]), max(self.ends[start:end]))
 
     def child(self, text: str, spots: list[tuple[int, int]]) -> Layer:
+        if self.whole is not None:
+            return Layer(text, above=(*self.above, self.mark), whole=self.whole)
         places = [self.place(a, b) for a, b in spots]
         return Layer(text, [p[0] for p in places], [p[1] for p in places], (*self.above, self.mark))
 
+    def unpacked(self, text: str, start: int, end: int) -> Layer:
+        return Layer(text, above=(*self.above, self.mark), whole=self.place(start, end))
+
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with each match decoded; ``decode`` gives (character, width) pairs or None to leave it."""
@@ -123,71 +136,121 @@ def _unicode(run: str) -> list[tuple[str, int]] | None:
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), len(run))]
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """What compressed bytes hold, b"" if more than the limit, None if they are not compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            engine = zlib.decompressobj(47)
-            out = engine.decompress(raw, MOST_BYTES + 1)
-        elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, MOST_BYTES + 1)
-        elif raw[:6] == b"\xfd7zXZ\0":
-            out = lzma.LZMADecompressor().decompress(raw, MOST_BYTES + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(MOST_BYTES + 1)
-        else:
-            return None
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return b"" if len(out) > MOST_BYTES else out
+def _engine(raw: bytes):
+    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    return None
+
 
+def _unpacked(raw: bytes) -> tuple[bytes, int | None] | None:
+    """What compressed bytes hold, over all members, and the length they take (None: cut short); None if they are not compressed.
 
-def _text_of(raw: bytes) -> str | None:
+    More than the limit is held if over ``MOST_BYTES`` come back.
+    """
+    out, rest, whole = bytearray(), raw, True
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+        while len(out) <= MOST_BYTES:
+            if rest[:4] == b"\x28\xb5\x2f\xfd":
+                with zstandard.ZstdDecompressor().stream_reader(rest, read_across_frames=False) as reader:
+                    out += reader.read(MOST_BYTES + 1 - len(out))
+                if len(out) > MOST_BYTES:
+                    break
+                (engine := zstandard.ZstdDecompressor().decompressobj()).decompress(rest)  # for where the frame ends
+            elif (engine := _engine(rest)) is not None:
+                out += engine.decompress(rest, MOST_BYTES + 1 - len(out))
+            else:
+                break
+            if not (whole := engine.eof):
+                break
+            rest = engine.unused_data
+    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+        pass  # what earlier members held stays
+    if len(rest) == len(raw) and not out:
         return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def _runs(layer: Layer) -> tuple[list[Layer], int]:
-    """Layers held in base64 runs, and the number of compressed runs over the limit."""
-    if b"\1" * SHORTEST_BASE64 not in layer.text.encode("utf-8", "surrogatepass").translate(_IS_BASE64):
-        return [], 0
-    out, unread = [], 0
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate(str.maketrans("-_", "+/"))
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        inner, packed = raw, False
-        while inner and (more := _unpacked(inner)) is not None:
-            inner, packed = more, True
-            unread += more == b""
-        if (text := _text_of(inner)) is None:
-            continue
-        if packed:
-            spots = [(m.start(), m.end())] * len(text)
-        else:
-            ends = [0]
-            for c in text:
-                ends.append(ends[-1] + len(c.encode()))
-            first, last = lambda i: m.start() + 4 * (i // 3) + i % 3, lambda i: m.start() + 4 * (i // 3) + i % 3 + 2
-            spots = [(first(a), last(b - 1)) for a, b in pairwise(ends)]
-        out.append(layer.child(text, spots))
-    return out, unread
+    return bytes(out), len(raw) - len(rest) if whole else None
+
+
+def _has_base64(raw: bytes) -> bool:
+    return b"\1" * SHORTEST_BASE64 in raw.translate(_IS_BASE64, b"\r\n")
+
+
+def _leads_on(text: str, raw: bytes) -> bool:
+    """Whether the text holds a secret or may hold a further layer."""
+    return bool(_has_base64(raw) or _PERCENT.search(text) or _UNICODE.search(text) or base_spans(text, raw))
+
+
+def _printable(text: str) -> bool:
+    return bool(text) and all(c.isprintable() or c in "\t\r\n" for c in text)
+
+
+def _base64_runs(text: str) -> Iterator[tuple[str, Sequence[int], int, bool]]:
+    """(characters, where each stands, end of the run, whether to unpack it): wrapped runs, then those of single lines."""
+    wrapped = [m for m in _WRAPPED.finditer(text)] if "\n" in text or "\r" in text else []
+    for m in wrapped:
+        at = [i for i in range(m.start(), m.end()) if text[i] not in "\r\n="]
+        if len(at) >= SHORTEST_BASE64:
+            yield "".join([text[i] for i in at]), at, m.end(), True
+    begun = [m.start() for m in wrapped]
+    for m in _BASE64.finditer(text):
+        run = m[0].rstrip("=")
+        k = bisect_right(begun, m.start()) - 1
+        yield run, range(m.start(), m.start() + len(run)), m.end(), k < 0 or wrapped[k].end() <= m.start()
+
+
+def _runs(layer: Layer) -> tuple[list[Layer], int, int]:
+    """Layers held in base64 runs, the number of printable ones that lead to nothing, and of compressed runs over the limit."""
+    if not _has_base64(layer.text.encode("utf-8", "surrogatepass")):
+        return [], 0, 0
+    out, leaves, unread = [], 0, 0
+    for run, at, end, unpack in _base64_runs(layer.text):
+        run = run.translate(str.maketrans("-_", "+/"))
+        for shift in range(4):
+            piece = run[shift:]
+            piece = piece[:-1] if len(piece) % 4 == 1 else piece
+            if len(piece) < SHORTEST_BASE64:
+                continue
+            raw = base64.b64decode(piece + "=" * (-len(piece) % 4))
+            text = raw.decode("utf-8", "surrogateescape")
+            if _leads_on(text, raw):
+                ends = [0, *accumulate(1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)]
+                spots = [(at[shift + 4 * (a // 3) + a % 3], at[shift + 4 * ((b - 1) // 3) + (b - 1) % 3 + 1] + 1) for a, b in pairwise(ends)]
+                out.append(layer.child(text, spots))
+            else:
+                leaves += _printable(text)
+            stop = 0
+            while unpack and (m := _PACKED.search(raw, stop)) is not None:
+                stop = m.start() + 1
+                if (held := _unpacked(raw[m.start():])) is None:
+                    continue
+                inner, taken = held
+                stop = m.start() + taken if taken else stop
+                last = end if taken is None or stop == len(raw) else at[shift + 4 * ((stop - 1) // 3) + (stop - 1) % 3 + 1] + 1
+                while len(inner) <= MOST_BYTES and (more := _unpacked(inner)) is not None:
+                    inner = more[0]
+                if len(inner) > MOST_BYTES:
+                    unread += 1
+                    continue
+                text = inner.decode("utf-8", "surrogateescape")
+                if _leads_on(text, inner):
+                    out.append(layer.unpacked(text, at[shift + 4 * (m.start() // 3) + m.start() % 3], last))
+                else:
+                    leaves += _printable(text)
+    return out, leaves, unread
 
 
 def scan(text: str) -> tuple[list[Span], set[Span], int, int]:
     """(base spans, all spans, layers read, layers left unread)."""
     base = base_spans(text)
     spans, unread, read = set(base), 0, 0
-    work = [Layer(text)] if "%" in text or "\\" in text or b"\1" * SHORTEST_BASE64 in text.encode("utf-8", "surrogatepass").translate(_IS_BASE64) else []
+    work = [Layer(text)] if "%" in text or "\\" in text or _has_base64(text.encode("utf-8", "surrogatepass")) else []
     while work:
         layer = work.pop()
-        held, over = _runs(layer)
+        held, leaves, over = _runs(layer)
+        read += leaves
         unread += over
         for child in (_replaced(layer, _PERCENT, _percent), _replaced(layer, _UNICODE, _unicode), *held):
             if child is not None and child.mark not in child.above:
