@@ -164,11 +164,10 @@ def _centers(emb):
 
 
 def _scored(spark, sf_dir):
-    """Every vector against the centres of its own label and of the next four."""
+    """Every vector against the centres of all labels (one row of them is sent to the vectors)."""
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    near = F.array(*[F.pmod(F.col("label") + i, F.lit(10)) for i in range(5)])
-    centers = _centers(emb).select(F.col("label").alias("candidate"), "center")
-    pairs = emb.withColumn("candidate", F.explode(near)).join(centers, "candidate")
+    centers = _centers(emb.where("label IS NOT NULL")).agg(F.collect_list(F.struct(F.col("label").alias("candidate"), "center")).alias("centers"))
+    pairs = emb.crossJoin(F.broadcast(centers)).withColumn("c", F.explode("centers")).drop("centers").select("*", "c.candidate", "c.center").drop("c")
     return pairs.withColumn("score", fuzzy.cosine(F.col("embedding"), F.col("center")))
 
 

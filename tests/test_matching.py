@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,20 @@ def test_resolver(spark):
 
 def test_norm_color_key(spark):
     assert spark.range(1).select(norm_color(F.lit("Albastru-Închis"))).first()[0] == "albastru inchis"
+
+
+def test_vectors_are_scored_against_every_centre(spark):
+    from offermend.plans import queries_match as Q
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in rows}
+    centers = {k: np.mean([vectors[r.vec_id] for r in rows if r.label == k], axis=0) for k in {r.label for r in rows}}
+    score = {(v, k): x @ c / np.sqrt((x @ x) * (c @ c)) for v, x in vectors.items() for k, c in centers.items()}
+    want = {v: sorted(centers, key=lambda k: (-score[v, k], k)) for v in vectors}
+    got = {(r.vec_id, r.candidate): r.score for r in Q.cosine_scores(spark, sf_dir).collect()}
+    assert got.keys() == score.keys() and all(abs(got[k] - score[k]) < 1e-4 for k in score)
+    assert {(r.vec_id, r["rank"]): r.candidate for r in Q.top_k_candidates(spark, sf_dir).collect()} == {(v, i + 1): want[v][i] for v in vectors for i in range(3)}
+    ties = {r.vec_id: (r.candidate, r.near_tie) for r in Q.near_tie(spark, sf_dir).collect()}
+    assert ties == {v: (k[0], bool(score[v, k[0]] - score[v, k[1]] < Q.V.RESOLVER_TIE)) for v, k in want.items()}
+    assert Q.hybrid_score(spark, sf_dir).count() == len(score)
