@@ -76,3 +76,50 @@ hits AS (
 SELECT p.page_id, p.fetched_on, p.host, CASE WHEN h.verdict = 'block' THEN 'block' ELSE 'keep' END AS verdict, h.kind AS matched_kind, h.key AS matched_key, h.since AS listed_since
 FROM pages_k p LEFT JOIN hits h ON p.page_id = h.page_id AND h.place = 1
 """
+
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), owned AS (
+  SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+  SELECT k.doc_id, k.line, k.pos, coalesce(o.owner <> k.doc_id, false) AS dropped FROM keyed k LEFT JOIN owned o ON k.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), cut AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut
+), totals AS (
+  SELECT lang, count(*) AS n FROM starts GROUP BY lang
+), counts AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
+  FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM counts WHERE k > 1
+), marks AS (
+  SELECT c.lang, c.phrase, c.k, c.f, c.j, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.j], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.j + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inner_phrases AS (
+  SELECT DISTINCT c.lang, array_to_string(c.w[s:s + n - 1], ' ') AS phrase, c.f, n
+  FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 2) c, (SELECT unnest([2, 3, 4]) AS n), (SELECT unnest([1, 2, 3, 4]) AS s)
+  WHERE n < k AND s + n - 1 <= k
+), kept AS (
+  SELECT * FROM lowest x WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = x.lang AND i.phrase = x.phrase AND 100 * i.f >= 100 * x.f)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, encode(phrase)) AS rank, phrase, f AS a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermend.llm import chat, embedding_join, exact_dedup, language, mixing, packing, secrets, simhash, substring_dedup, url_filter
-from offermend.llm.oracle import EXACT_DEDUP, MIXING, URL_FILTER
+from offermend.llm import chat, collocations, conversation, embedding_join, exact_dedup, language, line_dedup, mixing, packing, secrets, simhash, substring_dedup, url_filter
+from offermend.llm.oracle import COLLOCATIONS, EXACT_DEDUP, LINE_DEDUP, MIXING, URL_FILTER
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,5 +62,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_chat_format, op4_embedding_near_dedup, op5_simhash, op6_url_filter, op7_language_id, op8_secret_scan, op9_mixing, op10_exact_dedup)}
-ORACLE = {"op6_url_filter": URL_FILTER, "op9_mixing": MIXING, "op10_exact_dedup": EXACT_DEDUP}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.report(conversation.damage(_read(spark, sf_dir, "conversations"))).withColumnRenamed("c", "conv_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_best_fit_packing, op2_substring_dedup, op3_chat_format, op4_embedding_near_dedup, op5_simhash, op6_url_filter, op7_language_id,
+    op8_secret_scan, op9_mixing, op10_exact_dedup, op11_line_dedup, op12_conversation_repair, op13_collocations,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE = {"op6_url_filter": URL_FILTER, "op9_mixing": MIXING, "op10_exact_dedup": EXACT_DEDUP, "op11_line_dedup": LINE_DEDUP, "op13_collocations": COLLOCATIONS}
