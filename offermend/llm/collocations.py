@@ -1,20 +1,21 @@
 """Phrase collocations by SON partitioning: mine shards completely at lowered support, then count exactly.
 
-A shard is what one task reads, in blocks of at most ``BLOCK_BYTES`` of text. A language's weight in a
+A shard is what one task reads, in blocks of about ``BLOCK_BYTES`` of text. A language's weight in a
 block is its share of that language's bytes; a phrase that occurs ``support`` times in all must, in some
 block, occur at least support times the block's weight, rounded up. Blocks are mined at that support, a
 length at a time: a phrase of k words is counted only where both its parts of k - 1 words are frequent in
 the block. Words are numbers and phrases pairs of numbers there, so a length is one sort.
 
-The union of what blocks find may grow with the corpus and is never broadcast: it fills a bitmap of at
+The union of what blocks find, less what cannot reach the support even with all that blocks may hide, may
+grow with the corpus and is never broadcast: it fills a bitmap of at
 most ``MOST_BITS`` bits by hash. A second pass counts, in every block, each phrase whose bit is set and
 whose parts passed as well. As a phrase passes in all blocks or in none, the sums are exact for false
 positives too; what sums below the support goes. The words, the two parts of every cut and the longer
 phrases meet by joins on the phrase itself; hashes only decide what is counted.
 
 With a fixed support the local one falls to a single occurrence once the corpus has about ``support``
-blocks; the result stays exact, but the first pass then finds nearly every phrase. For a corpus of that
-size choose a support that grows with it.
+blocks. The result stays exact and the union is then no more than the result, but the first pass hands on
+every block's distinct phrases; for a corpus of that size choose a support that grows with it.
 
 Defined results: null text is empty, a null language is ``und`` (together with documents that say so);
 texts without words count nothing; ranks within equal score and count follow the phrase's bytes; rows that
@@ -37,7 +38,9 @@ from offermend.llm.common import small, text_or_empty
 from offermend.session import staged
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
-BLOCK_BYTES = 64_000_000
+BLOCK_BYTES = 48_000_000
+#: Phrases handed on at a time.
+SLICE = 100_000
 #: Fewer, larger shards than the scan has tasks, down to this number, keep the local support up.
 LEAST_SHARDS = 16
 #: Bits for each phrase that was found, and of the whole bitmap: 32 MB are the most that is broadcast.
@@ -61,41 +64,38 @@ class _Numbers(dict):
 class Block:
     """The texts of one language in a block, as numbers of words; 0 is the end of a piece."""
 
-    def __init__(self):
-        self.numbers, self.texts, self.weight = _Numbers({b".": 0}), [], 0
-
-    def add(self, text: bytes) -> None:
-        self.texts.append(np.array([self.numbers[w] for w in words_of(text)], dtype=np.int32))
-
-    def words(self) -> np.ndarray:
-        joined = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
-        self.texts = [joined]
-        return joined
+    def __init__(self, texts: list[bytes]):
+        numbers = _Numbers({b".": 0})
+        self.words = np.concatenate([np.fromiter(map(numbers.__getitem__, words_of(t)), np.int32) for t in texts])
+        self.known = list(numbers)
 
     def phrases(self, passes, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(k, where each first stands, counts) of phrases that pass; ``passes(k, counts, firsts)`` is a mask over distinct phrases.
+        """(k, where one stands, counts) of the distinct phrases that pass; ``passes(k, counts, where)`` is a mask over them.
 
-        Every part of a phrase must pass too, and its occurrences are numbered by those of its two parts.
+        Every part of a phrase must pass too: one begins where its two longest parts begin at neighbouring
+        words, and the numbers of these make its own.
         """
-        at = np.flatnonzero(self.words())  # where phrases of the length at hand begin
-        number = self.words()[at].astype(np.int64)
+        at = np.flatnonzero(self.words).astype(np.int32)  # where phrases of the length at hand begin
+        number = self.words[at].astype(np.int64)
         for k in range(1, longest + 1):
-            if k > 1:  # both parts pass: one begins here, one at the next word
+            if k > 1:
                 follows = np.flatnonzero(at[1:] == at[:-1] + 1)
                 number = number[follows] * (int(number.max(initial=0)) + 1) + number[follows + 1]
                 at = at[follows]
             if not len(at):
                 return
-            _, first, of, counts = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-            mask = passes(k, counts, at[first])
-            yield k, at[first[mask]], counts[mask]
-            stays = mask[of]
-            at, number = at[stays], of[stays].astype(np.int64)
+            order = np.argsort(number)
+            number = number[order]
+            first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            counts = np.diff(np.r_[first, len(number)])
+            one = at[order[first]]
+            mask = passes(k, counts, one)
+            yield k, one[mask], counts[mask]
+            number[order] = np.repeat(np.where(mask, np.arange(len(first)), -1), counts)
+            at, number = at[number >= 0], number[number >= 0]
 
-    def spelled(self, k: int, firsts: np.ndarray) -> list[bytes]:
-        known = list(self.numbers)
-        rows = self.words()[firsts[:, None] + np.arange(k)].tolist()
-        return [b" ".join([known[i] for i in row]) for row in rows]
+    def spelled(self, k: int, where: np.ndarray) -> list[bytes]:
+        return [b" ".join([self.known[i] for i in row]) for row in self.words[where[:, None] + np.arange(k)].tolist()]
 
 
 def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -107,22 +107,40 @@ def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (h * SPREAD >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[dict[str, Block]]:
-    """The rows (language, text, total) of a task as blocks by language; total is handed on with the block."""
-    held, by = 0, {}
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[str, int, int, Block]]:
+    """The rows (language, text, total) of a task as (language, bytes, total, block), block after block.
+
+    A full block waits until the next is half full: a short rest, whose local support would be low, joins it.
+    """
+    full: list[tuple] = []
+    now: list[tuple] = []
+    held = 0
+
+    def made(rows: list[tuple]) -> Iterator[tuple[str, int, int, Block]]:
+        by: dict[str, list[bytes]] = {}
+        totals = {}
+        while rows:
+            lang, text, totals[lang] = rows.pop()
+            by.setdefault(lang, []).append(text)
+        for lang in list(by):
+            texts = by.pop(lang)
+            yield lang, sum(map(len, texts)), totals[lang], Block(texts)
+
     for batch in batches:
-        for lang, text, total in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if held and held + len(text) > block_bytes:
-                yield by
-                held, by = 0, {}
-            if lang not in by:
-                by[lang] = Block()
-                by[lang].total = total
-            by[lang].add(text)
-            by[lang].weight += len(text)
-            held += len(text)
-    if by:
-        yield by
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            now.append(row)
+            held += len(row[1])
+            if full and 2 * held >= block_bytes:
+                yield from made(full)
+            if held >= block_bytes:
+                full, now, held = now, [], 0
+    yield from made(full + now)
+
+
+def _said(schema: pa.Schema, lang: str, block: Block, k: int, where: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(where), SLICE):
+        phrases = pa.array(block.spelled(k, where[i:i + SLICE]), pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(numbers[i:i + SLICE], pa.int64())], schema=schema)
 
 
 def _weighed(docs: DataFrame, text: str, lang: str, block_bytes: int) -> DataFrame:
@@ -135,17 +153,23 @@ def _weighed(docs: DataFrame, text: str, lang: str, block_bytes: int) -> DataFra
 
 
 def mine(weighed: DataFrame, support: int = SUPPORT, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(lang, phrase) of 1 to ``longest`` words that are frequent in some block at its lowered support."""
+    """(lang, phrase) of 1 to ``longest`` words that are frequent in some block and may be so in all.
+
+    A block at local support s may hide up to s - 1 occurrences of a phrase it does not report, so what
+    reporting blocks count above that, ``over``, must make up for the support less all blocks' s - 1.
+    """
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("over", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for by in _blocks(batches, block_bytes):
-            for lang in list(by):
-                block = by.pop(lang)
-                local = max(1, -(-support * block.weight // max(1, block.total)))
-                for k, firsts, _ in block.phrases(lambda _k, counts, _f, local=local: counts >= local, longest):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(firsts), pa.string()), pa.array(block.spelled(k, firsts), pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+        for lang, weight, total, block in _blocks(batches, block_bytes):
+            local = max(1, -(-support * weight // max(1, total)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([local - 1], pa.int64())], schema=schema)
+            for k, where, counts in block.phrases(lambda _k, counts, _w, local=local: counts >= local, longest):
+                yield from _said(schema, lang, block, k, where, counts - (local - 1))
 
-    return weighed.mapInArrow(run, "lang string, phrase string")
+    found = staged(weighed.mapInArrow(run, "lang string, phrase string, over long").groupBy("lang", "phrase").agg(F.sum("over").alias("over")))
+    hidden = found.where(F.col("phrase").isNull()).select("lang", F.col("over").alias("hidden"))
+    return found.where(F.col("phrase").isNotNull()).join(small(staged(hidden)), "lang").where(F.col("over") + F.col("hidden") >= support).select("lang", "phrase")
 
 
 def bitmap_of(found: DataFrame) -> np.ndarray:
@@ -181,24 +205,23 @@ def count(weighed: DataFrame, bitmap: np.ndarray, longest: int = LONGEST, block_
     """(lang, phrase, a): exact occurrences of every phrase the bitmap lets through; a null phrase counts all words."""
     shared = weighed.sparkSession.sparkContext.broadcast(bitmap)
     bits = 8 * len(bitmap)
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for by in _blocks(batches, block_bytes):
-            for lang in list(by):
-                block = by.pop(lang)
-                words = block.words()
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in block.numbers], np.uint64)
-
-                def passes(k: int, _counts, firsts, words=words, hashes=hashes) -> np.ndarray:
-                    at = _bit(hashes[words[firsts[:, None] + np.arange(k)]], bits)
-                    return shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        for lang, _, _, block in _blocks(batches, block_bytes):
+            words = block.words
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, block.known), np.uint64, len(block.known))
 
-                def said(phrases: list, counts, lang=lang) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "a"])
+            def passes(k: int, _counts, where, words=words, hashes=hashes) -> np.ndarray:
+                out = np.empty(len(where), bool)
+                for i in range(0, len(where), SLICE):
+                    at = _bit(hashes[words[where[i:i + SLICE, None] + np.arange(k)]], bits)
+                    out[i:i + SLICE] = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                return out
 
-                yield said([None], [int(np.count_nonzero(words))])
-                for k, firsts, counts in block.phrases(passes, longest):
-                    yield said(block.spelled(k, firsts), counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(np.count_nonzero(words))], pa.int64())], schema=schema)
+            for k, where, counts in block.phrases(passes, longest):
+                yield from _said(schema, lang, block, k, where, counts)
 
     return weighed.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
@@ -206,7 +229,7 @@ def count(weighed: DataFrame, bitmap: np.ndarray, longest: int = LONGEST, block_
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, a) of all phrases of 1 to ``longest`` words that occur ``support`` times or more, and a null phrase with all words of the language; a written table."""
     weighed = _weighed(docs, text, lang, block_bytes)
-    found = staged(mine(weighed, support, longest, block_bytes).distinct())
+    found = staged(mine(weighed, support, longest, block_bytes))
     counted = count(weighed, bitmap_of(found), longest, block_bytes)
     return staged(counted.where((F.col("a") >= support) | F.col("phrase").isNull()))
 
