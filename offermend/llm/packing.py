@@ -13,7 +13,8 @@ length. Ranks are counted in salted groups of about ``RANKED_ROWS`` rows, so a l
 all rows share is spread over tasks.
 
 Defined results: null text counts as empty; an empty document is the end id alone; rows that repeat
-and null ids are packed like any other; an empty table has an empty result.
+and null ids are packed like any other; an empty table has an empty result. Only the id and the text are
+read, so columns of any other name do not matter; the input must not call its id like a result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offermend.llm.tokens import encoder
+from offermend.llm.tokens import Encoder
 from offermend.session import staged
 
 CAPACITY = 4096
@@ -36,28 +37,32 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of one length that one window counts.
 RANKED_ROWS = 1000
-#: Documents whose pieces are handed on at a time.
+#: Pieces handed on at a time.
 SLICE = 500
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids as little-endian bytes) of each piece of each row."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, width: int = 4) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids as little-endian unsigned integers of ``width`` bytes) of each piece of each row."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path), END_ID.to_bytes(4, "little")
+        enc, end = Encoder(path), np.array([END_ID], "<u4")
         for batch in batches:
-            keys, texts = batch[id_col].tolist(), batch[text].tolist()
-            for at in range(0, len(texts), SLICE):
-                rows = []
-                for key, text_ in zip(keys[at:at + SLICE], texts[at:at + SLICE], strict=True):
-                    ids = enc.encode(text_ or "") + end
-                    for piece, first in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[first:first + 4 * capacity]
-                        rows.append((key, piece, first // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
-                yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            keys, texts = batch[id_col].tolist(), [t or "" for t in batch[text]]
+            rows = []
+            for key, ids in zip(keys, enc.encode_all(texts), strict=True):
+                ids = np.concatenate([ids, end])
+                if with_ids and ids.max() >> 8 * width:
+                    raise ValueError(f"the tokenizer has ids that {width} bytes do not hold")
+                for piece, first in enumerate(range(0, len(ids), capacity)):
+                    part = ids[first:first + capacity]
+                    rows.append((key, piece, first, len(part), zlib.crc32(part.tobytes())) + ((part.astype(f"<u{width}").tobytes(),) if with_ids else ()))
+                if len(rows) >= SLICE:
+                    yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                    rows = []
+            yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     return docs.select(id_col, text).mapInPandas(cut, schema)
 
@@ -130,16 +135,16 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Only lengths are read for the plan. Ranks follow a hash of the whole row, so a repeated run of a
     task gives the same ranks; rows that are equal in all columns may trade places.
     """
-    counts = {int(r["length"]): int(r["n"]) for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    steps = np.array(plan(counts, capacity), dtype=np.int64).reshape(-1, 5)
-    salts = F.create_map(*[F.lit(x) for n, c in sorted(counts.items()) if c > RANKED_ROWS for x in (n, -(-c // RANKED_ROWS))]) if any(c > RANKED_ROWS for c in counts.values()) else None
-    wide = F.lit(1) if salts is None else F.coalesce(salts[F.col("length").cast("int")], F.lit(1))
-    mark = F.xxhash64(*items.columns)
-    salted = items.withColumn("__salt", F.pmod(mark, wide).cast("int"))
+    known = staged(items.groupBy("length").agg(F.count("*").alias("n")))  # at most ``capacity`` rows
+    steps = np.array(plan({int(r["length"]): int(r["n"]) for r in known.collect()}, capacity), dtype=np.int64).reshape(-1, 5)
+    told = [c for c in items.columns if c != "ids"]  # ids_crc32 stands for them
+    mark = F.xxhash64(*told)
+    wide = F.broadcast(known.select(F.col("length").alias("__k"), F.ceil(F.col("n") / RANKED_ROWS).alias("__w")))
+    salted = items.join(wide, F.col("length") == F.col("__k")).withColumn("__salt", F.pmod(mark, F.col("__w")).cast("int")).drop("__k", "__w")
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     offsets = staged(offsets.select(F.col("length").alias("__l"), F.col("__salt").alias("__s"), "__before"))
-    order = Window.partitionBy("length", "__salt").orderBy(mark, *items.columns)
+    order = Window.partitionBy("length", "__salt").orderBy(mark, *told)
     ranked = salted.withColumn("__rank", F.row_number().over(order) - 1)
     ranked = ranked.join(offsets, (F.col("length") == F.col("__l")) & (F.col("__salt") == F.col("__s"))).withColumn("__rank", F.col("__rank") + F.col("__before"))
     key = steps[:, 0] << 44 | steps[:, 1]  # by length, then rank
@@ -155,14 +160,14 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*items.columns, "__rank").mapInPandas(look_up, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, width: int = 4) -> DataFrame:
     """Tokenise and place every document."""
-    return place(staged(pieces(docs, id_col, text, capacity, tokenizer, with_ids)), capacity)
+    return place(staged(pieces(docs, id_col, text, capacity, tokenizer, with_ids, width)), capacity)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id, n_pieces, length and ids of each full sequence; ``packed`` must carry ids. A group is one capacity at most."""
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """sequence_id, n_pieces, length, ids and the documents' ids in order of each full sequence; ``packed`` must carry ids. A group is one capacity at most."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids", F.col(id_col).alias("of"))))
     gathered = packed.groupBy("sequence_id").agg(parts.alias("p"), F.sum("length").alias("length"))
-    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return gathered.select("sequence_id", F.size("p").alias("n_pieces"), "length", ids.alias("ids"))
+    ids = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), ""))
+    return gathered.select("sequence_id", F.size("p").alias("n_pieces"), "length", ids.alias("ids"), F.transform("p", lambda x: x["of"]).alias(f"{id_col}s"))

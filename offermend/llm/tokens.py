@@ -1,96 +1,109 @@
-"""Token ids of whole texts by a public tokenizer file, a word at a time.
+"""Token ids of whole texts by a public tokenizer file, distinct words at a time.
 
 The tokenizer lower-cases, cuts words by a pattern that never crosses white space, and merges within a
-word only, so a stretch between white space has the same ids wherever it stands. Each worker keeps the
-ids of stretches and of words it has met; the words of new stretches go to the tokenizer's model. A
-text with any character outside the range for which the two regular expression engines surely agree
-is given to the tokenizer as a whole.
+word only, so a word has the same ids wherever it stands. A slice of texts is cut at white space and its
+stretches are numbered by Arrow; each distinct stretch is cut into words once, each word that the task has
+not met goes to the tokenizer's model, and the ids of all texts are gathered from those of the stretches
+in one step. A text with any character outside the range for which the two regular expression engines
+surely agree is given to the tokenizer as a whole.
+
+What a task remembers is bounded (``REMEMBERED`` words, packed) and ends with the task; only the
+tokenizer itself stays with the worker.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-import sys
-from array import array
+from collections.abc import Iterator
+from struct import pack
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The word pattern of the tokenizer file.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space, printable ASCII and the composed Latin letters without the two whose case changes length.
 PLAIN = re.compile("[\x09-\x0d\x20-\x7e¡-įı-ňŊ-ž]*")
-#: Stretches, and words, that a worker remembers before it starts anew.
+#: Words that a task remembers before it starts anew.
 REMEMBERED = 350_000
+#: Characters of text that are cut at a time.
+SLICE_CHARS = 4_000_000
 
 
-class Memory(dict):
-    """Remembers what ``make`` gives for a key. When full it starts anew, taking over what is asked for again."""
+def _spelled() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the code points from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.before: dict = {}
 
-    def make(self, key: str) -> bytes:
-        raise NotImplementedError
+SPELLED = _spelled()
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        ids = self[key] = self.before.pop(key, None) or self.make(key)
-        return ids
-
-
-class Words(Memory):
-    """Word -> ids by the tokenizer's model."""
-
-    def __init__(self, tokenizer):
-        from tokenizers import pre_tokenizers
-
-        super().__init__()
-        self.model = tokenizer.model
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def make(self, key: str) -> bytes:
-        spelled = key if key.isascii() else self.to_bytes.pre_tokenize_str(key)[0][0]
-        return _packed([t.id for t in self.model.tokenize(spelled)])
-
-
-class Stretches(Memory):
-    """Lower-cased text without white space -> ids."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
 
-    def make(self, key: str) -> bytes:
-        return b"".join([self.words[w] for w in PATTERN.findall(key)])
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    """Made anew in each task."""
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Stretches(Words(self.tokenizer))
+        self.known: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(SPELLED)
+        found = self.model.tokenize(spelled)
+        ids = pack(f"<{len(found)}I", *[t.id for t in found])
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[word] = ids
+        return ids
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _stretch(self, stretch: str) -> bytes:
         known = self.known
-        return b"".join([known[s] for s in text.lower().split()])
-
-
-def _packed(ids: list[int]) -> bytes:
-    numbers = array("I", ids)
-    if sys.byteorder == "big":
-        numbers.byteswap()
-    return numbers.tobytes()
-
-
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+        if stretch in known:
+            return known[stretch]
+        return b"".join([known.get(w) or self._word(w) for w in PATTERN.findall(stretch)])
+
+    def _is_plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts, by their distinct stretches."""
+        cut = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        bounds = cut.offsets.to_numpy()
+        numbered = cut.flatten().dictionary_encode()
+        parts = [self._stretch(s) for s in numbered.dictionary.to_pylist()]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        at = numbered.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        # the k-th id of a stretch stands k places after its first
+        places = np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        ids, ends = flat[places], np.r_[0, ends]
+        return [ids[ends[a]:ends[b]] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        at = 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= SLICE_CHARS):
+                chars += len(texts[stop])
+                stop += 1
+            plain = [self._is_plain(t) for t in texts[at:stop]]
+            by_words = iter(self._plain([t for t, p in zip(texts[at:stop], plain, strict=True) if p]))
+            for text, p in zip(texts[at:stop], plain, strict=True):
+                yield next(by_words) if p else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            at = stop

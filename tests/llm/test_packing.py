@@ -17,7 +17,8 @@ def test_ids_equal_the_tokenizer(spark):
     texts = ODD + [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     want = [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids) for t in texts]
     enc = Encoder(path)
-    assert [enc.encode(t) for t in texts] == want
+    assert [ids.tobytes() for ids in enc.encode_all(texts)] == want
+    assert [ids.tobytes() for t in texts for ids in enc.encode_all([t])] == want
 
 
 def best_fit(lengths, capacity):
@@ -74,11 +75,24 @@ def test_packing_is_gapless_and_whole(spark):
     enc = Encoder(public_tokenizers.path(packing.TOKENIZER))
     for key, text in rows:
         if key not in (7, None):
-            assert b"".join(p[2] for p in sorted(texts[key])) == enc.encode(text or "") + b"\1\0\0\0"
+            assert b"".join(p[2] for p in sorted(texts[key])) == next(enc.encode_all([text or ""])).tobytes() + b"\1\0\0\0"
             assert [p[1] for p in sorted(texts[key])] == [64 * p for p in range(len(texts[key]))]
     full = packing.sequences(packed).collect()
     assert sum(len(r["ids"]) for r in full) == sum(4 * r["length"] for r in got) and len(full) == len(seqs)
 
 
+def test_a_small_memory_and_narrow_ids_change_nothing(spark, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    path = public_tokenizers.path(packing.TOKENIZER)
+    texts = [t or "" for _, t in rows]
+    want = [ids.tobytes() for ids in Encoder(path).encode_all(texts)]
+    monkeypatch.setattr("offermend.llm.tokens.REMEMBERED", 5)
+    monkeypatch.setattr("offermend.llm.tokens.SLICE_CHARS", 300)
+    assert [ids.tobytes() for ids in Encoder(path).encode_all(texts)] == want
+    full = packing.sequences(packing.pack(docs(spark, rows), with_ids=True, width=2)).collect()
+    assert all(len(r["ids"]) == 2 * r["length"] and len(r["doc_ids"]) == r["n_pieces"] for r in full)
+    assert sum(r["length"] for r in full) == sum(len(w) // 4 + 1 for w in want)
+
+
 def test_empty_table(spark):
     assert packing.pack(docs(spark, [])).count() == 0
