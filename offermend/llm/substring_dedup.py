@@ -13,14 +13,18 @@ the anchors tell which shards a document can match, and its passages go only the
 
 An anchor in more than ``HOT`` documents would make a shard without bound. Its windows become shards of
 their own, keyed by the whole window; a task forwards only the first document it meets with each and
-removes the others at once, so such a shard has one passage per task.
+removes the others at once, so such a shard has one passage per task. Within that task windows are told
+apart by a 128-bit digest of their words, not by an automaton; everywhere else the words decide.
 
 Spans go back to the row they were found in, by id and text: ``row`` is 0, or the hash of the text of a
 row without an id, and spreads such rows over tasks; ``mark`` is another hash of the text, checked when
 spans are cut out. Rows that share an id are told apart by these; equal rows get equal results.
 
 Defined results: null text has no words; a row without an id counts as the last document; rows that
-share an id are not compared with each other; windows are judged on the input, not on what is left.
+share an id are not compared with each other; windows are judged on the input, not on what is left; an
+empty text, and one of fewer words than a window, loses nothing; a text of any length is read whole; an
+empty table has an empty result. Columns other than id and text are ignored, whatever their names. Ids are
+integers below 2^63 - 1.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +47,8 @@ HOT = 500
 #: Words, and hot windows, that a task remembers before it starts anew.
 REMEMBERED = 400_000
 LAST = (1 << 63) - 1
+#: Characters of text whose anchors are worked out at a time.
+SLICE_CHARS = 4_000_000
 
 _ODD = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(GRAM)]
 
@@ -117,22 +124,52 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def anchors(words: list[bytes], known: Hasher, window: int = WINDOW) -> np.ndarray:
-    """The anchor of each window, as signed longs."""
-    if len(words) < window:
-        return np.zeros(0, np.int64)
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-    n = len(words) - GRAM + 1
+def anchors(texts: list[str | None], known: Hasher, window: int = WINDOW) -> list[np.ndarray]:
+    """The anchor of each window of each text, as signed longs; all texts at once, their words numbered by Arrow."""
+    cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array([t or "" for t in texts], pa.large_string())))
+    bounds, words = cut.offsets.to_numpy(), cut.flatten()
+    empty = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)  # the one word of a blank text
+    if len(empty):
+        bounds = bounds - np.searchsorted(empty, bounds)
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    numbered = words.dictionary_encode()
+    h = np.fromiter((known[w] for w in numbered.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(numbered.dictionary))[numbered.indices.to_numpy()]
+    n = max(0, len(h) - GRAM + 1)
     g = np.zeros(n, np.uint64)
     for i, m in enumerate(_ODD):
         g += h[i:i + n] * np.uint64(m)
     g ^= g >> np.uint64(29)
     g *= np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(32)
-    low = g[: len(words) - window + 1].copy()
+    low = g[: max(0, len(h) - window + 1)].copy()
     for i in range(1, window - GRAM + 1):
         np.minimum(low, g[i:i + len(low)], out=low)
-    return low.view(np.int64)
+    low = low.view(np.int64)
+    # windows that reach into the next text are left out
+    return [low[a:max(a, b - window + 1)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about ``SLICE_CHARS`` characters."""
+    at, chars = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and chars + len(t or "") > SLICE_CHARS:
+            yield at, i
+            at, chars = i, 0
+        chars += len(t or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _all_anchors(texts: list[str | None], known: Hasher, window: int) -> Iterator[np.ndarray]:
+    for a, b in _slices(texts):
+        yield from anchors(texts[a:b], known, window)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    if len(values) < 2:
+        return values
+    return np.unique(values[np.concatenate(([True], values[1:] != values[:-1]))])
 
 
 def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
@@ -141,7 +178,7 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hasher()
         for batch in batches:
-            found = [np.unique(anchors(words_of(text), known, window)) for text in batch.column(2).to_pylist()]
+            found = [_distinct(a) for a in _all_anchors(batch.column(2).to_pylist(), known, window)]
             own = [pa.array(np.repeat(np.array(batch.column(i).to_pylist(), np.int64), [len(f) for f in found])) for i in range(2)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), *own], names=["anchor", "id", "row"])
 
@@ -168,11 +205,11 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
         known, first = Hasher(), {}
         for batch in batches:
             out: list[tuple] = []
-            for key, row, text, cold, hot in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                words = words_of(text)
-                anchor = anchors(words, known, window)
+            key_, row_, text_, cold_, hot_ = (batch.column(i).to_pylist() for i in range(5))
+            for key, row, text, cold, hot, anchor in zip(key_, row_, text_, cold_, hot_, _all_anchors(text_, known, window), strict=True):
                 if not len(anchor):
                     continue
+                words = words_of(text)
                 is_hot = np.isin(anchor, np.array(hot, np.int64))
                 is_cold = np.isin(anchor, np.array(cold, np.int64))
                 starts = np.concatenate(([0], np.flatnonzero(np.diff(anchor) != 0) + 1))

@@ -88,7 +88,7 @@ def test_hot_windows_in_a_broadcast_join_whose_rows_come_in_no_order(spark):
 
 def test_a_hot_window_of_a_smaller_id_is_kept_in_any_order(spark):
     words = " ".join(f"s{i}" for i in range(13))
-    [anchor] = substring_dedup.anchors(substring_dedup.words_of(words), substring_dedup.Hasher()).tolist()
+    [anchor] = substring_dedup.anchors([words], substring_dedup.Hasher())[0].tolist()
     rows = spark.createDataFrame([(i, 0, words, [], [anchor]) for i in (7, 3, 5)], "id long, row long, text string, cold array<long>, hot array<long>").coalesce(1)
     got = substring_dedup._passages(rows, 13).collect()
     assert sorted((r["id"], r["stop"]) for r in got) == [(3, None), (5, 13), (7, None)]
@@ -102,3 +102,12 @@ def test_rows_without_an_id_or_with_one_id_keep_their_own_words(spark):
         rows += [(None, f"{own} {shared} {own}"), (None, f"{own} {own}"), (None, f"{own} {own}")]
     for hot in (substring_dedup.HOT, 3, 0):
         assert rows_of(substring_dedup.dedup(docs(spark, rows).repartition(3), hot=hot)) == brute(rows)
+
+
+def test_anchors_of_many_texts_are_those_of_each(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \t\n", "a", *(rng.choice(["", " "]) + " \x0b".join(rng.choice("abcdeéß") * rng.randrange(1, 3) for _ in range(rng.randrange(60))) + rng.choice(["", "\n "]) for _ in range(200)), None, ""]
+    known = substring_dedup.Hasher()
+    for text, found in zip(texts, substring_dedup.anchors(texts, known), strict=True):
+        assert len(found) == max(0, len(substring_dedup.words_of(text)) - 12)
+        assert found.tolist() == substring_dedup.anchors([text], known)[0].tolist()
