@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 13
@@ -310,8 +310,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     row = F.when(known.isNull(), F.xxhash64(text)).otherwise(F.lit(0))
     rows = docs.select(F.coalesce(known, F.lit(LAST)).alias("id"), row.alias("row"), F.col(text).alias("text"))
     found = _anchor_rows(rows, window)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    mine = found.join(shared, "anchor").groupBy("id", "row").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
+    # counted where they are dealt: one exchange, one pass over the texts
+    shared = found.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
+    mine = shared.groupBy("id", "row").agg(F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
     spans = _spans(_passages(rows.join(mine, ["id", "row"]).sortWithinPartitions("id"), window), window).groupBy("id", "row").agg(F.collect_set(F.struct("mark", "start", "stop")).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
