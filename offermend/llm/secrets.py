@@ -12,8 +12,11 @@ so spans found deep inside are reported where they stand in the document.
 
 Defined results: null text counts as empty; a text without secrets has counts of 0 and empty spans;
 rows that repeat get the same result; ``n_layers`` counts layers that are printable, lead to others or
-hold a secret. A layer that unpacks to more than ``MOST_BYTES`` (a bomb, not
-text) is not read; ``n_unread`` counts those.
+hold a secret. Escapes nested more than ``LEVELS`` deep are decoded to the end in one scan, so time is in
+proportion to the text. What unpacks to more than ``MOST_BYTES`` is read in overlapping pieces in bounded
+memory; ``n_large`` counts such runs. An archive that holds itself closes a cycle. Texts are read whole
+whatever their length; an empty table has an empty result. Columns other than id and text are ignored,
+whatever their names; the id must not be called like a result.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 import zstandard
@@ -36,8 +41,10 @@ from pyspark.sql import functions as F
 from offermend.llm.common import schema_of
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that one compressed run may unpack to.
-MOST_BYTES = 64 << 20
+#: Unpacked bytes that are held at once; more is read in pieces of ``PIECE`` bytes that overlap.
+MOST_BYTES, PIECE, OVERLAP = 64 << 20, 8 << 20, 1 << 16
+#: Levels of percent or Unicode escapes that are layers of their own.
+LEVELS = 8
 #: A base64 run; shorter ones cannot hold a secret that the patterns accept.
 SHORTEST_BASE64 = 16
 
@@ -80,8 +87,8 @@ def base_spans(text: str, raw: bytes | None = None) -> list[Span]:
 class Layer:
     """Text with, per character, where it begins and ends in the document (None: where it stands); ``whole`` is the one place of all unpacked text."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, above: tuple[bytes, ...] = (), whole: tuple[int, int] | None = None):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, above: tuple[bytes, ...] = (), whole: tuple[int, int] | None = None, level: int = 0):
+        self.text, self.starts, self.ends, self.whole, self.level = text, starts, ends, whole, level
         self.mark = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         self.above = above
 
@@ -90,11 +97,12 @@ class Layer:
             return self.whole
         return (start, end) if self.starts is None else (min(self.starts[start:end]), max(self.ends[start:end]))
 
-    def child(self, text: str, spots: list[tuple[int, int]]) -> Layer:
+    def child(self, text: str, spots: list[tuple[int, int]], level: int = 0) -> Layer:
+        """``level``: how many escapes in a row were decoded to get there."""
         if self.whole is not None:
-            return Layer(text, above=(*self.above, self.mark), whole=self.whole)
+            return Layer(text, above=(*self.above, self.mark), whole=self.whole, level=level)
         places = [self.place(a, b) for a, b in spots]
-        return Layer(text, [p[0] for p in places], [p[1] for p in places], (*self.above, self.mark))
+        return Layer(text, [p[0] for p in places], [p[1] for p in places], (*self.above, self.mark), level=level)
 
     def unpacked(self, text: str, start: int, end: int) -> Layer:
         return Layer(text, above=(*self.above, self.mark), whole=self.place(start, end))
@@ -118,7 +126,67 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         return None
     parts.append(layer.text[at:])
     spots += [(i, i + 1) for i in range(at, len(layer.text))]
-    return layer.child("".join(parts), spots)
+    return layer.child("".join(parts), spots, layer.level + 1)
+
+
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+
+
+def _escape_at_end(out: list) -> tuple[int, str | int] | None:
+    """(characters, what they stand for) of an escape that the stack ends with; bytes above 127 stand for themselves as integers."""
+    if not (len(out) > 2 and out[-1] in _HEX_DIGITS and out[-2] in _HEX_DIGITS):
+        return None
+
+    def digits(n: int) -> str | None:
+        tail = out[-n:]
+        return "".join(tail) if len(tail) == n and all(c in _HEX_DIGITS for c in tail) else None
+
+    if out[-3] == "%":
+        byte = int(out[-2] + out[-1], 16)
+        return 3, chr(byte) if byte < 128 else byte
+    for head, n in (("x", 2), ("u", 4), ("U", 8)):
+        if len(out) > n + 1 and out[-n - 1] == head and out[-n - 2] == "\\" and (found := digits(n)) is not None:
+            code = int(found, 16)
+            if n == 4 and 0xDC00 <= code < 0xE000 and len(out) > 11 and out[-12:-10] == ["\\", "u"]:
+                high = "".join(map(str, out[-10:-6]))
+                if all(c in _HEX_DIGITS for c in out[-10:-6]) and 0xD800 <= int(high, 16) < 0xDC00:
+                    return 12, chr(0x10000 + ((int(high, 16) & 0x3FF) << 10) + (code & 0x3FF))
+            return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else (n + 2, chr(code))
+    return None
+
+
+def _settled(layer: Layer) -> Layer | None:
+    """The layer with all its escapes decoded, nested ones to the end, in one scan over a stack of characters."""
+    out: list[str | int] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    changed = False
+
+    def fold(n: int, made: str | int) -> None:
+        start, end = min(starts[-n:]), max(ends[-n:])
+        del out[-n:], starts[-n:], ends[-n:]
+        out.append(made)
+        starts.append(start)
+        ends.append(end)
+
+    for i, char in enumerate(layer.text):
+        out.append(char)
+        starts.append(i)
+        ends.append(i + 1)
+        while (found := _escape_at_end(out)) is not None:
+            changed = True
+            fold(*found)
+            if isinstance(found[1], int):  # perhaps the last byte of a character
+                for n in range(2, 5):
+                    if len(out) >= n and all(isinstance(b, int) for b in out[-n:]):
+                        try:
+                            fold(n, bytes(out[-n:]).decode())
+                            break
+                        except UnicodeDecodeError:
+                            pass
+    if not changed:
+        return None
+    return layer.child("".join([chr(c) if isinstance(c, int) else c for c in out]), list(zip(starts, ends, strict=True)), layer.level + 1)
 
 
 def _percent(run: str) -> list[tuple[str, int]]:
@@ -174,6 +242,63 @@ def _unpacked(raw: bytes) -> tuple[bytes, int | None] | None:
     return bytes(out), len(raw) - len(rest) if whole else None
 
 
+class _Chunks(io.RawIOBase):
+    """Chunks of bytes as a file."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        super().__init__()
+        self.chunks, self.rest = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.rest:
+            self.rest = next(self.chunks, None)
+            if self.rest is None:
+                self.rest = b""
+                return 0
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _expanded(file: io.BufferedReader) -> Iterator[bytes]:
+    """What a file of compressed members holds, up to the first that is broken, in chunks of bounded size."""
+    try:
+        while True:
+            head = file.peek(6)
+            if head[:4] == b"\x28\xb5\x2f\xfd":
+                reader = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True, closefd=False)
+                yield from iter(lambda: reader.read(OVERLAP), b"")
+                return
+            if (engine := _engine(head)) is None:
+                return
+            while not engine.eof:
+                more = getattr(engine, "unconsumed_tail", b"") or (file.read(OVERLAP) if getattr(engine, "needs_input", True) else b"")
+                if not more and getattr(engine, "needs_input", True):
+                    return
+                yield engine.decompress(more, OVERLAP)
+            file = io.BufferedReader(_Chunks(chain([engine.unused_data], iter(lambda f=file: f.read(OVERLAP), b""))), OVERLAP)
+    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+        return
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """What compressed bytes hold, unpacked as often as it is compressed again, in overlapping pieces."""
+    file, above = io.BufferedReader(io.BytesIO(raw), OVERLAP), set()
+    while (begun := file.peek(OVERLAP)) and (_engine(begun) is not None or begun[:4] == b"\x28\xb5\x2f\xfd") and (some := _unpacked(begun)) and some[0]:
+        mark = hashlib.blake2b(begun, digest_size=16).digest()
+        if mark in above:
+            return
+        above.add(mark)
+        file = io.BufferedReader(_Chunks(_expanded(file)), OVERLAP)
+    kept = b""
+    while piece := file.read(PIECE):
+        yield kept + piece
+        kept = piece[-OVERLAP:]
+
+
 def _has_base64(raw: bytes) -> bool:
     return b"\1" * SHORTEST_BASE64 in raw.translate(_IS_BASE64, b"\r\n")
 
@@ -201,11 +326,10 @@ def _base64_runs(text: str) -> Iterator[tuple[str, Sequence[int], int, bool]]:
         yield run, range(m.start(), m.start() + len(run)), m.end(), k < 0 or wrapped[k].end() <= m.start()
 
 
-def _runs(layer: Layer) -> tuple[list[Layer], int, int]:
-    """Layers held in base64 runs, the number of printable ones that lead to nothing, and of compressed runs over the limit."""
+def _runs(layer: Layer, told: Counter) -> Iterator[Layer]:
+    """Layers held in base64 runs, one at a time; counts printable ones that lead to nothing, and runs that are read in pieces."""
     if not _has_base64(layer.text.encode("utf-8", "surrogatepass")):
-        return [], 0, 0
-    out, leaves, unread = [], 0, 0
+        return
     for run, at, end, unpack in _base64_runs(layer.text):
         run = run.translate(str.maketrans("-_", "+/"))
         for shift in range(4):
@@ -218,46 +342,60 @@ def _runs(layer: Layer) -> tuple[list[Layer], int, int]:
             if _leads_on(text, raw):
                 ends = [0, *accumulate(1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)]
                 spots = [(at[shift + 4 * (a // 3) + a % 3], at[shift + 4 * ((b - 1) // 3) + (b - 1) % 3 + 1] + 1) for a, b in pairwise(ends)]
-                out.append(layer.child(text, spots))
+                yield layer.child(text, spots)
             else:
-                leaves += _printable(text)
+                told["leaves"] += _printable(text)
             stop = 0
             while unpack and (m := _PACKED.search(raw, stop)) is not None:
                 stop = m.start() + 1
-                if (held := _unpacked(raw[m.start():])) is None:
+                packed = raw[m.start():]
+                if (held := _unpacked(packed)) is None:
                     continue
                 inner, taken = held
                 stop = m.start() + taken if taken else stop
+                first = at[shift + 4 * (m.start() // 3) + m.start() % 3]
                 last = end if taken is None or stop == len(raw) else at[shift + 4 * ((stop - 1) // 3) + (stop - 1) % 3 + 1] + 1
+                above = {hashlib.blake2b(packed[:taken], digest_size=16).digest()}
                 while len(inner) <= MOST_BYTES and (more := _unpacked(inner)) is not None:
-                    inner = more[0]
-                if len(inner) > MOST_BYTES:
-                    unread += 1
-                    continue
-                text = inner.decode("utf-8", "surrogateescape")
-                if _leads_on(text, inner):
-                    out.append(layer.unpacked(text, at[shift + 4 * (m.start() // 3) + m.start() % 3], last))
-                else:
-                    leaves += _printable(text)
-    return out, leaves, unread
+                    mark = hashlib.blake2b(inner, digest_size=16).digest()
+                    if mark in above:  # it holds itself
+                        break
+                    above.add(mark)
+                    packed, inner = inner, more[0]
+                large = len(inner) > MOST_BYTES
+                told["large"] += large
+                for part in _pieces(packed) if large else (inner,):
+                    text = part.decode("utf-8", "surrogateescape")
+                    if _leads_on(text, part):
+                        yield layer.unpacked(text, first, last)
+                    else:
+                        told["leaves"] += _printable(text)
+
+
+def _held(layer: Layer, told: Counter) -> Iterator[Layer]:
+    """The layers that a layer holds."""
+    yield from _runs(layer, told)
+    if layer.level < LEVELS:
+        made = (_replaced(layer, _PERCENT, _percent), _replaced(layer, _UNICODE, _unicode))
+    else:
+        made = (_settled(layer),)
+    yield from (child for child in made if child is not None)
 
 
 def scan(text: str) -> tuple[list[Span], set[Span], int, int]:
-    """(base spans, all spans, layers read, layers left unread)."""
+    """(base spans, all spans, layers read, runs read in pieces). Only the layers on the way to the one at hand are held."""
     base = base_spans(text)
-    spans, unread, read = set(base), 0, 0
-    work = [Layer(text)] if "%" in text or "\\" in text or _has_base64(text.encode("utf-8", "surrogatepass")) else []
+    spans, told = set(base), Counter()
+    work = [_held(Layer(text), told)] if "%" in text or "\\" in text or _has_base64(text.encode("utf-8", "surrogatepass")) else []
     while work:
-        layer = work.pop()
-        held, leaves, over = _runs(layer)
-        read += leaves
-        unread += over
-        for child in (_replaced(layer, _PERCENT, _percent), _replaced(layer, _UNICODE, _unicode), *held):
-            if child is not None and child.mark not in child.above:
-                read += 1
-                spans |= {(kind, *child.place(a, b)) for kind, a, b in base_spans(child.text)}
-                work.append(child)
-    return base, spans, read, unread
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+        elif child.mark not in child.above:
+            told["layers"] += 1
+            spans |= {(kind, *child.place(a, b)) for kind, a, b in base_spans(child.text)}
+            work.append(_held(child, told))
+    return base, spans, told["layers"] + told["leaves"], told["large"]
 
 
 def _line(spans) -> str:
@@ -265,17 +403,17 @@ def _line(spans) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, n_assign, n_access, n_hex, base, spans (kind:start:end lists in code points), n_layers, n_unread."""
+    """One row per input row: id, n_assign, n_access, n_hex, base, spans (kind:start:end lists in code points), n_layers, n_large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(1).to_pylist():
-                base, spans, read, unread = scan(t or "")
-                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), _line(base), _line(spans), read, unread))
+                base, spans, read, large = scan(t or "")
+                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), _line(base), _line(spans), read, large))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_assign", "n_access", "n_hex", "base", "spans", "n_layers", "n_unread"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_assign", "n_access", "n_hex", "base", "spans", "n_layers", "n_large"])
 
-    schema = schema_of(docs, [id_col]) + ", n_assign long, n_access long, n_hex long, base string, spans string, n_layers long, n_unread long"
+    schema = schema_of(docs, [id_col]) + ", n_assign long, n_access long, n_hex long, base string, spans string, n_layers long, n_large long"
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, schema)
