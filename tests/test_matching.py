@@ -138,7 +138,8 @@ def test_closest_equals_brute_force(spark, cutoff):
 
 
 def test_ranking_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(fuzzy, "CHUNK", 7)  # many chunks, so that hot groups are really split
+    monkeypatch.setattr(fuzzy, "QUERY_CHUNK", 7)  # many chunks, so that hot groups are really split
+    monkeypatch.setattr(fuzzy, "VALUE_CHUNK", 5)
     rng = random.Random(3)
     pool = ["red", "dark", "blue", "navy", "light", "green", "sea"]
     values = sorted({" ".join(rng.sample(pool, rng.randint(1, 3))) for _ in range(60)})
@@ -151,6 +152,73 @@ def test_ranking_equals_brute_force(spark, monkeypatch):
         assert [got[(s, i + 1)] for i in range(3)] == best
 
 
+def test_bounds_hold_for_every_pair():
+    rng = random.Random(1)
+    pool = ["alb", "negru", "bleu", "marin", "bleumarin", "verde", "inchis", "gri", "mat", "x", "ab", "é", "ß-1"]
+    text = lambda: " ".join(rng.choice(pool) + rng.choice(["", "", "a", "u"]) for _ in range(rng.randrange(5)))
+    for _ in range(20):
+        queries, values = [text() for _ in range(15)], [text() for _ in range(40)]
+        bounds = fuzzy.score_bounds(queries, values)
+        assert all(fuzzy.token_score(q, v) <= bounds[i, j] for i, q in enumerate(queries) for j, v in enumerate(values))
+
+
+def test_synonyms_rank_as_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "VALUE_CHUNK", 6)
+    rng = random.Random(6)
+    pool = ["red", "dark", "blue", "navy", "sea", ""]
+    values = sorted({" ".join(rng.sample(pool, 2)) for _ in range(40)})
+    clusters = {v: rng.sample(["c1", "c2", "c3"], rng.randrange(3)) for v in values}
+    asked = {" ".join(rng.sample(pool, 2)): rng.choice([None, "c1", "c2"]) for _ in range(20)}
+    q = spark.createDataFrame([("g", s, s, c) for s, c in asked.items()], "g string, query string, query_norm string, cluster string")
+    c = spark.createDataFrame([("g", s, s, clusters[s]) for s in values], "g string, value string, value_norm string, clusters array<string>")
+    got = {(r.query, r.rank): (r.value, round(r.score, 6), r.synonym) for r in fuzzy.rank_candidates(q, c, ["g"], 4, 0.2, 0.6).collect()}
+    for s, own in asked.items():
+        marks = []
+        for v in values:
+            score, synonym = fuzzy.token_score(s, v), own in clusters[v]
+            marks.append((-(max(min(score + 0.2, 1.0), 0.6) if synonym else score), len(v), v, synonym))
+        assert [got[(s, i + 1)] for i in range(4)] == [(v, round(-m, 6), syn) for m, _, v, syn in sorted(marks)[:4]]
+
+
+def test_a_long_list_is_pruned_and_spread(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(rng.randint(4, 8)))
+    pool = [word() for _ in range(6000)]
+    values = sorted({" ".join(rng.choice(pool) for _ in range(rng.randint(2, 4))) for _ in range(100_000)})
+    asked = [v.replace(rng.choice(v.split()), word()) for v in rng.sample(values, 40)]
+    q = spark.createDataFrame([("g", s, s, None) for s in asked], "g string, query string, query_norm string, cluster string")
+    c = spark.createDataFrame([("g", s, s, []) for s in values], "g string, value string, value_norm string, clusters array<string>")
+    least = {r.query: r.least for r in fuzzy._least_scores(q, c, ["g"], 3).collect()}
+    queries = [{"query": s, "query_norm": s, "cluster": None, "least": least.get(s, 0.0)} for s in asked]
+    best, scored = {}, 0
+    for at in range(0, len(values), fuzzy.VALUE_CHUNK):
+        rows, n = fuzzy.best_of_block(queries, [{"value": v, "value_norm": v, "clusters": []} for v in values[at:at + fuzzy.VALUE_CHUNK]], 3, 0.0, 0.0)
+        scored += n
+        for query, v, score, _ in rows:
+            best.setdefault(query, []).append((-score, len(v), v))
+    assert scored < 0.05 * len(asked) * len(values)
+    for s in asked[:3]:
+        assert sorted(best[s])[:3] == sorted((-fuzzy.token_score(s, v), len(v), v) for v in values)[:3]
+    ranked = fuzzy.rank_candidates(q, c, ["g"], 3)
+    got = {(r.query, r.rank): r.value for r in ranked.collect()}
+    assert got == {(s, i + 1): sorted(best[s])[i][2] for s in asked for i in range(3)}
+    keys = spark.range(-(-len(values) // fuzzy.VALUE_CHUNK)).select(F.pmod(F.hash(F.lit("g"), F.lit(0).cast("long"), "id"), F.lit(4)).alias("p"))
+    assert keys.distinct().count() == 4  # one list's blocks are dealt to all four partitions
+
+
+def test_heavy_segments_are_split(spark, monkeypatch):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("ab") for _ in range(8)) for _ in range(200)})
+    asked = sorted({n[:3] + rng.choice("abc") + n[4:] for n in names})
+    q = spark.createDataFrame([("g", s) for s in asked], "g string, query string")
+    c = spark.createDataFrame([("g", s) for s in names], "g string, cand string")
+    want = {s: difflib.get_close_matches(s, names, n=1, cutoff=0.8) for s in asked}
+    for heavy in (3, 10**6):
+        monkeypatch.setattr(fuzzy, "HEAVY", heavy)
+        got = {r.query: [r.cand] for r in fuzzy.closest(q, c, ["g"], "query", "cand", 0.8).collect()}
+        assert got == {s: w for s, w in want.items() if w}
+
+
 def test_scores():
     assert fuzzy.token_score("black", "black") == 1.0
     assert fuzzy.token_score("black", "yellow") < 0.5
