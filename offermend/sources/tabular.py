@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,31 +13,51 @@ from pyspark.sql import functions as F
 
 from offermend import fixed_values as V
 from offermend.functions.text import null_if_blank, strip
+from offermend.sources import splits
 
 ORDINAL = "ordinal"
 
 
-def read_tabular(spark: SparkSession, path: str) -> DataFrame:
+def header_names(record: str, sep: str) -> list[str]:
+    """Column names of a header row: empty ones by place, repeated ones (whatever their case) with their place."""
+    names = next(csv.reader(io.StringIO(record, newline=""), delimiter=sep), [])
+    times = Counter(n.lower() for n in names)
+    return [f"_c{i}" if not n else f"{n}{i}" if times[n.lower()] > 1 else n for i, n in enumerate(names)]
+
+
+def read_tabular(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """CSV or TSV by extension, every cell a string; bytes that are not UTF-8 are replaced.
 
-    Cells may hold line breaks within quotes, as descriptions do, so a file cannot be split: large
-    inputs should come as many files, each of which is one task.
+    Cells may hold line breaks within quotes; a file is read by as many tasks as it has byte ranges.
+    The first row of each file is a header, the first file's names count. ``numbered`` adds the row
+    number ``ordinal`` in order of file name and row, which first-wins and last-wins rules refer to:
+    the rows themselves come in no order.
     """
     sep = "\t" if path.lower().rstrip("/").endswith(".tsv") else ","
-    frame = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8", mode="PERMISSIVE")
-    return drop_blank_rows(frame)
+    records = splits.rows_of(spark, path, sep)
+    first = records.where("number = 0").first()
+    if first is None:
+        return spark.createDataFrame([], "ordinal long" if numbered else "")
+    columns = header_names(first["record"].removeprefix("\ufeff"), sep)
+    # a cell is missing where the row is too short; names may hold anything
+    kinds = ", ".join(f"c{i} string" for i in range(len(columns)))
+    rows = records.where("in_file > 0").select("number", F.from_csv("record", kinds, {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("r"))
+    cells = [F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)]
+    return drop_blank_rows(rows.select(*cells, (F.col("number") - 1).alias(ORDINAL))) if numbered else drop_blank_rows(rows.select(*cells))
 
 
 def drop_blank_rows(frame: DataFrame) -> DataFrame:
     """Rows with at least one cell; headers may hold dots, so columns are quoted."""
-    return frame.where(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in frame.columns]).isNotNull()) if frame.columns else frame
+    cells = [F.col(f"`{c}`").cast("string") for c in frame.columns if c != ORDINAL]
+    return frame.where(F.coalesce(*cells).isNotNull()) if cells else frame
 
 
 def with_ordinal(frame: DataFrame) -> DataFrame:
-    """Rows numbered in file order, which first-wins and last-wins rules refer to.
+    """Rows numbered in the order of the scan, for frames that have no number of their own.
 
-    Rows of one file get 0, 1, 2, ...; those of further files follow in order, with gaps. Numbers are made
-    in the scan itself and are the same on every run of immutable files.
+    Numbers are made in the scan itself and are the same on every run of immutable files, but several
+    files follow in the order that the scan packs them: ``read_tabular`` with ``numbered`` has them in
+    file order.
     """
     return frame.withColumn(ORDINAL, F.monotonically_increasing_id())
 
@@ -63,7 +86,9 @@ def concat_same_schema(parts: list[tuple[str, DataFrame]]) -> Concatenated:
         else:
             skipped.append(name)
     out = None
-    for rows in chosen:
+    for i, rows in enumerate(chosen):
+        if ORDINAL in rows.columns:  # part by part
+            rows = rows.withColumn(ORDINAL, F.col(ORDINAL) + F.lit(i << 40))
         out = rows if out is None else out.unionByName(rows)
     return Concatenated(out, skipped)
 

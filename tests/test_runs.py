@@ -1,6 +1,9 @@
 """Import, files, offer repair, streams, stores and exports on hand-made tables."""
 
+import csv
 import datetime as dt
+import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from offermend.operators.indexes import ReferenceIndex
 from offermend.plans.import_marketplace import import_marketplace
 from offermend.plans.process_offers import Options, process_offers
 from offermend.sources import store as stores
-from offermend.sources import tabular
+from offermend.sources import splits, tabular
 from offermend.streaming import jobs
 
 CATS = "id,emag_id,name,parent_id\n1,2819.0,Tricouri,\n2,2820,Pantofi,\n,9,Nameless,\n"
@@ -221,3 +224,45 @@ def test_cells_with_line_breaks_and_row_numbers(spark, tmp_path):
     path.write_text('id,text\n1,"first\nsecond"\n2,plain\n')
     rows = tabular.with_ordinal(tabular.read_tabular(spark, str(path))).collect()
     assert [(r.id, r.text, r.ordinal) for r in rows] == [("1", "first\nsecond", 0), ("2", "plain", 1)]
+
+
+def test_a_file_is_read_by_many_tasks(spark, tmp_path):
+    """Rows equal those of a single-task reader wherever the byte ranges are cut, and are numbered in file order."""
+    rng = random.Random(12)
+    cells = ["plain", "", "with, comma", 'a "quoted" word', "line\nbreak", "crlf\r\nin it", "\n\n", '"', "é ß 日本", "x" * 90, 'say ""', ",", '5" screen']
+    for line_end in ("\n", "\r\n"):
+        files = []
+        for k in range(2):
+            rows = [[str(1000 * k + i), rng.choice(cells), rng.choice(cells)] for i in range(60)]
+            out = io.StringIO()
+            writer = csv.writer(out, lineterminator=line_end)
+            writer.writerows([["id", "a.b", "c"], *rows])
+            text = out.getvalue().replace("plain" + line_end, "plain" + line_end + line_end)  # blank lines between rows
+            folder = tmp_path / f"many{len(line_end)}.csv"
+            folder.mkdir(exist_ok=True)
+            (folder / f"part-{k}.csv").write_bytes(text.encode())
+            files += rows
+        for size in (37, 150, 10**6):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            frame = tabular.read_tabular(spark, str(folder), numbered=True)
+            got = sorted(frame.collect(), key=lambda r: r.ordinal)
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert [[r["id"], r["a.b"] or "", r["c"] or ""] for r in got] == files, (line_end, size)
+            assert len({r.ordinal for r in got}) == len(files)
+            alone = spark.read.csv(str(folder), header=True, multiLine=True, escape='"').collect()
+            plain = lambda r: tuple(x and x.replace("\r\n", "\n") for x in tuple(r)[:3])  # noqa: E731 - that reader turns line ends into LF
+            assert sorted(map(plain, alone), key=repr) == sorted(map(plain, got), key=repr)
+    bad = tmp_path / "bad.csv"
+    bad.write_bytes(b"\n\r\nid,text\n1,a\xffb\n\n2\n3,c,d")
+    assert [tuple(r) for r in tabular.read_tabular(spark, str(bad)).collect()] == [("1", "a\ufffdb"), ("2", None), ("3", "c")]
+    empty = tmp_path / "empty.csv"
+    empty.write_bytes(b"id,text\n")
+    assert tabular.read_tabular(spark, str(empty)).count() == 0
+
+
+def test_line_states():
+    for line, outside in ((b"a,b", False), (b'"a,b', True), (b'a"b,c', False), (b'"a""b"', False), (b'"a"b",c', False), (b'","', False), (b'"', True), (b'""', False)):
+        assert splits.ends_inside(line, False, b",") == outside, line
+    assert splits.ends_inside(b'x",y', True, b",") is False and splits.ends_inside(b'x""', True, b",") is True
