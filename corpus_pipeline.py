@@ -1,6 +1,14 @@
 """From raw documents to packed training sequences, a stage at a time.
 
-Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it.
+Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it. All but the
+last return the columns of their input. The last returns the pieces with their places and ids:
+``packing.sequences`` of it puts every full sequence together, of any stored copy of the result.
+
+Defined results: a null or empty text, and one without a letter, goes in the first stage; null ids and
+null sources pass (a null source is a source of its own, a null id loses against any other where one of
+several documents stays); rows that repeat are exact copies; of equal fingerprints' groups the smallest id
+stays; texts of any length are read whole, the last stage cuts them into pieces; an empty table gives an
+empty result; columns called like an operator's results are set aside and come back under their names.
 """
 
 from __future__ import annotations
@@ -43,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Pieces with their ids as unsigned 16-bit integers, which hold the tokenizer's."""
+    return packing.pack(docs, with_ids=True, width=2)
 
 
 STAGES = [
