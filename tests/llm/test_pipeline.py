@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -8,7 +9,7 @@ import pytest
 from llm.helpers import docs
 from tokenizers import Tokenizer
 
-from offermend.llm import language, simhash
+from offermend.llm import language, packing, simhash
 
 
 def brute_stage(name, rows, spark, frame):
@@ -88,6 +89,13 @@ def test_packed_pieces_hold_all_tokens(stages):
         assert r["offset"] == ends[r["sequence_id"]]
         ends[r["sequence_id"]] += r["length"]
     assert max(ends.values()) <= 4096
+    full = {r["sequence_id"]: r for r in packing.sequences(stages[5]).collect()}
+    assert {k: r["length"] for k, r in full.items()} == ends
+    for r in packed:
+        one = full[r["sequence_id"]]
+        assert one["ids"][2 * r["offset"]:2 * (r["offset"] + r["length"])] == r["ids"] and r["doc_id"] in one["doc_ids"]
+        ids = np.frombuffer(r["ids"], "<u2").astype("<u4")
+        assert zlib.crc32(ids.tobytes()) == r["ids_crc32"]
 
 
 def test_odd_documents_pass_every_stage(spark, tmp_path):
