@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offermend.llm.common import LETTER, schema_of
+from offermend.llm.common import LETTER, released, schema_of
 
 UNDETERMINED = "und"
 #: Trigram codes; three bytes are hashed to one of so many.
@@ -96,7 +96,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
 
     schema = "lang string, part int, counts array<long>"
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    partial = rows.mapInPandas(count, schema).repartition("lang", "part")
+    partial = rows.mapInPandas(released(count), schema).repartition("lang", "part")
     found = partial.mapInPandas(add, schema).collect()  # languages x CODES / SLICE rows
     names = sorted({r["lang"] for r in found})
     if len(names) > LANGUAGES:
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             extra = [pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, *added])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema_of(docs, columns) + ", lang_pred string, score double, languages string")
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(released(run), schema_of(docs, columns) + ", lang_pred string, score double, languages string")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

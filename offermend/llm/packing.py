@@ -29,6 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offermend.llm.common import released
 from offermend.llm.tokens import Encoder
 from offermend.session import staged
 
@@ -64,7 +65,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
                     rows = []
             yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(id_col, text).mapInPandas(cut, schema)
+    return docs.select(id_col, text).mapInPandas(released(cut), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -157,7 +158,7 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch.assign(sequence_id=steps[at, 2] + within // per, offset=steps[at, 4] + within % per * length)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
-    return ranked.select(*items.columns, "__rank").mapInPandas(look_up, schema)
+    return ranked.select(*items.columns, "__rank").mapInPandas(released(look_up), schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, width: int = 4) -> DataFrame:

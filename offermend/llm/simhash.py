@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offermend.llm.common import components, schema_of
+from offermend.llm.common import components, released, schema_of
 from offermend.session import staged
 
 WORDS = 4
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
             fps = np.array([fingerprint(t, words) for t in batch.column(columns.index(text)).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in kept] + [pa.array(fps)], names=[*kept, "fp"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema_of(docs, kept) + ", fp long")
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(released(run), schema_of(docs, kept) + ", fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
