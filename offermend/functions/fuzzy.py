@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from offermend.functions import ship_by_value
+from offermend.session import staged
 
 ship_by_value(__name__)
 
@@ -353,11 +354,15 @@ def rank_candidates(
         queries = queries.withColumn("cluster", F.lit(None).cast("string"))
     if "clusters" not in candidates.columns:
         candidates = candidates.withColumn("clusters", F.array().cast("array<string>"))
-    asked = queries.select(*group, "query", "query_norm", "cluster").distinct()
+    # both sides are read several times: once each from what made them
+    candidates = staged(candidates.select(*group, "value", "value_norm", "clusters").distinct())
+    asked = staged(queries.select(*group, "query", "query_norm", "cluster").distinct())
     asked = asked.join(_least_scores(asked, candidates, group, k), [*group, "query"], "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    asked = staged(asked)
     qs = _chunks(asked, group, ["query", "query_norm", "cluster", "least"], QUERY_CHUNK, "_q")
     vs = _chunks(candidates, group, ["value", "value_norm", "clusters"], VALUE_CHUNK, "_v")
-    counts = qs.select(*group, "_q_n").distinct().join(vs.select(*group, "_v_n").distinct(), group)
+    counted = lambda rows, size, name: rows.groupBy(*group).agg(F.ceil(F.count("*") / size).alias(name))
+    counts = counted(asked, QUERY_CHUNK, "_q_n").join(counted(candidates, VALUE_CHUNK, "_v_n"), group)
     key = [*group, "_q_c", "_v_c"]
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     spark = queries.sparkSession
