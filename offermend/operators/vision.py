@@ -244,14 +244,15 @@ def validates_label(scores: DataFrame, detected: DataFrame) -> DataFrame:
     return top.join(detected.where("detected_label <> ''"), "image_id").groupBy("image_id").agg(F.max(either).alias("validates"))
 
 
-def image_strategy(colors: DataFrame, strategy: str = "first_only", max_images: int = 1) -> DataFrame:
+def image_strategy(colors: DataFrame, strategy: str = "first_only", max_images: int | None = None) -> DataFrame:
     """offer_id -> colour over its images (offer_id, image_no, dominant_color, confidence).
 
-    ``first_only``; ``best_confidence``; ``aggregate_vote``: most frequent, then most confident.
+    ``first_only``; ``best_confidence``; ``aggregate_vote``: most frequent, then most confident. All images
+    count unless a caller names the last one, ``max_images``.
     """
     if strategy == "first_only":
         return colors.groupBy("offer_id").agg(F.min_by(F.struct("dominant_color", "confidence"), "image_no").alias("c")).select("offer_id", "c.*")
-    rows = colors.where(F.col("image_no") <= max_images)
+    rows = colors if max_images is None else colors.where(F.col("image_no") <= max_images)
     if strategy == "best_confidence":
         best = F.max_by(F.struct("dominant_color", "confidence"), F.struct("confidence", -F.col("image_no")))
         return rows.groupBy("offer_id").agg(best.alias("c")).select("offer_id", "c.*")

@@ -249,14 +249,14 @@ def _images(spark, sf_dir):
 _GROUPED = f"SELECT offer_id, image_no, max(dominant_color) AS dominant_color, max(confidence) AS confidence FROM ({_IMAGES}) GROUP BY 1, 2"
 
 
-@query(f"WITH i AS ({_GROUPED}) SELECT offer_id, arg_max(dominant_color, (confidence, -image_no)) AS dominant_color, max(confidence) AS confidence FROM i WHERE image_no <= 5 GROUP BY 1")
+@query(f"WITH i AS ({_GROUPED}) SELECT offer_id, arg_max(dominant_color, (confidence, -image_no)) AS dominant_color, max(confidence) AS confidence FROM i GROUP BY 1")
 def image_best_confidence(spark, sf_dir):
-    return vision.image_strategy(_images(spark, sf_dir), "best_confidence", 5)
+    return vision.image_strategy(_images(spark, sf_dir), "best_confidence")
 
 
 @query(
-    f"WITH i AS ({_GROUPED}), v AS (SELECT offer_id, dominant_color, count(*) AS n, max(confidence) AS confidence FROM i WHERE image_no <= 5 GROUP BY 1, 2) "
+    f"WITH i AS ({_GROUPED}), v AS (SELECT offer_id, dominant_color, count(*) AS n, max(confidence) AS confidence FROM i GROUP BY 1, 2) "
     "SELECT offer_id, arg_max(dominant_color, (n, confidence, dominant_color)) AS dominant_color, arg_max(confidence, (n, confidence, dominant_color)) AS confidence FROM v GROUP BY 1"
 )
 def image_vote(spark, sf_dir):
-    return vision.image_strategy(_images(spark, sf_dir), "aggregate_vote", 5)
+    return vision.image_strategy(_images(spark, sf_dir), "aggregate_vote")
