@@ -4,18 +4,23 @@ Unit vectors with a cosine of at least ``threshold`` are at most epsilon = sqrt(
 apart. The vectors are turned to their principal axes (of all vectors; the sums are made in the tasks)
 and sorted by grid cells of width epsilon along the leading ones. The sorted sequence is cut into
 intervals that stay within one cell of the first ``depth`` axes and hold at most ``INTERVAL`` vectors,
-each with its bounding box. Intervals of cells next to each other meet in an equi-join on the cell;
-pairs whose boxes are provably further apart than epsilon are skipped. A surviving pair is joined
-recursively: halves of the two intervals are compared by their boxes before any vector is, and only
-small halves are multiplied out. No pair of vectors leaves the task: per vector it hands on the number
-of its links, and a link to the smallest vector of its connected set.
+each with its bounding box. Consecutive intervals form a group; a group's parts, one per cell, meet
+parts of cells next to theirs in an equi-join on the cell, and those whose boxes are provably further
+apart than epsilon are skipped. What is left are tiles: two groups each, to which an interval travels
+once, whatever number of partners it has there. A group holds about the square root of the number of
+intervals (at most ``GROUP``, and ``GROUP_BYTES``), so an interval travels to that many tiles at most
+until the bound is reached. In a tile pairs of intervals are joined recursively: halves are compared by
+their boxes before any vector is; those out of reach are skipped, those wholly within reach linked by
+count, and only small halves between are multiplied out. No pair of vectors leaves the task: per vector
+it hands on the number of its links, and a link to the smallest vector of its connected set.
 
 Equal vectors are one vector with a count, so copies of any number cost nothing. ``depth`` follows from
 the number of filled cells, so that cells stay small as the data grow; results do not depend on it.
 
 Defined results: null vectors, empty ones, zero ones and those with a null or non-finite component link
 with nothing; vectors of other lengths do not link; rows without an id link with nothing; rows that
-repeat an id count as copies. An empty table has an empty result.
+repeat an id count as copies. An empty table has an empty result. Other columns of the input are not
+read, whatever their names; vectors may be of any length (a few intervals of one tile are in memory).
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offermend.llm.common import components, schema_of
 from offermend.session import staged
@@ -37,6 +44,9 @@ THRESHOLD = 0.95
 #: Vectors of one interval, and of a half that is multiplied out.
 INTERVAL = 1024
 LEAF = 256
+#: Intervals of one group at most, and bytes of their vectors.
+GROUP = 64
+GROUP_BYTES = 32 << 20
 #: Leading axes whose cells order the sequence, and of which the first ``depth`` are joined on.
 AXES = 6
 #: Added to epsilon against rounding; every link is decided by its cosine.
@@ -46,14 +56,16 @@ DOUBT = 1e-9
 
 
 def keyed(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """id, key (digest of the vector; null if it links with nothing), dim, vector (doubles as bytes)."""
+    """id, key (digest of the vector; null if it links with nothing), dim, vector (bytes of its numbers, as wide as given)."""
+    kind = vectors.schema[embedding].dataType
+    wide = np.float32 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, raws, dims = [], [], []
             for known, v in zip(batch.column(0).is_valid().to_pylist(), batch.column(1), strict=True):
                 good = known and v.is_valid and len(v.values) > 0 and v.values.null_count == 0
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0 if good else None
+                x = v.values.to_numpy(zero_copy_only=False).astype(wide) + wide(0) if good else None
                 good = good and bool(np.isfinite(x).all()) and bool(x.any())
                 raw = x.tobytes() if good else None
                 raws.append(raw)
@@ -64,8 +76,12 @@ def keyed(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embeddin
     return vectors.select(id_col, embedding).mapInArrow(run, schema_of(vectors, [id_col]) + ", key binary, dim int, vector binary")
 
 
-def _unit(raws: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws)).reshape(len(raws), -1)
+def _numbers(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * rows * dim else np.float64).reshape(rows, dim)
+
+
+def _unit(given: np.ndarray) -> np.ndarray:
+    x = given.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # lengths neither over- nor underflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -77,7 +93,7 @@ def principal_axes(distinct: DataFrame) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for dim, rows in batch.groupby("dim"):
-                x = np.hstack([np.ones((len(rows), 1)), _unit(rows["vector"].tolist())])
+                x = np.hstack([np.ones((len(rows), 1)), _unit(_numbers(b"".join(rows["vector"]), len(rows), dim))])
                 total[dim] = total.get(dim, 0) + x.T @ x
         for dim, m in total.items():
             yield pd.DataFrame({"dim": dim, "i": np.arange(m.size), "x": m.ravel()})
@@ -101,7 +117,7 @@ def _cells(frame: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
         for batch in batches:
             cell = np.empty(len(batch), object)
             for dim, rows in batch.groupby("dim"):
-                y = np.floor(_unit(rows["vector"].tolist()) @ axes[dim][:, :AXES] / eps).astype(int)
+                y = np.floor(_unit(_numbers(b"".join(rows["vector"]), len(rows), dim)) @ axes[dim][:, :AXES] / eps).astype(int)
                 for i, c in zip(batch.index.get_indexer(rows.index), y, strict=True):
                     cell[i] = c
             yield batch.assign(cell=cell)
@@ -109,17 +125,26 @@ def _cells(frame: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
     return frame.mapInPandas(run, schema_of(frame, columns) + ", cell array<int>")
 
 
-def intervals(sorted_rows: DataFrame, axes: dict[int, np.ndarray], depth: int) -> DataFrame:
-    """block, dim, cell (of the first axes), low, high (bounding box), ids, copies, vectors: pieces of the sorted sequence."""
-    schema = "block long, dim int, cell array<int>, low array<double>, high array<double>, ids array<long>, copies array<long>, vectors binary"
+def intervals(sorted_rows: DataFrame, axes: dict[int, np.ndarray], depth: int, together: int = GROUP) -> DataFrame:
+    """grp, dim, cell (of the first axes), low, high (bounding box), ids, copies, vectors: pieces of the sorted sequence.
+
+    ``grp`` numbers groups of consecutive pieces, of the vectors of about ``together`` full ones.
+    """
+    schema = "grp long, dim int, cell array<int>, low array<double>, high array<double>, ids array<long>, copies array<long>, vectors binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         key = None
+        grp, taken, size = TaskContext.get().partitionId() << 32, 0, 0
 
         def close() -> pd.DataFrame:
-            y = _unit([h[2] for h in held]) @ axes[key[0]]
-            row = {"block": held[0][0], "dim": key[0], "cell": list(key[1]), "low": y.min(axis=0), "high": y.max(axis=0), "ids": [h[0] for h in held], "copies": [h[1] for h in held], "vectors": b"".join(h[2] for h in held)}
+            nonlocal grp, taken, size
+            raw = b"".join(h[2] for h in held)
+            if taken and (taken + len(held) > together * INTERVAL or size + len(raw) > GROUP_BYTES):
+                grp, taken, size = grp + 1, 0, 0
+            taken, size = taken + len(held), size + len(raw)
+            y = _unit(_numbers(raw, len(held), key[0])) @ axes[key[0]]
+            row = {"grp": grp, "dim": key[0], "cell": list(key[1]), "low": y.min(axis=0), "high": y.max(axis=0), "ids": [h[0] for h in held], "copies": [h[1] for h in held], "vectors": raw}
             held.clear()
             return pd.DataFrame([row])
 
@@ -136,110 +161,168 @@ def intervals(sorted_rows: DataFrame, axes: dict[int, np.ndarray], depth: int) -
     return sorted_rows.mapInPandas(run, schema)
 
 
-def _meetings(blocks: DataFrame, eps: float) -> DataFrame:
-    """(a, b) of intervals that may hold a link: their cells touch and their boxes are within epsilon."""
-    boxes = blocks.select("block", "dim", "cell", "low", "high")
-    schema = "block long, dim int, cell array<int>"
+def _parts(blocks: DataFrame) -> DataFrame:
+    """grp, dim, cell, low, high: the box of a group's intervals in one cell."""
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows.iloc[:1].copy()
+        one["low"], one["high"] = [np.min(np.stack(rows["low"]), axis=0)], [np.max(np.stack(rows["high"]), axis=0)]
+        return one
+
+    schema = "grp long, dim int, cell array<int>, low array<double>, high array<double>"
+    return blocks.select("grp", "dim", "cell", "low", "high").groupBy("grp", "dim", "cell").applyInPandas(merged, schema)
+
+
+def _tiles(parts: DataFrame, eps: float) -> DataFrame:
+    """(g, h, grp, dim, cell): the parts that a tile of two groups needs, as their cells touch and their boxes are within epsilon."""
+    schema = "grp long, dim int, own array<int>, cell array<int>, low array<double>, high array<double>"
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells at or after an interval's own in the order that its box, grown by epsilon, reaches."""
+        """Cells at or after a part's own in the order that its box, grown by epsilon, reaches."""
         for batch in batches:
             out = []
-            for block, dim, cell, low, high in batch.itertuples(index=False):
+            for grp, dim, cell, low, high in batch[["grp", "dim", "cell", "low", "high"]].itertuples(index=False):
                 reached = [((), 0.0)]
                 for c, lo, hi in zip(cell, low, high, strict=False):
                     options = ((c - 1, max(0.0, lo - c * eps)), (c, 0.0), (c + 1, max(0.0, (c + 1) * eps - hi)))
                     reached = [((*prefix, k), far + gap * gap) for prefix, far in reached for k, gap in options if far + gap * gap <= eps * eps]
-                out += [(block, dim, list(k)) for k, _ in reached if k >= tuple(cell)]
-            yield pd.DataFrame(out, columns=["block", "dim", "cell"])
+                out += [(grp, dim, cell, list(k), low, high) for k, _ in reached if k >= tuple(cell)]
+            yield pd.DataFrame(out, columns=["grp", "dim", "own", "cell", "low", "high"])
 
-    reach = boxes.mapInPandas(around, schema).withColumnRenamed("block", "a")
-    there = boxes.select(F.col("block").alias("b"), "dim", "cell", F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    own = boxes.select(F.col("block").alias("a"), F.col("cell").alias("cell_a"), "low", "high")
-    met = reach.join(there, ["dim", "cell"]).join(own, "a").where((F.col("cell") != F.col("cell_a")) | (F.col("a") <= F.col("b")))
+    reach = parts.mapInPandas(around, schema).withColumnRenamed("grp", "a")
+    there = parts.select(F.col("grp").alias("b"), "dim", "cell", F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    met = reach.join(there, ["dim", "cell"]).where((F.col("cell") != F.col("own")) | (F.col("a") <= F.col("b")))
     gap = lambda lo, hi: F.greatest(lo, hi, F.lit(0.0))
     ways = F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("low_b", "high_b"), lambda p, q: gap(p["low"] - q["high_b"], q["low_b"] - p["high"]))
-    return met.where(F.aggregate(ways, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps).select("a", "b")
+    met = met.where(F.aggregate(ways, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps)
+    both = F.array(F.struct(F.col("a").alias("grp"), F.col("own").alias("cell")), F.struct(F.col("b").alias("grp"), "cell"))
+    needed = met.select(F.least("a", "b").alias("g"), F.greatest("a", "b").alias("h"), "dim", F.explode(both).alias("part"))
+    return needed.select("g", "h", F.col("part.grp").alias("grp"), "dim", F.col("part.cell").alias("cell")).distinct()
 
 
 class _Side:
-    def __init__(self, ids, copies, raw: bytes, axis: np.ndarray):
-        self.ids, self.copies = np.asarray(ids, np.int64), np.asarray(copies, np.int64)
-        self.given = np.frombuffer(raw).reshape(len(self.ids), -1)
-        self.unit = _unit([r.tobytes() for r in self.given])
-        self.turned = self.unit @ axis
+    """An interval in a tile; ``start`` is the place of its first vector there."""
+
+    def __init__(self, row, axes: dict[int, np.ndarray], start: int):
+        self.grp, self.dim, self.start, self.n = row.grp, row.dim, start, len(row.ids)
+        self.given = _numbers(row.vectors, self.n, row.dim)
+        self.unit = _unit(self.given)
+        self.turned = self.unit @ axes[row.dim]
+        self.copies = np.asarray(row.copies, np.int64)
+        self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def box(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        part = self.turned[a:b]
-        return part.min(axis=0), part.max(axis=0)
-
-
-def _near(x: _Side, y: _Side, threshold: float, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of links between two intervals, by recursion on their halves."""
-    work = [(0, len(x.ids), 0, len(y.ids))]
-    while work:
-        a, b, c, d = work.pop()
-        if same and a >= d:
-            continue
-        (lo, hi), (low, high) = x.box(a, b), y.box(c, d)
-        gap = np.maximum(0, np.maximum(lo - high, low - hi))
-        if gap @ gap > eps * eps:
-            continue
-        if b - a > LEAF or d - c > LEAF:
-            left = [(a, b)] if b - a <= LEAF else [(a, (a + b) // 2), ((a + b) // 2, b)]
-            right = [(c, d)] if d - c <= LEAF else [(c, (c + d) // 2), ((c + d) // 2, d)]
-            work += [(*p, *q) for p in left for q in right]
-            continue
+        if (a, b) not in self.boxes:
+            part = self.turned[a:b]
+            self.boxes[a, b] = part.min(axis=0), part.max(axis=0)
+        return self.boxes[a, b]
+
+
+def _bunches(linked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected set of a matrix of links."""
+    left = linked.any(axis=1)
+    while left.any():
+        rows = np.zeros(len(left), bool)
+        rows[left.argmax()] = True
+        while True:
+            columns = linked[rows].any(axis=0)
+            grown = linked[:, columns].any(axis=1)
+            if grown.sum() == rows.sum():
+                break
+            rows = grown
+        left &= ~rows
+        yield np.flatnonzero(rows), np.flatnonzero(columns)
+
+
+class _Tile:
+    """Counts of links and connected sets over the vectors of a tile."""
+
+    def __init__(self, ids: np.ndarray, threshold: float):
+        self.ids, self.threshold = ids, threshold
+        self.counts = np.zeros(len(ids), np.int64)
+        self.root = list(range(len(ids)))
+        reach = math.sqrt(2 - 2 * threshold)
+        self.eps, self.sure = reach + SLACK, max(0.0, reach - SLACK)
+
+    def top(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def unite(self, places: np.ndarray) -> None:
+        tops = {self.top(i) for i in places.tolist()}
+        if len(tops) > 1:
+            least = min(tops, key=lambda k: self.ids[k])
+            for t in tops:
+                self.root[t] = least
+
+    def join(self, x: _Side, y: _Side) -> None:
+        """All links between two intervals, or within one, by recursion on their halves."""
+        same = x is y
+        work = [(0, x.n, 0, y.n)]
+        while work:
+            a, b, c, d = work.pop()
+            if same and a >= d:
+                continue
+            (lo, hi), (low, high) = x.box(a, b), y.box(c, d)
+            gap = np.maximum(0, np.maximum(lo - high, low - hi))
+            if gap @ gap > self.eps * self.eps:
+                continue
+            far = np.maximum(hi - low, high - lo)
+            mine, yours = slice(x.start + a, x.start + b), slice(y.start + c, y.start + d)
+            diagonal = same and a == c
+            if far @ far < self.sure * self.sure:
+                self.counts[mine] += y.copies[c:d].sum() - (x.copies[a:b] if diagonal else 0)
+                if not diagonal:
+                    self.counts[yours] += x.copies[a:b].sum()
+                self.unite(np.r_[mine, yours])
+            elif b - a > LEAF or d - c > LEAF:
+                left = [(a, b)] if b - a <= LEAF else [(a, (a + b) // 2), ((a + b) // 2, b)]
+                right = [(c, d)] if d - c <= LEAF else [(c, (c + d) // 2), ((c + d) // 2, d)]
+                work += [(*p, *q) for p in left for q in right]
+            else:
+                linked = self._linked(x, y, a, b, c, d)
+                if diagonal:
+                    np.fill_diagonal(linked, False)
+                self.counts[mine] += linked @ y.copies[c:d]
+                if not diagonal:
+                    self.counts[yours] += linked.T @ x.copies[a:b]
+                if np.count_nonzero(linked) > b - a + d - c:
+                    for rows, columns in _bunches(linked):
+                        self.unite(np.concatenate([rows + mine.start, columns + yours.start]))
+                else:
+                    for i, j in np.argwhere(linked):
+                        self.unite(np.array([i + mine.start, j + yours.start]))
+
+    def _linked(self, x: _Side, y: _Side, a: int, b: int, c: int, d: int) -> np.ndarray:
         cosine = x.unit[a:b] @ y.unit[c:d].T
-        linked = cosine >= threshold
-        for i, j in np.argwhere(np.abs(cosine - threshold) < DOUBT):
-            p, q = x.given[a + i], y.given[c + j]
-            linked[i, j] = p @ q / (math.sqrt(p @ p) * math.sqrt(q @ q)) >= threshold
-        i, j = np.nonzero(linked)
-        i, j = i + a, j + c
-        if same:
-            i, j = i[i < j], j[i < j]
-        yield i, j
+        linked = cosine >= self.threshold
+        for i, j in np.argwhere(np.abs(cosine - self.threshold) < DOUBT):
+            p, q = x.given[a + i].astype(np.float64), y.given[c + j].astype(np.float64)
+            linked[i, j] = p @ q / (math.sqrt(p @ p) * math.sqrt(q @ q)) >= self.threshold
+        return linked
 
 
 def links(blocks: DataFrame, axes: dict[int, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """(node, links, root): per pair of intervals how many vectors (copies counted) a vector links to, and one it is connected with."""
-    eps = math.sqrt(2 - 2 * threshold) + SLACK
-    sides = lambda s: blocks.select(F.col("block").alias(s), F.col("dim").alias(f"dim_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "vectors")])
-    met = staged(_meetings(blocks, eps))
-    pairs = met.join(sides("a"), "a").join(sides("b"), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                axis = axes[r.dim_a]
-                x = _Side(r.ids_a, r.copies_a, r.vectors_a, axis)
-                same = r.a == r.b
-                y = x if same else _Side(r.ids_b, r.copies_b, r.vectors_b, axis)
-                n = len(x.ids)
-                count_x, count_y = np.zeros(n, np.int64), np.zeros(len(y.ids), np.int64)
-                root = np.arange(n + (0 if same else len(y.ids)))
-                ids = x.ids if same else np.concatenate([x.ids, y.ids])
-
-                def top(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                for i, j in _near(x, y, threshold, eps, same):
-                    np.add.at(count_x, i, y.copies[j])
-                    np.add.at(count_x if same else count_y, j, x.copies[i])
-                    for p, q in zip(i.tolist(), (j if same else j + n).tolist(), strict=True):
-                        p, q = top(p), top(q)
-                        if p != q:
-                            root[max(p, q, key=lambda k: ids[k])] = min(p, q, key=lambda k: ids[k])
-                counts = count_x if same else np.concatenate([count_x, count_y])
-                some = np.flatnonzero(counts)
-                yield pd.DataFrame({"node": ids[some], "links": counts[some], "root": ids[[top(i) for i in some.tolist()]] if len(some) else ids[some]})
-
-    small = pairs.select("a", "b", "dim_a", *[f"{c}_{s}" for s in "ab" for c in ("ids", "copies", "vectors")])
-    return small.mapInPandas(run, "node long, links long, root long")
+    """(node, links, root): per tile how many vectors (copies counted) a vector links to there, and one it is connected with."""
+    tiles = _tiles(staged(_parts(blocks)), math.sqrt(2 - 2 * threshold) + SLACK)
+    members = blocks.select("grp", "dim", "cell", "ids", "copies", "vectors").join(tiles, ["grp", "dim", "cell"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        g, h = rows["g"].iloc[0], rows["h"].iloc[0]
+        ids = np.concatenate([np.asarray(r, np.int64) for r in rows["ids"]])
+        starts = np.cumsum([0, *map(len, rows["ids"])])
+        sides = [_Side(r, axes, s) for r, s in zip(rows.itertuples(index=False), starts.tolist(), strict=False)]
+        tile = _Tile(ids, threshold)
+        for i, x in enumerate(sides):
+            for y in sides[i:] if g == h else sides:
+                if x.dim == y.dim and x.grp == g and y.grp == h:
+                    tile.join(x, y)
+        some = np.flatnonzero(tile.counts)
+        return pd.DataFrame({"node": ids[some], "links": tile.counts[some], "root": ids[np.array([tile.top(i) for i in some.tolist()], int)]})
+
+    return members.select("g", "h", "grp", "dim", "ids", "copies", "vectors").groupBy("g", "h").applyInPandas(run, "node long, links long, root long")
 
 
 def classes(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -253,7 +336,8 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "embedd
     filled = celled.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.slice("cell", 1, d)).alias(f"d{d}") for d in range(1, AXES + 1)]).first()
     depth = next((d for d in range(1, AXES + 1) if filled["n"] <= INTERVAL * filled[f"d{d}"]), AXES)
     in_order = celled.repartitionByRange("dim", "cell", "rep").sortWithinPartitions("dim", "cell", "rep")
-    blocks = staged(intervals(in_order, axes, depth))
+    together = min(GROUP, max(1, round(math.sqrt(filled["n"] / INTERVAL))))
+    blocks = staged(intervals(in_order, axes, depth, together))
     found = staged(links(blocks, axes, threshold))
     counts = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

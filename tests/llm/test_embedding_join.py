@@ -54,3 +54,18 @@ def test_dense_clusters_small_intervals_and_odd_rows(spark, monkeypatch):
 
 def test_empty(spark):
     assert embedding_join.classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_boxes_wholly_within_reach_and_groups_of_one_interval(spark, monkeypatch):
+    """A large group of near copies is linked by count; tiles of single intervals give the same."""
+    monkeypatch.setattr(embedding_join, "INTERVAL", 32)
+    monkeypatch.setattr(embedding_join, "LEAF", 8)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(300, 8)) * 0.01, rng.normal(size=(200, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    check(spark, rows)
+    monkeypatch.setattr(embedding_join, "GROUP", 1)
+    check(spark, rows)
+    monkeypatch.setattr(embedding_join, "GROUP_BYTES", 1)
+    wide = spark.createDataFrame([(i, [float(k) for k in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    assert sorted((tuple(r) for r in embedding_join.classes(wide).collect()), key=repr) == brute(rows)
