@@ -1,9 +1,10 @@
 """The whole repair of an offer table.
 
-eligible -> category -> check of existing attributes -> rules -> suggestions -> image values ->
-gate -> missing mandatory -> action, as one DataFrame plan. Reference sides are unique per key, so
-joins never multiply rows. Ids may be blank or repeated: a run works on distinct rows under a digest of
-their content, which is what the wide shuffles are by, and shows the ids again at the end.
+Offers are read once: their distinct rows, under a digest of their content (ids may be blank or repeated)
+and with the visible text instead of the markup, are written to the shared folder, of which every step reads
+the columns it needs. Existing attributes, rules, product knowledge, suggestions and image values are one
+long table of evidence; it passes the matching and the gate together and is folded once per offer, in the
+order of ``PRECEDENCE``. Reference sides are unique per key, so joins never multiply rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from offermend import fixed_values as V
 from offermend.functions.html import strip_html
-from offermend.functions.text import error_code, strip
+from offermend.functions.text import error_code, norm_text, strip
 from offermend.operators.detect import (
     Rule,
     applicable_concepts,
@@ -28,8 +29,14 @@ from offermend.operators.detect import (
     size_and_age_value,
 )
 from offermend.operators.indexes import ReferenceIndex, mandatory_index
-from offermend.operators.matching import KEY, match_suggested_categories, match_values, resolve_categories
+from offermend.operators.knowledge import knowledge_lookup
+from offermend.operators.matching import KEY, gate_columns, match_suggested_categories, match_values, resolve_categories
 from offermend.operators.suggest import accept_suggestions
+from offermend.operators.vision import action_confidence, fuse_category
+from offermend.session import staged
+
+#: Of two new values of an attribute the one of the source named first counts.
+PRECEDENCE = {"existing": 0, "rule": 1, "knowledge": 2, "suggestion": 3, "image": 4}
 
 
 @dataclass
@@ -44,12 +51,18 @@ class Options:
     suggestions: DataFrame | None = None  # offer_id, position, char_input, value_input
     repair_choices: DataFrame | None = None  # cat, char_name, value_input, choice; likewise
     image_values: DataFrame | None = None  # offer_id, char_input, value_input
+    image_hints: DataFrame | None = None  # offer_id, image_candidate, image_confidence; the most confident counts
+    image_suggestion_only: bool = False  # image values are shown, neither checked nor filled in
+    fusion: str = "review"  # policy of ``fuse_category``
+    knowledge: DataFrame | None = None  # ``schemas.PRODUCT_KNOWLEDGE``, looked up by ean or brand and title
+    marketplace: str = ""
     filter_category: str | None = None
     target_char: str | None = None
     use_model: bool = False
     fuzzy: bool = True
 
 
+REJECTED = "array<struct<source:string,char_name:string,value_input:string,reason:string>>"
 REVIEW = "array<struct<char_name:string,value_input:string,value:string,method:string,score:double,reason:string>>"
 STRINGS = "map<string,string>"
 
@@ -62,14 +75,17 @@ def mandatory_profile(index: ReferenceIndex) -> DataFrame:
     return rows.groupBy("cat").agg(F.sort_array(F.collect_list(entry)).alias("mandatory"))
 
 
-def resolve_offers(offers: DataFrame, index: ReferenceIndex, options: Options) -> DataFrame:
-    """Offers with error_code, eligible, cat, new_category, category_action and category_reason."""
-    code = error_code("error")
-    eligible = F.coalesce(code, F.lit("empty")).isin(*options.codes) if options.codes else F.lit(False)
+def _eligible(options: Options) -> Column:
+    eligible = F.coalesce(error_code("error"), F.lit("empty")).isin(*options.codes) if options.codes else F.lit(False)
     if options.filter_category:
         wanted = options.filter_category.strip().lower()
         eligible = eligible & (F.lower(strip(F.coalesce("category", F.lit("")))) == wanted)
-    coded = offers.withColumn("error_code", code).withColumn("eligible", eligible)
+    return eligible
+
+
+def resolve_offers(offers: DataFrame, index: ReferenceIndex, options: Options) -> DataFrame:
+    """Offers with error_code, eligible, cat, new_category, category_action and category_reason."""
+    coded = offers.withColumn("error_code", error_code("error")).withColumn("eligible", _eligible(options))
     own = resolve_categories(coded.where("category <> ''"), index, options.fuzzy)
     rows = coded.join(own.select("category", F.col("cat").alias("own_cat")), "category", "left")
 
@@ -114,14 +130,17 @@ def resolve_offers(offers: DataFrame, index: ReferenceIndex, options: Options) -
     )
 
 
-def _long(rows: DataFrame, source: str, prio: int, position: Column, mode: str | None = None) -> DataFrame:
+def _long(rows: DataFrame, source: str, position: Column, mode: str | None = None) -> DataFrame:
     return rows.select(
-        "offer_id", "cat", "char_input", "value_input", F.lit(source).alias("source"), F.lit(prio).alias("prio"),
-        position.cast("int").alias("position"),
+        "offer_id", "cat", "char_input", "value_input", F.lit(source).alias("source"), position.cast("int").alias("position"),
         (F.col("mode") if mode is None else F.lit(mode)).alias("mode"),
     )
 
 
+def _prio(source: str) -> Column:
+    return F.lit(PRECEDENCE[source])
+
+
 def by_row(offers: DataFrame) -> DataFrame:
     """Distinct offers with ``offer_id`` replaced by a digest of the row; ``shown_id`` is the id as
     given, ``copies`` how many rows are equal. Equal rows are combined before the shuffle."""
@@ -140,59 +159,88 @@ def _by_row(options: Options, rows: DataFrame) -> Options:
             return None
         return table.join(keys, F.col("offer_id") == F.col("_shown")).drop("offer_id", "_shown").withColumnRenamed("_row", "offer_id")
 
-    replies, choices = options.category_suggestions, options.repair_choices
+    replies, choices, hints = options.category_suggestions, options.repair_choices, options.image_hints
+    if hints is not None:
+        surest = F.max_by("image_candidate", F.struct("image_confidence", "image_candidate")).alias("image_candidate")
+        hints = keyed(hints.groupBy("offer_id").agg(surest, F.max("image_confidence").alias("image_confidence")))
     if replies is not None:
         replies = keyed(replies.groupBy("offer_id").agg(F.min("suggested").alias("suggested")))
     if choices is not None:
         choices = choices.groupBy("cat", "char_name", "value_input").agg(F.min("choice").alias("choice"))
-    return replace(options, category_suggestions=replies, suggestions=keyed(options.suggestions), repair_choices=choices, image_values=keyed(options.image_values))
+    return replace(options, category_suggestions=replies, suggestions=keyed(options.suggestions), repair_choices=choices, image_values=keyed(options.image_values), image_hints=hints)
+
+
+def _read_once(offers: DataFrame, options: Options) -> DataFrame:
+    """What a run needs of the distinct offers, written once; markup is read only where the offer is eligible."""
+    rows = by_row(offers).withColumn("visible", strip_html(F.when(_eligible(options), F.col("description"))))
+    texts = [F.col(c).cast("string").alias(c) if c in offers.columns else F.lit(None).cast("string").alias(c) for c in ("title", "error", "category", "ean", "brand")]
+    return staged(rows.select("offer_id", "shown_id", "copies", *texts, "existing_chars", "visible"))
+
+
+def _known_values(live: DataFrame, options: Options) -> DataFrame:
+    """Attributes stored for the same product (offer_id, cat, char_input, value_input)."""
+    asked = live.select("offer_id", "ean", "brand", norm_text("title").alias("normalized_title"), F.lit(options.marketplace).alias("marketplace_id"))
+    found = knowledge_lookup(asked, options.knowledge).select("offer_id", F.explode("final_attributes").alias("char_input", "value_input"))
+    return found.join(live.select("offer_id", "cat"), "offer_id")
 
 
 def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options | None = None) -> DataFrame:
-    """Results of a run: one row per offer in the ``RESULTS`` schema (see ``schemas``), plus ``cat``,
-    ``kept`` (existing attributes that stay) and ``audit_rejected`` (image values turned down)."""
+    """Results of a run: one row per offer in the ``RESULTS`` schema (see ``schemas``), plus ``cat``, ``kept``
+    (existing attributes that stay), ``audit_rejected`` (names of values turned down), ``rejected`` (what
+    knowledge and images proposed and the gate turned down, with value and reason), ``image_analysis`` (hint,
+    its confidence and the proposed values; null without any) and ``fusion_reason`` (why the category of
+    text and hint is what it is; null unless it was settled by both)."""
     options = options or Options()
     spark = offers.sparkSession
-    offers = by_row(offers)
+    offers = _read_once(offers, options)
     options = _by_row(options, offers)
     names = concept_names_table(spark, options.concept_names)
     concepts = applicable_concepts(index, names)
     base = resolve_offers(offers, index, options)
-    live = base.where("cat IS NOT NULL").withColumn("visible", strip_html("description"))
+    live = base.where("cat IS NOT NULL")
 
     # values that need a look-up, one long table
+    filled = F.coalesce(strip("value_input"), F.lit("")) != ""
     existing = live.select("offer_id", "cat", F.posexplode("existing_chars").alias("position", "char_input", "value_input"))
-    existing = existing.where(F.coalesce(strip("value_input"), F.lit("")) != "")
-    long = _long(existing, "existing", 0, F.col("position"), "existing")
-    read = size_and_age(live, concepts)
-    long = long.unionByName(_long(read, "rule", 1, F.col("step")))
-    if options.image_values is not None:
+    long = _long(existing.where(filled), "existing", F.col("position"), "existing")
+    long = long.unionByName(_long(size_and_age(live, concepts), "rule", F.col("step")))
+    if options.knowledge is not None:
+        long = long.unionByName(_long(_known_values(live, options).where(filled), "knowledge", F.lit(0), "gate"))
+    if options.image_values is not None and not options.image_suggestion_only:
         image = options.image_values.join(live.select("offer_id", "cat"), "offer_id")
-        long = long.unionByName(_long(image, "image", 3, F.lit(0), "gate"))
+        long = long.unionByName(_long(image.where(filled), "image", F.lit(0), "gate"))
     matched = long.join(match_values(long, index, options.fuzzy), KEY, "left")
-    free = F.when(~F.col("has_values"), F.coalesce("fallback", strip("value_input")))
-    value = (
-        F.when(F.col("mode") == "existing", F.col("value_input"))
-        .when(F.col("mode") == "gate", F.when(F.col("canonical").isNotNull(), F.coalesce("found", free)))
-        .otherwise(size_and_age_value())
-    )
+    mapped, reason = gate_columns()
+    value = F.when(F.col("mode") == "existing", F.col("value_input")).when(F.col("mode") == "gate", mapped).otherwise(size_and_age_value())
     verdict = (
         F.when(F.col("mode") != "existing", F.when(value.isNotNull(), F.lit("new")).otherwise(F.lit("rejected")))
         .when(F.col("has_values") & F.col("lower_value").isNull(), F.lit("cleared"))
         .when(F.col("canonical").isNull(), F.lit("cleared"))
         .otherwise(F.lit("kept"))
     )
+    turned_down = F.when(
+        (F.col("mode") == "gate") & value.isNull(),
+        F.array(F.struct("source", F.col("char_input").alias("char_name"), strip("value_input").alias("value_input"), reason.alias("reason"))),
+    )
+    prio = F.coalesce(*[F.when(F.col("source") == s, F.lit(n)) for s, n in PRECEDENCE.items()])
     entry = matched.select(
-        "offer_id", "prio", "position", verdict.alias("verdict"),
+        "offer_id", prio.alias("prio"), "position", verdict.alias("verdict"),
         F.when(F.col("mode") == "existing", F.col("char_input")).otherwise(F.coalesce("canonical", "char_input")).alias("char_name"),
-        value.alias("value"), F.lit(None).cast(REVIEW).alias("review"),
+        value.alias("value"), F.lit(None).cast(REVIEW).alias("review"), turned_down.cast(REJECTED).alias("rejected"),
     )
     if options.suggestions is not None:
         asked = options.suggestions
         if options.target_char is not None:
             asked = asked.where(F.col("char_input") == options.target_char)
         asked = asked.join(live.select("offer_id", "cat"), "offer_id")
-        entry = entry.unionByName(_suggested(accept_suggestions(asked, index, options.repair_choices, fuzzy=options.fuzzy), index, options))
+        entry = entry.unionByName(_suggested(accept_suggestions(asked, index, options.repair_choices, fuzzy=options.fuzzy), index, options), allowMissingColumns=True)
+    resolved = resolve_rules(index, concepts, options.rules, options.fuzzy, gated=True)
+    words = detect_by_words(live.select("offer_id", "cat", "title", "visible"), resolved, options.rules)
+    words = words.select("offer_id", F.explode("detected").alias("d")).select(
+        "offer_id", _prio("rule").alias("prio"), F.lit(0).alias("position"), F.lit("new").alias("verdict"),
+        F.col("d.attribute").alias("char_name"), F.col("d.value").alias("value"),
+    )
+    entry = entry.unionByName(words, allowMissingColumns=True)
 
     item = F.struct("prio", "position", "char_name", "value")
 
@@ -204,10 +252,42 @@ def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options |
         of("kept").alias("kept"), of("cleared").alias("cleared_items"), of("new").alias("new_items"),
         F.transform(of("rejected"), lambda r: r["char_name"]).alias("audit_rejected"),
         F.flatten(F.collect_list("review")).alias("review"),
+        F.array_sort(F.flatten(F.collect_list("rejected"))).alias("rejected"),
     )
-    resolved = resolve_rules(index, concepts, options.rules, options.fuzzy, gated=True)
-    worded = detect_by_words(live, resolved, options.rules).select("offer_id", "detected")
-    return _assemble(base, per_offer, worded, index, options)
+    return _assemble(_fused(base, index, options), per_offer, index, options)
+
+
+def _fused(base: DataFrame, index: ReferenceIndex, options: Options) -> DataFrame:
+    """The offers with ``image_analysis`` and ``fusion_reason``; where text and image hint settle on a category
+    that the marketplace knows, it is shown as the new one. Attributes keep to the category they were checked for."""
+    rows, seen = base, F.lit(False)
+    if options.image_hints is not None:
+        rows = rows.join(options.image_hints, "offer_id", "left")
+        seen = F.col("image_candidate").isNotNull()
+    else:
+        rows = rows.withColumns({"image_candidate": F.lit(None).cast("string"), "image_confidence": F.lit(None).cast("double")})
+    if options.image_values is not None:
+        first = options.image_values.groupBy("offer_id", "char_input").agg(F.min("value_input").alias("value_input"))
+        proposed = first.groupBy("offer_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("char_input", "value_input")))).alias("proposed"))
+        rows = rows.join(proposed, "offer_id", "left")
+    else:
+        rows = rows.withColumn("proposed", F.lit(None).cast(STRINGS))
+    live = F.col("cat").isNotNull()
+    analysis = F.struct(F.col("image_candidate").alias("hint"), F.col("image_confidence").alias("hint_confidence"), "proposed")
+    rows = rows.withColumn("image_analysis", F.when(live & (seen | F.col("proposed").isNotNull()), analysis))
+    if options.image_hints is None:
+        return rows.withColumn("fusion_reason", F.lit(None).cast("string"))
+    signals = rows.withColumns({"text_candidate": F.col("new_category"), "text_confidence": action_confidence(F.col("category_action"))})
+    settled = fuse_category(signals, options.fusion)
+    named = options.image_hints.select(F.col("image_candidate").alias("category")).where("category <> ''").distinct()
+    known = resolve_categories(named, index, options.fuzzy).where("cat IS NOT NULL").select(F.col("category").alias("image_candidate"), F.lit(True).alias("_known"))
+    settled = settled.join(known, "image_candidate", "left")
+    asked = live & (F.coalesce("image_candidate", F.lit("")) != "") & (F.col("image_confidence") > 0) & (F.col("final_category") != "")
+    takes = asked & ((F.col("final_category") == F.col("new_category")) | F.coalesce("_known", F.lit(False)))
+    return settled.withColumns({
+        "new_category": F.when(takes, F.col("final_category")).otherwise(F.col("new_category")),
+        "fusion_reason": F.when(takes, F.concat_ws(": ", "rule_applied", "case_name")),
+    })
 
 
 def _suggested(accepted: DataFrame, index: ReferenceIndex, options: Options) -> DataFrame:
@@ -220,33 +300,29 @@ def _suggested(accepted: DataFrame, index: ReferenceIndex, options: Options) ->
         F.col("canonical").isNotNull(), F.coalesce("found", F.when(~F.col("has_values"), F.coalesce("fallback", strip("value_input"))))
     )
     entry = gated.select(
-        "offer_id", F.lit(2).alias("prio"), "position", F.when(value.isNotNull(), F.lit("new")).otherwise(F.lit("rejected")).alias("verdict"),
+        "offer_id", _prio("suggestion").alias("prio"), "position", F.when(value.isNotNull(), F.lit("new")).otherwise(F.lit("rejected")).alias("verdict"),
         F.coalesce("canonical", "char_input").alias("char_name"), value.alias("value"), F.lit(None).cast(REVIEW).alias("review"),
     )
     note = F.array(F.struct(F.col("char_input").alias("char_name"), "value_input", "value", "method", "score", "reason"))
     reviewed = accepted.where("needs_review").select(
-        "offer_id", F.lit(2).alias("prio"), "position", F.lit("review").alias("verdict"), F.col("char_input").alias("char_name"),
+        "offer_id", _prio("suggestion").alias("prio"), "position", F.lit("review").alias("verdict"), F.col("char_input").alias("char_name"),
         "value", note.cast(REVIEW).alias("review"),
     )
     return entry.unionByName(reviewed)
 
 
-def _assemble(base: DataFrame, per_offer: DataFrame, worded: DataFrame, index: ReferenceIndex, options: Options) -> DataFrame:
+def _assemble(base: DataFrame, per_offer: DataFrame, index: ReferenceIndex, options: Options) -> DataFrame:
     """Everything known about an offer put into its result row; array work inside the row only."""
     empty_items = F.array().cast("array<struct<prio:int,position:int,char_name:string,value:string>>")
-    rows = base.join(per_offer, "offer_id", "left").join(worded, "offer_id", "left").join(mandatory_profile(index), "cat", "left")
+    rows = base.join(per_offer, "offer_id", "left").join(mandatory_profile(index), "cat", "left")
     for name in ("kept", "cleared_items", "new_items"):
         rows = rows.withColumn(name, F.coalesce(name, empty_items))
     to_map = lambda items: F.map_from_entries(F.transform(items, lambda i: F.struct(i["char_name"], i["value"])))
     rows = rows.withColumn("kept", to_map(F.col("kept")))
-    by_words = F.transform(
-        F.coalesce("detected", F.array().cast("array<struct<concept:string,step:int,rule:int,attribute:string,value:string>>")),
-        lambda d: F.struct(F.lit(1).alias("prio"), F.lit(0).alias("position"), d["attribute"].alias("char_name"), d["value"].alias("value")),
-    )
-    # rules skip attributes that hold a value, image values do too; suggestions answer a request
+    # rules skip attributes that hold a value, knowledge and image values do too; suggestions answer a request
     free = F.filter(
-        F.array_sort(F.concat(by_words, F.col("new_items"))),
-        lambda i: (i["prio"] == 2) | ~F.map_contains_key(F.col("kept"), i["char_name"]),
+        F.array_sort("new_items"),
+        lambda i: (i["prio"] == PRECEDENCE["suggestion"]) | ~F.map_contains_key(F.col("kept"), i["char_name"]),
     )
     rows = rows.withColumn("_items", free)
     names_before = lambda i, n: F.transform(F.slice(F.col("_items"), 1, n), lambda x: x["char_name"])
@@ -284,6 +360,7 @@ def _assemble(base: DataFrame, per_offer: DataFrame, worded: DataFrame, index: R
         why.alias("chars_reasons"),
         F.coalesce("review", F.array().cast(REVIEW)).alias("review"),
         "cat", "kept", F.coalesce("audit_rejected", no_names).alias("audit_rejected"),
+        F.coalesce("rejected", F.array().cast(REJECTED)).alias("rejected"), "image_analysis", "fusion_reason",
     )
 
 

@@ -129,6 +129,44 @@ def test_repair_with_suggestions(spark, offers, index):
     assert got["o3"].action == "cat_assigned" and got["o3"].new_category == "Tricouri" and got["o3"].new_chars == {"Culoare:": "Alb"}
 
 
+def test_repair_with_images_and_knowledge(spark, offers, index, tmp_path):
+    seen = spark.createDataFrame(
+        [("o1", "Culoare", "alb"), ("o1", "Marime", "M"), ("o2", "Marime", "qqqqqqqq"), ("o2", "Sclipici", "da"), ("o2", "Culoare", "Negru"), ("o2", "Alt", " "), ("o3", "Culoare", "alb"), ("o9", "Culoare", "alb")],
+        "offer_id string, char_input string, value_input string",
+    )
+    hints = spark.createDataFrame(
+        [("o1", "Pantofi", 0.9), ("o1", "Tricouri", 0.4), ("o2", "Elicopter", 0.9), ("o3", "Pantofi", 0.9)], "offer_id string, image_candidate string, image_confidence double"
+    )
+    options = Options(image_values=seen, image_hints=hints)
+    got = {r.offer_id: r for r in process_offers(offers, index, options).collect()}
+    assert got["o1"].new_chars == {"Culoare:": "Alb", "Marime:": "M"} and got["o1"].rejected == []
+    assert got["o1"].new_category == "Pantofi" and got["o1"].fusion_reason == "prefer_image: strong_image"
+    assert got["o1"].image_analysis.hint == "Pantofi" and got["o1"].image_analysis.proposed == {"Culoare": "alb", "Marime": "M"}
+    assert [tuple(x) for x in got["o2"].rejected] == [
+        ("image", "Marime", "qqqqqqqq", "value_not_in_values_table"), ("image", "Sclipici", "da", "char_not_in_characteristics")
+    ]
+    # a kept value stays, an unknown hint changes nothing, offers without category have no image stage
+    assert got["o2"].new_chars == {} and got["o2"].new_category == "tricouri" and got["o2"].fusion_reason is None
+    assert got["o3"].image_analysis is None and got["o3"].new_category == "" and got["o4"].image_analysis is None
+    only = {r.offer_id: r for r in process_offers(offers, index, Options(image_values=seen, image_suggestion_only=True)).collect()}
+    assert only["o1"].new_chars == {"Marime:": "M"} and only["o2"].rejected == [] and only["o1"].image_analysis.proposed["Culoare"] == "alb"
+
+    stored = spark.createDataFrame(
+        [(None, "b", "tricou alb", "shop", "x", "Tricouri", {"Marime": "M", "Culoare": "Negru", "Lost": "1"}, 1.0, "r1", dt.datetime(2024, 1, 1))], schemas.PRODUCT_KNOWLEDGE
+    )
+    branded = offers.withColumn("brand", F.lit("b"))
+    again = {r.offer_id: r for r in process_offers(branded, index, Options(knowledge=stored, marketplace="shop")).collect()}
+    assert again["o2"].new_chars == {"Marime:": "M"} and not again["o2"].needs_manual and again["o1"].new_chars == {"Marime:": "M"}
+    assert [tuple(x) for x in again["o2"].rejected] == [("knowledge", "Lost", "1", "char_not_in_characteristics")]
+
+
+def test_offers_are_read_once(spark, offers, index, tmp_path):
+    offers.write.parquet(str(tmp_path / "offers"))
+    rows = process_offers(spark.read.parquet(str(tmp_path / "offers")), index, Options())
+    assert str(tmp_path / "offers") not in rows._jdf.queryExecution().toString()
+    assert not any(str(tmp_path / "offers") in f for f in rows.inputFiles())
+
+
 def test_exports(spark, offers, results):
     wide = export.export_model_rows(offers, results)
     first = {r["Internal ID"]: r for r in wide.collect()}
