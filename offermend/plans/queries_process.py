@@ -12,7 +12,7 @@ from offermend.plans.check_sql import (
 )
 from offermend.plans.process_offers import offer_summary, process_offers, resolve_offers
 from offermend.plans.registry import query
-from offermend.plans.runs import attribute_rows, fixture_offers, located, run_options, saved_run
+from offermend.plans.runs import attribute_rows, fixture_offers, located, run_options, saved_image_run, saved_run
 
 CODES = ("1007", "1009", "1010")
 CODE = "nullif(regexp_extract(trim(error), '^([0-9]+)', 1), '')"
@@ -206,6 +206,48 @@ def run_kpis(spark, sf_dir):
     return kpis(saved_run(spark, sf_dir))
 
 
+IMAGE_RUN = with_views(
+    *VIEWS, **RUN_CTES,
+    seen="""SELECT l.offer_id, t.char_name, min(v.value) AS value FROM live l JOIN attrs t ON t.cat = l.cat
+  JOIN vals v ON v.cat = l.cat AND v.char_name = t.char_name GROUP BY 1, 2""",
+)
+
+
+@query(
+    IMAGE_RUN + """SELECT offer_id, char_name, value FROM fresh UNION ALL
+SELECT offer_id, char_name, value FROM seen s WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.offer_id = s.offer_id AND f.char_name = s.char_name)
+  AND NOT EXISTS (SELECT 1 FROM checked c WHERE c.offer_id = s.offer_id AND c.char_name = s.char_name AND c.verdict = 'keep')"""
+)
+def image_filled_attributes(spark, sf_dir):
+    """Attributes a run with images adds: those of rules, and image values where neither rule nor offer has one."""
+    return saved_image_run(spark, sf_dir).select("offer_id", F.explode("new_chars").alias("char_name", "value"))
+
+
+@query(
+    IMAGE_RUN + """SELECT offer_id, 'image' AS source, char_name, 'zzqq' AS value_input, 'value_not_in_values_table' AS reason FROM seen
+UNION ALL SELECT offer_id, 'image', 'Nope', 'red', 'char_not_in_characteristics' FROM live"""
+)
+def image_rejections(spark, sf_dir):
+    """Image values that the gate turned down, with value and reason."""
+    return saved_image_run(spark, sf_dir).select("offer_id", F.explode("rejected").alias("r")).select("offer_id", "r.*")
+
+
+@query(
+    IMAGE_RUN + """SELECT r.offer_id, CASE WHEN l.offer_id IS NOT NULL AND o.ordinal % 3 = 0 THEN 'LARGE' ELSE r.new_category END AS new_category,
+  CASE WHEN l.offer_id IS NOT NULL AND o.ordinal % 3 = 0 THEN 'prefer_image: strong_image' END AS fusion_reason,
+  CASE WHEN l.offer_id IS NOT NULL THEN CASE o.ordinal % 3 WHEN 0 THEN 'LARGE' WHEN 1 THEN 'qqqq' END END AS hint,
+  CASE WHEN l.offer_id IS NOT NULL THEN 1 + coalesce(s.n, 0) END AS n_proposed
+FROM results r JOIN fx_offers o USING (offer_id) LEFT JOIN live l USING (offer_id)
+LEFT JOIN (SELECT offer_id, count(*) AS n FROM seen GROUP BY 1) s USING (offer_id)"""
+)
+def image_fusion(spark, sf_dir):
+    """Category of text and image hint together, with the reason, and what the images proposed."""
+    return saved_image_run(spark, sf_dir).select(
+        "offer_id", "new_category", "fusion_reason", "image_analysis.hint",
+        F.when(F.col("image_analysis").isNotNull(), F.size("image_analysis.proposed")).cast("long").alias("n_proposed"),
+    )
+
+
 @query()
 def process_offers_full(spark, sf_dir):
     """Rules for categories, model replies for categories and attributes, image values, all at once."""

@@ -11,7 +11,7 @@ from offermend.plans.fixtures import reference
 from offermend.plans.process_offers import Options, process_offers
 from offermend.session import staged
 
-_SAVED: dict[tuple[str, str], DataFrame] = {}
+_SAVED: dict[tuple[str, ...], DataFrame] = {}
 
 
 def fixture_offers(fx: dict[str, DataFrame]) -> DataFrame:
@@ -43,6 +43,23 @@ def saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _SAVED[key]
 
 
+def saved_image_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run with images, written once: every listed attribute is seen twice, with its first value and with one that no
+    list holds, and one attribute that no category has; two offers in three have a hint of a category."""
+    key = (spark.sparkContext.applicationId, sf_dir, "images")
+    if key not in _SAVED:
+        fx, index, offers = located(spark, sf_dir)
+        first = index.values.groupBy("cat", "char_name").agg(F.min("value").alias("value"))
+        listed = index.attributes.select("cat", "char_name").distinct().join(first, ["cat", "char_name"])
+        seen = offers.select("offer_id", "cat").join(listed, "cat").select("offer_id", F.col("char_name").alias("char_input"), F.explode(F.array("value", F.lit("zzqq"))).alias("value_input"))
+        seen = seen.unionByName(offers.select("offer_id", F.lit("Nope").alias("char_input"), F.lit("red").alias("value_input")))
+        hints = fx["fx_offers"].where("ordinal % 3 < 2").select(
+            "offer_id", F.expr("IF(ordinal % 3 = 0, 'LARGE', 'qqqq')").alias("image_candidate"), F.lit(0.9).alias("image_confidence")
+        )
+        _SAVED[key] = staged(process_offers(fixture_offers(fx), index, run_options(image_values=seen, image_hints=hints)))
+    return _SAVED[key]
+
+
 def located(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], ReferenceIndex, DataFrame]:
     """Fixture tables, index, and offers with their resolved category (null when unknown)."""
     from offermend.operators.matching import resolve_categories
