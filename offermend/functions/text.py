@@ -77,7 +77,7 @@ def truthy(c: Column | str) -> Column:
 def drop_marks(c: Column | str) -> Column:
     """Compatibility-decomposed text without combining marks."""
     c = _col(c)
-    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(_decompose(c, True), COMBINING, ""))
+    return F.when(is_ascii(c), c).when(c.isNotNull(), F.regexp_replace(_decompose(c, True), COMBINING, ""))
 
 
 def norm_text(c: Column | str) -> Column:
@@ -87,8 +87,8 @@ def norm_text(c: Column | str) -> Column:
 
 def casefold(c: Column | str) -> Column:
     c = _col(c)
-    return F.when(is_ascii(c), F.lower(c)).otherwise(
-        F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    return F.when(is_ascii(c), F.lower(c)).when(
+        c.isNotNull(), F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
     )
 
 
@@ -107,7 +107,7 @@ def norm_color(c: Column | str) -> Column:
 def norm_title(c: Column | str) -> Column:
     """Title key: accents dropped, punctuation to spaces."""
     c = F.lower(strip(_col(c)))
-    bare = F.when(is_ascii(c), c).otherwise(F.regexp_replace(_decompose(c, False), r"\p{Mn}", ""))
+    bare = F.when(is_ascii(c), c).when(c.isNotNull(), F.regexp_replace(_decompose(c, False), r"\p{Mn}", ""))
     return collapse_spaces(F.regexp_replace(bare, f"(?U)[^{WORD}{SPACE}]", " "))
 
 

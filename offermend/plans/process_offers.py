@@ -188,8 +188,9 @@ def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options |
     """Results of a run: one row per offer in the ``RESULTS`` schema (see ``schemas``), plus ``cat``, ``kept``
     (existing attributes that stay), ``audit_rejected`` (names of values turned down), ``rejected`` (what
     knowledge and images proposed and the gate turned down, with value and reason), ``image_analysis`` (hint,
-    its confidence and the proposed values; null without any) and ``fusion_reason`` (why the category of
-    text and hint is what it is; null unless it was settled by both)."""
+    its confidence and the proposed values; null without any), ``fusion_reason`` (why the category of
+    text and hint is what it is; null unless it was settled by both) and ``sources`` (where each of ``new_chars``
+    is from, by the names of ``PRECEDENCE``)."""
     options = options or Options()
     spark = offers.sparkSession
     offers = _read_once(offers, options)
@@ -328,6 +329,8 @@ def _assemble(base: DataFrame, per_offer: DataFrame, index: ReferenceIndex, opti
     names_before = lambda i, n: F.transform(F.slice(F.col("_items"), 1, n), lambda x: x["char_name"])
     first = F.filter("_items", lambda i, n: ~F.array_contains(names_before(i, n), i["char_name"]))
     rows = rows.withColumn("new_chars", to_map(first))
+    named = F.create_map(*[F.lit(x) for source, n in PRECEDENCE.items() for x in (n, source)])
+    rows = rows.withColumn("sources", F.map_from_entries(F.transform(first, lambda i: F.struct(i["char_name"], named[i["prio"]]))))
     missing = F.filter(
         F.coalesce("mandatory", F.array().cast("array<struct<ordinal:bigint,char_name:string,has_values:boolean>>")),
         lambda m: ~F.map_contains_key(F.col("kept"), m["char_name"]) & ~F.map_contains_key(F.col("new_chars"), m["char_name"]),
@@ -360,7 +363,7 @@ def _assemble(base: DataFrame, per_offer: DataFrame, index: ReferenceIndex, opti
         why.alias("chars_reasons"),
         F.coalesce("review", F.array().cast(REVIEW)).alias("review"),
         "cat", "kept", F.coalesce("audit_rejected", no_names).alias("audit_rejected"),
-        F.coalesce("rejected", F.array().cast(REJECTED)).alias("rejected"), "image_analysis", "fusion_reason",
+        F.coalesce("rejected", F.array().cast(REJECTED)).alias("rejected"), "image_analysis", "fusion_reason", "sources",
     )
 
 

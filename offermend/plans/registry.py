@@ -24,6 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 from offermend.plans import (  # noqa: E402,F401
+    queries_learned,
     queries_match,
     queries_process,
     queries_reference,

@@ -84,3 +84,12 @@ def test_url_guard(spark):
 def test_visible_text():
     assert visible_text("<p>Cotton &amp; mesh</p><script>var a='</p>';</script><!-- x --><b> slim </b>") == "Cotton & mesh slim"
     assert visible_text("plain") == "plain"
+
+
+def test_keys_of_null_text(spark):
+    from offermend.functions import text
+
+    row = spark.createDataFrame([("ș",), (None,)], "t string").where("t IS NULL").select(
+        text.norm_text("t"), text.norm_title("t"), text.norm_color("t"), text.norm_char_name("t"), text.casefold("t"), text.drop_marks("t")
+    ).first()
+    assert list(row) == [None] * 6
