@@ -9,7 +9,8 @@
     learn(learned, offers, results, asked, index, titles, options)
 
 Requests are keyed by content (title, category and the attributes that are missing), so equal offers are asked about
-once and blank or repeated offer ids do no harm to what is asked.
+once, whatever their ids. Answers reach offers by id: offers without one are not asked about, as they could not take
+the answer, but take what is known of their title and product. Equal ids share their answers.
 """
 
 from __future__ import annotations
@@ -86,8 +87,9 @@ def requests(
     """What a model must still be asked, after a run that used ``recall``. ``mandatory_only`` as in ``prompt_fields``."""
     now = version or learned.version()
     market = F.lit(options.marketplace)
+    results = staged(results.select("offer_id", "title", "needs_manual", "cat", "new_category", "kept", "new_chars", "sources"))
     text = offers.groupBy("title").agg(F.min(_column(offers, "description")).alias("description"), F.min(_column(offers, "brand")).alias("brand"), F.min(_column(offers, "ean")).alias("ean"))
-    open_ = results.where("needs_manual AND cat IS NULL AND title IS NOT NULL")
+    open_ = results.where("needs_manual AND cat IS NULL AND title IS NOT NULL AND offer_id IS NOT NULL")
     titles = open_.groupBy(title_key("title", market).alias("offer_id")).agg(F.min("title").alias("title"))
     titles = titles.join(text.select("title", "description"), "title", "left").select("offer_id", "title", "description")
 
@@ -95,7 +97,7 @@ def requests(
     learnt = lambda k: F.element_at("sources", k).isin("knowledge", "suggestion")
     names = F.map_keys("new_chars")
     filled = F.array_sort(F.array_union(F.map_keys("kept"), F.filter(names, lambda k: ~learnt(k))))
-    live = results.where("cat IS NOT NULL AND title IS NOT NULL").select(
+    live = results.where("cat IS NOT NULL AND title IS NOT NULL AND offer_id IS NOT NULL").select(
         "offer_id", "title", F.col("new_category").alias("category"), "cat", filled.alias("filled"), F.array_sort(F.filter(names, learnt)).alias("known")
     )
     live = live.withColumn("content", F.md5(F.to_json(F.array(F.lower(strip("title")), F.col("category"), F.to_json("filled"), F.to_json("known")))))

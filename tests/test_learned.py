@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from offermend.operators import ledger, suggest
+from offermend.operators.detect import builtin_rules
 from offermend.operators.indexes import ReferenceIndex
 from offermend.plans import learning
 from offermend.plans.process_offers import Options, process_offers
+from offermend.session import staged
 from offermend.sources.learned import Learned
 
 T = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
@@ -128,7 +130,8 @@ def _offers(spark):
         [
             ("o1", "Haina frumoasa lunga", "1009 - x", None, "Tricouri", "e1", "B", {"Marime:": "M"}),
             ("o1", "Haina frumoasa lunga", "1009 - x", None, "Tricouri", "e1", "B", {"Marime:": "M"}),  # a repeated row
-            (None, "Haina scurta", "1009 - x", None, "Tricouri", None, None, {}),  # a blank id
+            ("o2", "Haina scurta", "1009 - x", None, "Tricouri", None, None, {}),
+            (None, "Haina scurta cu gluga", "1009 - x", None, "Tricouri", "e1", None, {"Marime:": "M"}),  # no id: takes what is known
             ("o3", "Obiect necunoscut oarecare", "1007 - x", None, "", None, "B", {}),
             ("o4", "Alt lucru", "1007 - x", None, "Nimic", None, None, {}),
             ("o5", None, "1007 - x", None, "", None, None, {}),
@@ -151,47 +154,50 @@ def _model(spark, asked):
     return ledger.category_ledger(sent, replies), ledger.field_ledger(asked.fields, values)
 
 
-def _run(spark, offers, index, store, run_id):
-    options = learning.recall(offers, store, Options(marketplace="shop", use_model=True, fuzzy=False))
-    first = process_offers(offers, index, options)
-    asked = learning.requests(offers, first, index, store, options)
-    titles, fields = _model(spark, asked)
-    full = learning.answered(options, offers, asked, titles, fields)
-    return asked, titles, full, process_offers(offers, index, full)
+def _ask(spark, offers, index, store):
+    options = learning.recall(offers, store, Options(marketplace="shop", use_model=True, fuzzy=False, rules=builtin_rules()[:1]))
+    return options, learning.requests(offers, process_offers(offers, index, options), index, store, options)
 
 
-def test_a_second_run_asks_nothing_known(spark, index, tmp_path):
-    store = Learned(spark, str(tmp_path / "learned"), buckets=4)
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_second_run_asks_nothing_known(spark, one_partition, index, tmp_path):
+    store = Learned(spark, str(tmp_path / "learned"), buckets=2)
     offers = _offers(spark)
-    asked, titles, options, results = _run(spark, offers, index, store, "r1")
+    options, asked = _ask(spark, offers, index, store)
     assert {r.title for r in asked.titles.collect()} == {"Obiect necunoscut oarecare", "Alt lucru"}
     assert {r.title for r in asked.attributes.collect()} == {"Haina frumoasa lunga", "Haina scurta"}
+    titles, fields = _model(spark, asked)
+    results = staged(process_offers(offers, index, learning.answered(options, offers, asked, titles, fields)))
     got = {r.title: r for r in results.collect()}
     assert got["Obiect necunoscut oarecare"].new_category == "Pantofi" and got["Alt lucru"].new_category == ""
     assert got["Haina frumoasa lunga"].new_chars["Culoare:"] == "Alb" and got["Haina frumoasa lunga"].sources["Culoare:"] == "suggestion"
     learning.learn(store, offers, results, asked, index, titles, options, "r1")
+    store.compact()
     assert _table(store.read("categories")) and {r.key for r in store.read("rules").collect()} == {"obiect, necunoscut, oarecare"}
     known = [(r.ean, r.final_attributes, r.confidence) for r in store.read("knowledge").collect()]
     assert known == [("e1", {"Culoare:": "Alb"}, 0.5)]  # Culoare: and Stil: were asked for
 
-    # the second run knows titles, requests and products; the offer found now is asked about its attributes
-    asked, titles, options, results = _run(spark, offers, index, store, "r2")
-    assert {r.title for r in asked.titles.collect()} == {"Alt lucru"}
-    assert {r.title for r in asked.attributes.collect()} == {"Obiect necunoscut oarecare"}
-    again = {r.title: r for r in results.collect()}
-    assert again["Haina frumoasa lunga"].new_chars["Culoare:"] == "Alb" and again["Haina frumoasa lunga"].sources["Culoare:"] == "knowledge"
-    assert again["Obiect necunoscut oarecare"].new_category == "Pantofi" and again["Obiect necunoscut oarecare"].new_chars == {"Culoare:": "Rosu"}
-    learning.learn(store, offers, results, asked, index, titles, options, "r2")
-    store.compact()
-
-    # the third asks for what nobody could answer only; another offer of a known product is not asked what is known
-    other = offers.unionByName(spark.createDataFrame([("o9", "Haina altfel", "1009 - x", None, "Tricouri", "e1", "B", {"Marime:": "M"})], OFFER))
-    asked, _, _, _ = _run(spark, other, index, store, "r3")
+    # known titles, requests and products are not asked about again: only the title that nobody knew, the attributes of
+    # the offer whose category is known by now, and what is not known of another offer of a known product
+    more = offers.unionByName(spark.createDataFrame([("o9", "Haina altfel", "1009 - x", None, "Tricouri", "e1", "B", {"Marime:": "M"})], OFFER))
+    options, asked = _ask(spark, more, index, store)
     assert {r.title for r in asked.titles.collect()} == {"Alt lucru"}
-    assert {(r.title, r.char_name) for r in asked.attributes.join(asked.fields, "offer_id").collect()} == {("Haina altfel", "Stil:")}
+    assert {(r.title, r.char_name) for r in asked.attributes.join(asked.fields, "offer_id").collect()} == {("Obiect necunoscut oarecare", "Culoare:"), ("Haina altfel", "Stil:")}
+    results = process_offers(more, index, learning.answered(options, more, asked, None, None))
+    again = {r.title: (r.new_category, r.new_chars, r.sources) for r in results.collect()}
+    assert again["Haina frumoasa lunga"] == ("Tricouri", {"Culoare:": "Alb"}, {"Culoare:": "knowledge"}) == again["Haina altfel"] == again["Haina scurta cu gluga"]
+    assert again["Haina scurta"] == ("Tricouri", {"Culoare:": "Alb"}, {"Culoare:": "suggestion"})
+    assert again["Obiect necunoscut oarecare"][0] == "Pantofi" and again["Alt lucru"][0] == ""
 
 
-def test_nothing_to_learn_from(spark, index, tmp_path):
+def test_nothing_to_learn_from(spark, one_partition, index, tmp_path):
     store = Learned(spark, str(tmp_path / "learned"))
     none = _offers(spark).limit(0)
     options = learning.recall(none, store, Options(marketplace="shop"))
