@@ -9,7 +9,7 @@ alone.
 
 Defined results: null role or text counts as empty; a null conversation id is one conversation; rows
 sort by turn, then role and text, nulls first, so rows that repeat are separate turns; an unknown role
-is written under the template's general opening and breaks the turn order. Extra columns are ignored.
+is written under the template's general opening and breaks the turn order; an empty table gives no segments. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ against a winner are settled in the map task and never shuffled. All others meet
 shuffle by digest, where no group can hold more than ``support`` of the rows.
 
 Defined results: null text counts as empty; empty texts are equal to each other; a null id loses
-against any other; of rows that share id and length one stays; a row that repeats counts as a copy.
+against any other; of rows that share id and length one stays; a row that repeats counts as a copy;
+an empty table gives no rows; texts of any length are digested whole.
 Columns named ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` in the input are replaced.
 """
 

@@ -12,7 +12,8 @@ what is shuffled is bounded by tasks and languages; the model's size is ``langua
 numbers. It reaches the tasks in their closure.
 
 Defined results: null text and texts without a letter are ``und`` with score 0; with no training rows
-every document is ``und``; a null language is not learned from; rows that repeat get the same result.
+every document is ``und``; a null language is not learned from; rows that repeat get the same result;
+an empty table gives no rows. Input columns named ``lang_pred``, ``score`` or ``languages`` are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The most specific key with an active entry decides; a ``drop`` verdict lifts the
 
 Defined results: a null, empty or unparsable URL has no host and is kept; a capture without a date is
 kept; of several changes of a key on one day the last by verdict holds; entries with a null key or date
-are ignored; rows that repeat are evaluated alike.
+are ignored; rows that repeat are evaluated alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
