@@ -283,7 +283,7 @@ def keyword_rules(titles: DataFrame, rules: DataFrame) -> DataFrame:
     its longest word (an equi-join on the words of the title) and then checked in full, so the work
     follows the words shared and not titles times rules.
     """
-    words = titles.select("title").where(F.col("title").isNotNull()).withColumn("_tokens", _tokens(F.col("title")))
+    words = titles.select("title").where(F.col("title").isNotNull()).distinct().withColumn("_tokens", _tokens(F.col("title")))
     words = words.select("title", _padded(F.col("_tokens")).alias("_all"), F.explode(F.array_distinct("_tokens")).alias("anchor"))
     hits = words.join(prepare_category_rules(rules), "anchor").where(
         F.forall("keywords", lambda k: F.contains(F.col("_all"), k))

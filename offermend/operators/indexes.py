@@ -6,12 +6,13 @@ reference side is unique. First-wins and last-wins choices use the stored ``ordi
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offermend.functions.text import norm_char_name, norm_text, null_if_blank, strip
+from offermend.session import staged
 
 
 def join_id(internal: Column, external: Column) -> Column:
@@ -178,6 +179,7 @@ class ReferenceIndex:
     chars: DataFrame
     values: DataFrame
     lookup: DataFrame
+    written: bool = False
 
     @classmethod
     def build(cls, categories, characteristics, values, prefer_most_chars: bool = False) -> "ReferenceIndex":
@@ -207,6 +209,13 @@ class ReferenceIndex:
             frame.persist()
         return self
 
+    def stored(self) -> "ReferenceIndex":
+        """The tables written once to the shared folder. Their sizes are then known when a plan is made, so that small
+        ones are broadcast and the rows that look something up are not shuffled."""
+        if self.written:
+            return self
+        return ReferenceIndex(**{f.name: staged(getattr(self, f.name)) for f in fields(self) if f.name != "written"}, written=True)
+
     def unpersist(self) -> None:
         for frame in self.frames():
             frame.unpersist()

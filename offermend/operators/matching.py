@@ -20,7 +20,10 @@ from offermend.session import staged
 
 
 def resolve_categories(names: DataFrame, index: ReferenceIndex, fuzzy: bool = True) -> DataFrame:
-    """category -> (cat, tier): exact name, normalised name, closest name at 0.90."""
+    """category -> (cat, tier): exact name, normalised name, closest name at 0.90.
+
+    With ``fuzzy`` the distinct names are read once and the mapping is written, so that its size is known where it is joined.
+    """
     names = names.select("category").where(F.col("category").isNotNull()).distinct()
     exact = index.categories.select(F.col("category_name").alias("category"), F.col("cat").alias("cat_exact"))
     keys = index.category_keys.withColumnRenamed("cat", "cat_key")
@@ -33,13 +36,15 @@ def resolve_categories(names: DataFrame, index: ReferenceIndex, fuzzy: bool = Tr
         F.col("cat_key").isNotNull(), "normalised"
     )
     if fuzzy:
+        tiers = staged(tiers)
         missed = tiers.where("cat_exact IS NULL AND cat_key IS NULL").select("category")
         near = closest(missed, index.categories.select("category_name"), [], "category", "category_name", V.CATEGORY_CUTOFF)
         near = near.join(index.categories, "category_name").select("category", F.col("cat").alias("cat_near"))
         tiers = tiers.join(near, "category", "left")
         cat.append(F.col("cat_near"))
         tier = tier.when(F.col("cat_near").isNotNull(), "closest")
-    return tiers.select("category", F.coalesce(*cat).alias("cat"), tier.alias("tier"))
+    out = tiers.select("category", F.coalesce(*cat).alias("cat"), tier.alias("tier"))
+    return staged(out) if fuzzy else out
 
 
 def match_suggested_categories(replies: DataFrame, index: ReferenceIndex, fuzzy: bool = True) -> DataFrame:
@@ -208,7 +213,8 @@ def match_values(requests: DataFrame, index: ReferenceIndex, fuzzy: bool = True)
 def _add_closest(matched: DataFrame, index: ReferenceIndex) -> DataFrame:
     """Fill ``found`` of still unmatched keys with the closest listed value at 0.80.
 
-    The keys are written once: they feed both the search and the result.
+    The keys are written once: they feed both the search and the result, which is written for its size to be known
+    where it is joined.
     """
     matched = staged(matched)
     missed = matched.where("has_values AND found IS NULL").select(
@@ -218,7 +224,7 @@ def _add_closest(matched: DataFrame, index: ReferenceIndex) -> DataFrame:
     near = closest(missed, norms, ["cat", "char_name"], "query", "value_norm", V.VALUE_CUTOFF)
     near = near.join(norms, ["cat", "char_name", "value_norm"]).select("cat", "char_name", "query", F.col("value").alias("near"))
     near = missed.join(near, ["cat", "char_name", "query"]).select(*KEY, "near")
-    return (
+    return staged(
         matched.join(near, KEY, "left")
         .withColumn("tier", F.coalesce("tier", F.when(F.col("near").isNotNull(), F.lit(9))))
         .withColumn("found", F.coalesce("found", "near"))

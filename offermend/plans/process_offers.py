@@ -1,15 +1,15 @@
 """The whole repair of an offer table.
 
-Offers are read once: their distinct rows, under a digest of their content (ids may be blank or repeated)
-and with the visible text instead of the markup, are written to the shared folder, of which every step reads
-the columns it needs. Existing attributes, rules, product knowledge, suggestions and image values are one
+Offers are read once: their distinct rows, told apart by a digest of their content (ids may be blank or repeated)
+and with the visible text instead of the markup, are written to the shared folder under a number each, with what
+the options say of them; every step reads the columns it needs. Existing attributes, rules, product knowledge, suggestions and image values are one
 long table of evidence; it passes the matching and the gate together and is folded once per offer, in the
 order of ``PRECEDENCE``. Reference sides are unique per key, so joins never multiply rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,7 @@ class Options:
 REJECTED = "array<struct<source:string,char_name:string,value_input:string,reason:string>>"
 REVIEW = "array<struct<char_name:string,value_input:string,value:string,method:string,score:double,reason:string>>"
 STRINGS = "map<string,string>"
+ENTRIES = f"array<struct<verdict:string,prio:int,position:int,char_name:string,value:string,review:{REVIEW},rejected:{REJECTED}>>"
 
 
 def mandatory_profile(index: ReferenceIndex) -> DataFrame:
@@ -96,13 +97,14 @@ def resolve_offers(offers: DataFrame, index: ReferenceIndex, options: Options) -
         open_titles = rows.where("eligible AND own_cat IS NULL").select("title")
         ruled = keyword_rules(open_titles, options.category_rules).select("title", F.col("category").alias("rule_category"))
         ruled = ruled.join(cats.select(F.col("category_name").alias("rule_category"), F.col("cat").alias("rule_cat")), "rule_category")
-        rows = rows.join(ruled, "title", "left")
+        rows = rows.join(staged(ruled), "title", "left")
         by_rule, rule_cat = F.col("rule_category"), F.col("rule_cat")
     if options.category_suggestions is not None:
-        replies = options.category_suggestions.select("offer_id", "suggested")
-        known = match_suggested_categories(replies, index, options.fuzzy)
-        known = known.join(cats.select("category_name", F.col("cat").alias("model_cat")), "category_name")
-        rows = rows.join(replies, "offer_id", "left").join(known.withColumnRenamed("category_name", "model_category"), "suggested", "left")
+        if "suggested" not in offers.columns:
+            rows = rows.join(options.category_suggestions.select("offer_id", "suggested"), "offer_id", "left")
+        known = match_suggested_categories(rows, index, options.fuzzy)
+        known = staged(known.join(cats.select("category_name", F.col("cat").alias("model_cat")), "category_name"))
+        rows = rows.join(known.withColumnRenamed("category_name", "model_category"), "suggested", "left")
         suggested, model_cat = F.col("suggested"), F.col("model_cat")
     else:
         rows = rows.withColumn("model_category", F.lit(None).cast("string"))
@@ -150,31 +152,32 @@ def by_row(offers: DataFrame) -> DataFrame:
     return one.select(F.col("row_key").alias("offer_id"), *others, F.col("o.offer_id").alias("shown_id"), "copies")
 
 
-def _by_row(options: Options, rows: DataFrame) -> Options:
-    """The options with tables keyed by offer id keyed by row instead, and one answer per question."""
-    keys = rows.select(F.col("shown_id").alias("_shown"), F.col("offer_id").alias("_row"))
-
-    def keyed(table: DataFrame | None) -> DataFrame | None:
-        if table is None:
-            return None
-        return table.join(keys, F.col("offer_id") == F.col("_shown")).drop("offer_id", "_shown").withColumnRenamed("_row", "offer_id")
-
-    replies, choices, hints = options.category_suggestions, options.repair_choices, options.image_hints
-    if hints is not None:
+def _by_offer(options: Options) -> list[DataFrame]:
+    """What the options say of single offers, a table each with one row per offer id (as ``_shown``)."""
+    shown = F.col("offer_id").alias("_shown")
+    tables = []
+    if options.category_suggestions is not None:
+        tables.append(options.category_suggestions.groupBy(shown).agg(F.min("suggested").alias("suggested")))
+    if options.suggestions is not None:
+        asked = F.collect_list(F.struct("position", "char_input", "value_input"))
+        tables.append(options.suggestions.groupBy(shown).agg(asked.alias("suggestions")))
+    if options.image_values is not None:
+        tables.append(options.image_values.groupBy(shown).agg(F.collect_list(F.struct("char_input", "value_input")).alias("images")))
+    if options.image_hints is not None:
         surest = F.max_by("image_candidate", F.struct("image_confidence", "image_candidate")).alias("image_candidate")
-        hints = keyed(hints.groupBy("offer_id").agg(surest, F.max("image_confidence").alias("image_confidence")))
-    if replies is not None:
-        replies = keyed(replies.groupBy("offer_id").agg(F.min("suggested").alias("suggested")))
-    if choices is not None:
-        choices = choices.groupBy("cat", "char_name", "value_input").agg(F.min("choice").alias("choice"))
-    return replace(options, category_suggestions=replies, suggestions=keyed(options.suggestions), repair_choices=choices, image_values=keyed(options.image_values), image_hints=hints)
+        tables.append(options.image_hints.groupBy(shown).agg(surest, F.max("image_confidence").alias("image_confidence")))
+    return tables
 
 
 def _read_once(offers: DataFrame, options: Options) -> DataFrame:
-    """What a run needs of the distinct offers, written once; markup is read only where the offer is eligible."""
+    """What a run needs of the distinct offers and of what the options say of them, written once under a number a row;
+    markup is read only where the offer is eligible."""
     rows = by_row(offers).withColumn("visible", strip_html(F.when(_eligible(options), F.col("description"))))
     texts = [F.col(c).cast("string").alias(c) if c in offers.columns else F.lit(None).cast("string").alias(c) for c in ("title", "error", "category", "ean", "brand")]
-    return staged(rows.select("offer_id", "shown_id", "copies", *texts, "existing_chars", "visible"))
+    rows = rows.select("shown_id", "copies", *texts, "existing_chars", "visible")
+    for said in _by_offer(options):
+        rows = rows.join(said, F.col("shown_id") == F.col("_shown"), "left").drop("_shown")
+    return staged(rows.select(F.monotonically_increasing_id().alias("offer_id"), "*"))
 
 
 def _known_values(live: DataFrame, options: Options) -> DataFrame:
@@ -193,10 +196,10 @@ def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options |
     is from, by the names of ``PRECEDENCE``)."""
     options = options or Options()
     spark = offers.sparkSession
+    index = index.stored()
     offers = _read_once(offers, options)
-    options = _by_row(options, offers)
     names = concept_names_table(spark, options.concept_names)
-    concepts = applicable_concepts(index, names)
+    concepts = staged(applicable_concepts(index, names))
     base = resolve_offers(offers, index, options)
     live = base.where("cat IS NOT NULL")
 
@@ -208,7 +211,7 @@ def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options |
     if options.knowledge is not None:
         long = long.unionByName(_long(_known_values(live, options).where(filled), "knowledge", F.lit(0), "gate"))
     if options.image_values is not None and not options.image_suggestion_only:
-        image = options.image_values.join(live.select("offer_id", "cat"), "offer_id")
+        image = live.select("offer_id", "cat", F.inline("images"))
         long = long.unionByName(_long(image.where(filled), "image", F.lit(0), "gate"))
     matched = long.join(match_values(long, index, options.fuzzy), KEY, "left")
     mapped, reason = gate_columns()
@@ -230,31 +233,22 @@ def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options |
         value.alias("value"), F.lit(None).cast(REVIEW).alias("review"), turned_down.cast(REJECTED).alias("rejected"),
     )
     if options.suggestions is not None:
-        asked = options.suggestions
+        asked = live.select("offer_id", "cat", F.inline("suggestions"))
         if options.target_char is not None:
             asked = asked.where(F.col("char_input") == options.target_char)
-        asked = asked.join(live.select("offer_id", "cat"), "offer_id")
         entry = entry.unionByName(_suggested(accept_suggestions(asked, index, options.repair_choices, fuzzy=options.fuzzy), index, options), allowMissingColumns=True)
-    resolved = resolve_rules(index, concepts, options.rules, options.fuzzy, gated=True)
-    words = detect_by_words(live.select("offer_id", "cat", "title", "visible"), resolved, options.rules)
-    words = words.select("offer_id", F.explode("detected").alias("d")).select(
-        "offer_id", _prio("rule").alias("prio"), F.lit(0).alias("position"), F.lit("new").alias("verdict"),
-        F.col("d.attribute").alias("char_name"), F.col("d.value").alias("value"),
-    )
-    entry = entry.unionByName(words, allowMissingColumns=True)
-
-    item = F.struct("prio", "position", "char_name", "value")
-
-    def of(kind: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("verdict") == kind, item)))
-
+    resolved = staged(resolve_rules(index, concepts, options.rules, options.fuzzy, gated=True))
     # an offer has a bounded number of attributes, so its arrays are small
     per_offer = entry.groupBy("offer_id").agg(
-        of("kept").alias("kept"), of("cleared").alias("cleared_items"), of("new").alias("new_items"),
-        F.transform(of("rejected"), lambda r: r["char_name"]).alias("audit_rejected"),
-        F.flatten(F.collect_list("review")).alias("review"),
-        F.array_sort(F.flatten(F.collect_list("rejected"))).alias("rejected"),
+        F.collect_list(F.struct("verdict", "prio", "position", "char_name", "value", "review", "rejected")).alias("entries")
     )
+    live_only = lambda c: F.when(F.col("cat").isNotNull(), F.col(c))
+    read = base.withColumns({"shown_title": F.col("title"), "title": live_only("title"), "visible": live_only("visible")})
+    words = F.transform("detected", lambda d: F.struct(
+        _prio("rule").alias("prio"), F.lit(0).alias("position"), d["attribute"].alias("char_name"), d["value"].alias("value")
+    ))
+    base = detect_by_words(read, resolved, options.rules).withColumns({"title": F.col("shown_title"), "words": words})
+    base = base.drop("shown_title", "detected", "visible", "existing_chars", "suggestions", "error", "ean", "brand")
     return _assemble(_fused(base, index, options), per_offer, index, options)
 
 
@@ -263,14 +257,15 @@ def _fused(base: DataFrame, index: ReferenceIndex, options: Options) -> DataFram
     that the marketplace knows, it is shown as the new one. Attributes keep to the category they were checked for."""
     rows, seen = base, F.lit(False)
     if options.image_hints is not None:
-        rows = rows.join(options.image_hints, "offer_id", "left")
         seen = F.col("image_candidate").isNotNull()
     else:
         rows = rows.withColumns({"image_candidate": F.lit(None).cast("string"), "image_confidence": F.lit(None).cast("double")})
     if options.image_values is not None:
-        first = options.image_values.groupBy("offer_id", "char_input").agg(F.min("value_input").alias("value_input"))
-        proposed = first.groupBy("offer_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("char_input", "value_input")))).alias("proposed"))
-        rows = rows.join(proposed, "offer_id", "left")
+        # the least value of each attribute; null only where it has no other
+        ranked = F.transform("images", lambda i: F.struct(i["char_input"].alias("char_input"), i["value_input"].isNull().alias("unset"), i["value_input"].alias("value_input")))
+        rows = rows.withColumn("images", F.sort_array(ranked))
+        least = F.filter("images", lambda i, n: (n == 0) | ~i["char_input"].eqNullSafe(F.get("images", n - 1)["char_input"]))
+        rows = rows.withColumn("proposed", F.map_from_entries(F.transform(least, lambda i: F.struct(i["char_input"], i["value_input"])))).drop("images")
     else:
         rows = rows.withColumn("proposed", F.lit(None).cast(STRINGS))
     live = F.col("cat").isNotNull()
@@ -280,7 +275,7 @@ def _fused(base: DataFrame, index: ReferenceIndex, options: Options) -> DataFram
         return rows.withColumn("fusion_reason", F.lit(None).cast("string"))
     signals = rows.withColumns({"text_candidate": F.col("new_category"), "text_confidence": action_confidence(F.col("category_action"))})
     settled = fuse_category(signals, options.fusion)
-    named = options.image_hints.select(F.col("image_candidate").alias("category")).where("category <> ''").distinct()
+    named = base.select(F.col("image_candidate").alias("category")).where("category <> ''").distinct()
     known = resolve_categories(named, index, options.fuzzy).where("cat IS NOT NULL").select(F.col("category").alias("image_candidate"), F.lit(True).alias("_known"))
     settled = settled.join(known, "image_candidate", "left")
     asked = live & (F.coalesce("image_candidate", F.lit("")) != "") & (F.col("image_confidence") > 0) & (F.col("final_category") != "")
@@ -314,23 +309,33 @@ def _suggested(accepted: DataFrame, index: ReferenceIndex, options: Options) ->
 
 def _assemble(base: DataFrame, per_offer: DataFrame, index: ReferenceIndex, options: Options) -> DataFrame:
     """Everything known about an offer put into its result row; array work inside the row only."""
-    empty_items = F.array().cast("array<struct<prio:int,position:int,char_name:string,value:string>>")
-    rows = base.join(per_offer, "offer_id", "left").join(mandatory_profile(index), "cat", "left")
-    for name in ("kept", "cleared_items", "new_items"):
-        rows = rows.withColumn(name, F.coalesce(name, empty_items))
+    rows = base.join(per_offer, "offer_id", "left").join(staged(mandatory_profile(index)), "cat", "left")
+    item = lambda i: F.struct(*[i[c].alias(c) for c in ("prio", "position", "char_name", "value")])
+
+    def of(kind: str) -> Column:
+        found = F.filter(F.coalesce("entries", F.array().cast(ENTRIES)), lambda i: i["verdict"] == kind)
+        return F.sort_array(F.transform(found, item))
+
+    given = lambda name: F.flatten(F.transform(F.filter("entries", lambda i: i[name].isNotNull()), lambda i: i[name]))
     to_map = lambda items: F.map_from_entries(F.transform(items, lambda i: F.struct(i["char_name"], i["value"])))
-    rows = rows.withColumn("kept", to_map(F.col("kept")))
+    rows = rows.withColumns({
+        "cleared_items": of("cleared"), "new_items": F.array_sort(F.concat(of("new"), "words")),
+        "audit_rejected": F.transform(of("rejected"), lambda i: i["char_name"]), "kept": to_map(of("kept")),
+        "review": given("review"), "rejected": F.array_sort(given("rejected")),
+    })
     # rules skip attributes that hold a value, knowledge and image values do too; suggestions answer a request
     free = F.filter(
-        F.array_sort("new_items"),
+        "new_items",
         lambda i: (i["prio"] == PRECEDENCE["suggestion"]) | ~F.map_contains_key(F.col("kept"), i["char_name"]),
     )
     rows = rows.withColumn("_items", free)
-    names_before = lambda i, n: F.transform(F.slice(F.col("_items"), 1, n), lambda x: x["char_name"])
-    first = F.filter("_items", lambda i, n: ~F.array_contains(names_before(i, n), i["char_name"]))
-    rows = rows.withColumn("new_chars", to_map(first))
+    first = F.filter("_items", lambda i, n: F.array_position("_names", i["char_name"]) == n + 1)
+    rows = rows.withColumn("_names", F.transform("_items", lambda i: i["char_name"])).withColumn("_first", first)
     named = F.create_map(*[F.lit(x) for source, n in PRECEDENCE.items() for x in (n, source)])
-    rows = rows.withColumn("sources", F.map_from_entries(F.transform(first, lambda i: F.struct(i["char_name"], named[i["prio"]]))))
+    rows = rows.withColumns({
+        "new_chars": to_map(F.col("_first")),
+        "sources": F.map_from_entries(F.transform("_first", lambda i: F.struct(i["char_name"], named[i["prio"]]))),
+    })
     missing = F.filter(
         F.coalesce("mandatory", F.array().cast("array<struct<ordinal:bigint,char_name:string,has_values:boolean>>")),
         lambda m: ~F.map_contains_key(F.col("kept"), m["char_name"]) & ~F.map_contains_key(F.col("new_chars"), m["char_name"]),

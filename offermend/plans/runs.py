@@ -50,7 +50,7 @@ def saved_image_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _SAVED:
         fx, index, offers = located(spark, sf_dir)
         first = index.values.groupBy("cat", "char_name").agg(F.min("value").alias("value"))
-        listed = index.attributes.select("cat", "char_name").distinct().join(first, ["cat", "char_name"])
+        listed = staged(index.attributes.select("cat", "char_name").distinct().join(first, ["cat", "char_name"]))
         seen = offers.select("offer_id", "cat").join(listed, "cat").select("offer_id", F.col("char_name").alias("char_input"), F.explode(F.array("value", F.lit("zzqq"))).alias("value_input"))
         seen = seen.unionByName(offers.select("offer_id", F.lit("Nope").alias("char_input"), F.lit("red").alias("value_input")))
         hints = fx["fx_offers"].where("ordinal % 3 < 2").select(

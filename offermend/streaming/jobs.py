@@ -24,6 +24,8 @@ def process_offers_stream(
     that is cut off resumes from its checkpoint without losing or doubling offers.
     """
 
+    index = index.stored()
+
     def repair(batch: DataFrame, batch_id: int) -> None:
         results = process_offers(batch.withColumn("existing_chars", F.coalesce("existing_chars", F.create_map().cast("map<string,string>"))), index, options)
         results.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)

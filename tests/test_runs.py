@@ -304,3 +304,21 @@ def test_line_states():
     for line, outside in ((b"a,b", False), (b'"a,b', True), (b'a"b,c', False), (b'"a""b"', False), (b'"a"b",c', False), (b'","', False), (b'"', True), (b'""', False)):
         assert splits.ends_inside(line, False, b",") == outside, line
     assert splits.ends_inside(b'x",y', True, b",") is False and splits.ends_inside(b'x""', True, b",") is True
+
+
+def test_small_lookups_do_not_shuffle_the_offers(spark, offers, index):
+    seen = offers.select("offer_id", F.explode(F.array(F.lit("Culoare:"), F.lit("Nope"))).alias("char_input"), F.lit("Alb").alias("value_input"))
+    hints = offers.select("offer_id", F.lit("Pantofi").alias("image_candidate"), F.lit(0.9).alias("image_confidence"))
+    plan = process_offers(offers, index, Options(image_values=seen, image_hints=hints))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(shuffles) == 2 and all("hashpartitioning(offer_id" in line for line in shuffles), shuffles
+
+
+def test_image_shows_the_least_value_of_an_attribute(spark, offers, index):
+    seen = spark.createDataFrame(
+        [("o1", "Culoare:", "Negru"), ("o1", "Culoare:", "Alb"), ("o1", "Culoare:", None), ("o1", "Alt", None), ("o1", "Alt", "b"), ("o1", "Gol", None), ("x", "Alt", "a")],
+        "offer_id string, char_input string, value_input string",
+    )
+    got = {r.offer_id: r for r in process_offers(offers.union(offers), index, Options(image_values=seen)).collect()}
+    assert got["o1"].image_analysis.proposed == {"Culoare:": "Alb", "Alt": "b", "Gol": None} and got["o2"].image_analysis is None
+    assert got["o1"].new_chars["Culoare:"] == "Alb" and got["o1"].sources["Culoare:"] == "image"
