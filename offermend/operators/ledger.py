@@ -97,9 +97,9 @@ def field_ledger(fields: DataFrame, replies: DataFrame, seconds: float | None =
         "offer_id", F.col("position").cast("int").alias("position"), F.col("char_name").alias("char_input"), "value_input",
         _state(F.col("value_input"), seconds).alias("state"),
     )
-    names = fields.select("offer_id", F.explode(F.array("display", "char_name")).alias("char_input"))
+    names = fields.groupBy("offer_id").agg(F.flatten(F.collect_list(F.array("display", "char_name"))).alias("_names"))
     others = verdicts.where("NOT coalesce(_gave_up, false)").select("offer_id", F.posexplode("_answers").alias("position", "char_input", "value_input"))
-    others = others.join(fields.select("offer_id").distinct(), "offer_id", "left_semi").join(names, ["offer_id", "char_input"], "left_anti")
+    others = others.join(names, "offer_id").where(~F.coalesce(F.array_contains("_names", F.col("char_input")), F.lit(False)))
     return own.unionByName(others.select("offer_id", "position", "char_input", strip("value_input").alias("value_input"), F.lit("unasked").alias("state")))
 
 

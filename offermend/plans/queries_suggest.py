@@ -11,6 +11,7 @@ from offermend.plans.check_sql import REFERENCE, RESOLVED, VIEWS, with_views
 from offermend.plans.fixtures import load
 from offermend.plans.registry import query
 from offermend.plans.runs import attribute_rows, located
+from offermend.session import staged
 
 ALL = with_views(*VIEWS, **REFERENCE, resolved=RESOLVED)
 REPLY = (
@@ -107,8 +108,10 @@ def schema_select(spark, sf_dir):
 def _schema_candidates(spark, sf_dir):
     _, index, offers = located(spark, sf_dir)
     sizes = index.values.groupBy("cat", "char_name").agg(F.count("*").alias("n_values"))
-    attributes = index.attributes.join(sizes, ["cat", "char_name"], "left").na.fill(0, ["n_values"])
-    rows = offers.where("cat IS NOT NULL").select("offer_id", "cat", F.coalesce("description", F.lit("")).alias("description")).join(
+    attributes = staged(index.attributes.join(sizes, ["cat", "char_name"], "left").na.fill(0, ["n_values"]))
+    # dealt by offer before they meet the attributes: what is gathered by offer later is not shuffled
+    asked = offers.where("cat IS NOT NULL").select("offer_id", "cat", F.coalesce("description", F.lit("")).alias("description")).repartition("offer_id")
+    rows = asked.join(
         attributes.select("cat", "char_name", F.col("mandatory").alias("is_mandatory"), "ordinal", "n_values"), "cat"
     ).withColumn("known", F.col("char_name") == "Brand")
     return suggest.schema_select(rows)
@@ -118,7 +121,7 @@ def _schema_candidates(spark, sf_dir):
 def json_schema(spark, sf_dir):
     _, index, _ = located(spark, sf_dir)
     chosen = _schema_candidates(spark, sf_dir)
-    lists = suggest.attribute_lists(index).select("cat", "char_name", F.col("first_values").alias("values"))
+    lists = staged(suggest.attribute_lists(index).select("cat", "char_name", F.col("first_values").alias("values")))
     rows = chosen.join(lists, ["cat", "char_name"], "left").withColumn("position", F.col("ordinal"))
     return suggest.json_schema(rows)
 
