@@ -1,8 +1,8 @@
 """The whole repair of an offer table.
 
-Offers are read once: their distinct rows, told apart by a digest of their content (ids may be blank or repeated)
-and with the visible text instead of the markup, are written to the shared folder under a number each, with what
-the options say of them; every step reads the columns it needs. Existing attributes, rules, product knowledge, suggestions and image values are one
+Offers are read once: every row is written to the shared folder under a number of its own (ids may be blank or
+repeated), with the visible text instead of the markup and with what the options say of it; every step reads the
+columns it needs. Existing attributes, rules, product knowledge, suggestions and image values are one
 long table of evidence; it passes the matching and the gate together and is folded once per offer, in the
 order of ``PRECEDENCE``. Reference sides are unique per key, so joins never multiply rows.
 """
@@ -143,15 +143,6 @@ def _prio(source: str) -> Column:
     return F.lit(PRECEDENCE[source])
 
 
-def by_row(offers: DataFrame) -> DataFrame:
-    """Distinct offers with ``offer_id`` replaced by a digest of the row; ``shown_id`` is the id as
-    given, ``copies`` how many rows are equal. Equal rows are combined before the shuffle."""
-    content = F.md5(F.to_json(F.struct(*offers.columns), {"ignoreNullFields": "false"}))
-    one = offers.withColumn("row_key", content).groupBy("row_key").agg(F.first(F.struct(*offers.columns)).alias("o"), F.count("*").alias("copies"))
-    others = [F.col(f"o.{c}") for c in offers.columns if c != "offer_id"]
-    return one.select(F.col("row_key").alias("offer_id"), *others, F.col("o.offer_id").alias("shown_id"), "copies")
-
-
 def _by_offer(options: Options) -> list[DataFrame]:
     """What the options say of single offers, a table each with one row per offer id (as ``_shown``)."""
     shown = F.col("offer_id").alias("_shown")
@@ -170,11 +161,12 @@ def _by_offer(options: Options) -> list[DataFrame]:
 
 
 def _read_once(offers: DataFrame, options: Options) -> DataFrame:
-    """What a run needs of the distinct offers and of what the options say of them, written once under a number a row;
-    markup is read only where the offer is eligible."""
-    rows = by_row(offers).withColumn("visible", strip_html(F.when(_eligible(options), F.col("description"))))
+    """What a run needs of the offers and of what the options say of them, written once under a number a row. Rows are
+    dealt evenly first, as a file may come in few pieces; markup is read only where the offer is eligible."""
     texts = [F.col(c).cast("string").alias(c) if c in offers.columns else F.lit(None).cast("string").alias(c) for c in ("title", "error", "category", "ean", "brand")]
-    rows = rows.select("shown_id", "copies", *texts, "existing_chars", "visible")
+    markup = F.when(_eligible(options), F.col("description"))
+    rows = offers.select(F.col("offer_id").alias("shown_id"), *texts, "existing_chars", markup.alias("visible")).hint("rebalance")
+    rows = rows.withColumn("visible", strip_html("visible"))
     for said in _by_offer(options):
         rows = rows.join(said, F.col("shown_id") == F.col("_shown"), "left").drop("_shown")
     return staged(rows.select(F.monotonically_increasing_id().alias("offer_id"), "*"))
@@ -213,6 +205,7 @@ def process_offers(offers: DataFrame, index: ReferenceIndex, options: Options |
     if options.image_values is not None and not options.image_suggestion_only:
         image = live.select("offer_id", "cat", F.inline("images"))
         long = long.unionByName(_long(image.where(filled), "image", F.lit(0), "gate"))
+    long = staged(long)  # read for its distinct keys and again for the rows
     matched = long.join(match_values(long, index, options.fuzzy), KEY, "left")
     mapped, reason = gate_columns()
     value = F.when(F.col("mode") == "existing", F.col("value_input")).when(F.col("mode") == "gate", mapped).otherwise(size_and_age_value())
@@ -319,8 +312,8 @@ def _assemble(base: DataFrame, per_offer: DataFrame, index: ReferenceIndex, opti
     given = lambda name: F.flatten(F.transform(F.filter("entries", lambda i: i[name].isNotNull()), lambda i: i[name]))
     to_map = lambda items: F.map_from_entries(F.transform(items, lambda i: F.struct(i["char_name"], i["value"])))
     rows = rows.withColumns({
-        "cleared_items": of("cleared"), "new_items": F.array_sort(F.concat(of("new"), "words")),
-        "audit_rejected": F.transform(of("rejected"), lambda i: i["char_name"]), "kept": to_map(of("kept")),
+        "cleared_items": of("cleared"), "new_items": F.sort_array(F.concat(of("new"), "words")),
+        "audit_rejected": of("rejected")["char_name"], "kept": to_map(of("kept")),
         "review": given("review"), "rejected": F.array_sort(given("rejected")),
     })
     # rules skip attributes that hold a value, knowledge and image values do too; suggestions answer a request
@@ -329,8 +322,7 @@ def _assemble(base: DataFrame, per_offer: DataFrame, index: ReferenceIndex, opti
         lambda i: (i["prio"] == PRECEDENCE["suggestion"]) | ~F.map_contains_key(F.col("kept"), i["char_name"]),
     )
     rows = rows.withColumn("_items", free)
-    first = F.filter("_items", lambda i, n: F.array_position("_names", i["char_name"]) == n + 1)
-    rows = rows.withColumn("_names", F.transform("_items", lambda i: i["char_name"])).withColumn("_first", first)
+    rows = rows.withColumn("_first", F.filter("_items", lambda i, n: F.array_position(F.col("_items")["char_name"], i["char_name"]) == n + 1))
     named = F.create_map(*[F.lit(x) for source, n in PRECEDENCE.items() for x in (n, source)])
     rows = rows.withColumns({
         "new_chars": to_map(F.col("_first")),
@@ -354,15 +346,14 @@ def _assemble(base: DataFrame, per_offer: DataFrame, index: ReferenceIndex, opti
     )
     live = F.col("cat").isNotNull()
     no_names = F.array().cast("array<string>")
-    shown = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return shown.select(
+    return rows.select(
         F.col("shown_id").alias("offer_id"), "title", F.coalesce("category", F.lit("")).alias("original_cat"), "error_code",
         F.when((F.col("category_action") == "skip") & live & ((F.size("new_chars") > 0) | (F.size("cleared_items") > 0)), F.lit("updated"))
         .otherwise(F.col("category_action")).alias("action"),
         "new_category",
-        F.transform("cleared_items", lambda i: i["char_name"]).alias("cleared"),
+        F.col("cleared_items")["char_name"].alias("cleared"),
         "new_chars",
-        F.transform("_missing", lambda m: m["char_name"]).alias("missing_mandatory"),
+        F.col("_missing")["char_name"].alias("missing_mandatory"),
         (F.col("eligible") & (~live | (F.size("_missing") > 0))).alias("needs_manual"),
         "category_reason",
         why.alias("chars_reasons"),
