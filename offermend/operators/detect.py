@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from offermend import fixed_values as V
 from offermend.functions.text import WORD, norm_char_name, size_format, size_from_title, strip, to_number, word_pattern
 from offermend.operators.indexes import ReferenceIndex
+from offermend.session import staged
 
 
 @dataclass(frozen=True)
@@ -105,11 +106,11 @@ def _is_token(word: str) -> bool:
 def words_present(text: Column, words: list[str]) -> Column:
     """Those of the words that stand in the lower-cased text as whole words.
 
-    Single words are found by one set intersection with the text's tokens, phrases by search.
+    Every token of the text is looked up in one constant set of the single words, phrases are searched.
     """
     tokens = F.split(text, f"[^{WORD}]+")
     singles = [w for w in words if _is_token(w)]
-    found = [F.array_intersect(tokens, F.split(F.lit(" ".join(singles)), " "))] if singles else []
+    found = [F.filter(tokens, lambda t: t.isin(*singles))] if singles else []
     phrases = [w for w in words if not _is_token(w)]
     if phrases:
         found.append(
@@ -118,51 +119,51 @@ def words_present(text: Column, words: list[str]) -> Column:
     return F.concat(*found) if found else F.array().cast("array<string>")
 
 
-def fired_rules(rules: list[Rule], title: Column, text: Column) -> Column:
-    """Numbers of the rules whose words stand in the offer."""
+def _fired(rules: list[tuple[int, Rule]], present: Column) -> Column:
+    """Numbers of the rules one of whose words is present."""
+    # one constant each, so the plan holds a map and not a thousand literals; a map is searched from its
+    # start, so words are found by their first character first
+    of_word: dict[str, dict[str, list[int]]] = {}
+    for w in _words(rules):
+        of_word.setdefault(w[:1], {})[w] = [i for i, r in rules if w in r.words]
+    numbers = F.from_json(F.lit(json.dumps(of_word)), "map<string,map<string,array<int>>>")
+    always = F.array(*[F.lit(i) for i, r in rules if not r.words]).cast("array<int>")
+    out = F.concat(always, F.flatten(F.transform(present, lambda w: F.element_at(F.element_at(numbers, F.substring(w, 1, 1)), w))))
+    for number, unless in [(i, r.unless) for i, r in rules if r.unless]:
+        out = F.when(F.arrays_overlap(F.array(*[F.lit(w) for w in unless]), present), F.array_remove(out, number)).otherwise(out)
+    return out
 
-    def fired(subset: list[tuple[int, Rule]], subject: Column) -> Column:
-        words = sorted({w for _, r in subset for w in r.words + r.unless})
-        # one constant each, so the plan holds a map and not a thousand literals
-        of_word = {w: [i for i, r in subset if w in r.words] for w in words}
-        numbers = F.from_json(F.lit(json.dumps(of_word)), "map<string,array<int>>")
-        always = F.array(*[F.lit(i) for i, r in subset if not r.words]).cast("array<int>")
-        blocked = [(i, F.array(*[F.lit(w) for w in r.unless])) for i, r in subset if r.unless]
 
-        def of_words(present: Column) -> Column:
-            out = F.concat(always, F.flatten(F.transform(present, lambda w: F.element_at(numbers, w))))
-            for number, unless in blocked:
-                out = F.when(F.arrays_overlap(unless, present), F.array_remove(out, number)).otherwise(out)
-            return out
-
-        # bound once per row: the words found are an argument, not searched again per use
-        return F.flatten(F.transform(F.array(words_present(subject, words)), of_words))
-
-    read_title = [(i, r) for i, r in enumerate(rules) if r.concept in V.TITLE_CONCEPTS]
-    read_both = [(i, r) for i, r in enumerate(rules) if r.concept not in V.TITLE_CONCEPTS]
-    return F.concat(*[fired(part, subject) for part, subject in ((read_title, title), (read_both, text)) if part])
+def _words(rules: list[tuple[int, Rule]]) -> list[str]:
+    return sorted({w for _, r in rules for w in r.words + r.unless})
 
 
 def detect_by_words(offers: DataFrame, resolved: DataFrame, rules: list[Rule]) -> DataFrame:
     """offers (cat, title, visible, ...) with ``detected``: array of (concept, step, rule, attribute,
     value), the first accepted rule per concept. No shuffle when the per-category lists broadcast."""
+    read_title = [(i, r) for i, r in enumerate(rules) if r.concept in V.TITLE_CONCEPTS]
+    read_both = [(i, r) for i, r in enumerate(rules) if r.concept not in V.TITLE_CONCEPTS]
     lowered = offers.withColumn("_title", F.lower(F.coalesce("title", F.lit("")))).withColumn(
         "_text", F.concat("_title", F.lit(" "), F.lower(F.coalesce("visible", F.lit(""))))
     )
-    fired = lowered.withColumn("_fired", fired_rules(rules, F.col("_title"), F.col("_text")))
-    hits = fired.join(resolved, "cat", "left").withColumn(
-        "_hits", F.filter("rules", lambda r: F.array_contains(F.col("_fired"), r["rule"]))
+    present = lowered.withColumns({
+        "_in_title": words_present(F.col("_title"), _words(read_title)), "_in_text": words_present(F.col("_text"), _words(read_both))
+    })
+    fired = F.concat(*[_fired(part, F.col(c)) for part, c in ((read_title, "_in_title"), (read_both, "_in_text")) if part])
+    fired = present.withColumn("_fired", F.array_distinct(fired))
+    # the rules of a category by their number, so that those fired are fetched and the others not looked at
+    placed = resolved.select("cat", F.transform(
+        F.sequence(F.lit(0), F.lit(max(0, len(rules) - 1))), lambda n: F.get(F.filter("rules", lambda r: r["rule"] == n), F.lit(0))
+    ).alias("rules"))
+    hits = fired.join(placed, "cat", "left").withColumn(
+        "_hits", F.sort_array(F.array_compact(F.transform("_fired", lambda n: F.get("rules", n))))
     )
     first = F.filter("_hits", lambda r, i: (i == 0) | (F.get("_hits", i - 1)["concept"] != r["concept"]))
-    return hits.withColumn("detected", F.coalesce(first, F.array().cast(first_type()))).drop(
-        "_title", "_text", "_fired", "_hits", "rules"
+    return hits.withColumn("detected", first).drop(
+        "_title", "_text", "_in_title", "_in_text", "_fired", "_hits", "rules"
     )
 
 
-def first_type() -> str:
-    return "array<struct<concept:string,step:int,rule:int,attribute:string,value:string>>"
-
-
 def size_and_age(offers: DataFrame, concepts: DataFrame) -> DataFrame:
     """Proposals whose value comes from the text itself (offer_id, cat, concept, step, char_input,
     value_input, mode): the title's size in up to four forms and an age range of the description."""
@@ -219,13 +220,15 @@ def detect(
     from offermend.operators.matching import KEY, match_values
 
     rules = rules or builtin_rules()
-    concepts = applicable_concepts(index, names)
+    concepts = staged(applicable_concepts(index, names))
+    # markup is read once, and so are the proposals, which give the keys to match and take what was matched
+    offers = staged(offers.select("offer_id", "cat", "title", "visible", *[c for c in ("filled",) if c in offers.columns]))
     by_words = (
         detect_by_words(offers, resolve_rules(index, concepts, rules, fuzzy), rules)
         .select("offer_id", "cat", F.explode("detected").alias("d"))
         .select("offer_id", "cat", "d.concept", F.col("d.attribute").alias("char_name"), "d.value")
     )
-    read = size_and_age(offers, concepts)
+    read = staged(size_and_age(offers, concepts))
     by_text = (
         read.join(match_values(read, index, fuzzy), KEY)
         .withColumn("value", size_and_age_value())
