@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offermend.session import staged
+
 STRINGS = "map<string,string>"
 
 
@@ -52,7 +54,7 @@ def export_model_rows(offers: DataFrame, results: DataFrame) -> DataFrame:
     The pair columns are read from the row's own array, so nothing is pivoted across tasks; the one
     number that leaves the cluster is the width.
     """
-    rows = _merged(offers, results)
+    rows = staged(_merged(offers, results))  # read for the width and again for the rows
     width = max(1, rows.agg(F.max(F.size("merged"))).first()[0] or 0)
     base = [
         F.col("offer_id").alias("Internal ID"), F.col("title").alias("Name"), F.col("brand").alias("Brand"),
