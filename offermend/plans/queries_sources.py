@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from offermend import schemas
 from offermend.operators import report
 from offermend.plans.check_sql import with_views
 from offermend.plans.fixtures import load, reference
@@ -182,7 +183,7 @@ def run_log(spark, sf_dir):
     store.write_run_log(report.run_log_rows(saved_run(spark, sf_dir), run_options().codes), "r1")
     store.write_run_log(report.run_log_rows(saved_run(spark, sf_dir).where("needs_manual"), run_options().codes), "r2")
     store.expire("run_logs", 7)
-    return store.list_logs().where("run_id = 'r1'").select("run_id").join(store.read_log("r1").select("run_id", "offer_id"), "run_id")
+    return store.list_logs().where("run_id = 'r1'").select("run_id").join(store.read_log("r1", schemas.RUN_LOG).select("run_id", "offer_id"), "run_id")
 
 
 @query(

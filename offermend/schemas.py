@@ -46,6 +46,11 @@ RESULTS = (
     "category_reason string, chars_reasons map<string,string>, "
     "review array<struct<char_name:string,value_input:string,value:string,method:string,score:double,reason:string>>"
 )
+RUN_LOG = (
+    "offer_id string, title string, error_code string, action string, new_category string, new_chars map<string,string>, "
+    "cleared array<string>, reason string, category_reason string, chars_reasons map<string,string>, "
+    "missing_mandatory array<string>, unmapped boolean, logged_at string, day date, run_id string"
+)
 RUN_INDEX = "marketplace string, run_id string, run_ts timestamp"
 TABLES = {
     "categories": CATEGORIES,

@@ -121,11 +121,14 @@ class Store:
 
     def list_logs(self) -> DataFrame:
         """run_id, logged_at and rows of every stored log, newest first."""
-        logs = self.spark.read.json(self.path("run_logs"))
+        logs = self.spark.read.schema("logged_at string, day date, run_id string").json(self.path("run_logs"))
         return logs.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.max("logged_at").alias("logged_at"), F.count("*").alias("entries")).orderBy(F.desc("logged_at"))
 
-    def read_log(self, run_id: str) -> DataFrame:
-        return self.spark.read.json(self.path("run_logs")).where(F.col("run_id") == run_id)
+    def read_log(self, run_id: str, schema: str | None = None) -> DataFrame:
+        """Rows of a stored log. Without a ``schema`` (``schemas.RUN_LOG`` for logs of repairs) all logs are read once more
+        beforehand for their columns."""
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.json(self.path("run_logs")).where(F.col("run_id") == run_id)
 
     def expire(self, table: str, max_age_days: int, today: dt.date | None = None) -> list[str]:
         """Drop the day partitions older than ``max_age_days``; returns the days dropped."""
