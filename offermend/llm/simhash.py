@@ -107,8 +107,13 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 
 
 def _by_point(visits: DataFrame, radius: int) -> DataFrame:
+    """(a, b) pairs of the visitors (fp, point) of each point: its smallest and every other.
+
+    Sizes are estimated before visits are laid out, two thousand for a fingerprint, so the hint keeps them from being
+    broadcast through the driver as if they were few.
+    """
     least = visits.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")
-    both = visits.join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b"))
+    both = visits.hint("merge").join(least, "point").where("fp <> a").select("a", F.col("fp").alias("b"))
     return both.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 

@@ -73,3 +73,16 @@ def test_keep_one(spark):
     want = sorted({c for _, _, c in brute_classes(rows)})
     assert sorted(r["doc_id"] for r in got.collect()) == want
     assert simhash.keep_one(docs(spark, [])).count() == 0 and simhash.classes(docs(spark, [])).count() == 0
+
+
+def test_visits_are_not_broadcast(spark):
+    """A few fingerprints make so many visits that their estimated size says nothing."""
+    flips = simhash.near(2)
+    hot = [5, 5 ^ 1 << 40, 5 ^ 3 << 40, -1]
+    frame = spark.createDataFrame([(x,) for x in hot], "fp long")
+    visits = frame.selectExpr("fp", f"explode(array({', '.join(f'{x}L' if x > -(1 << 63) else 'bigint(-9223372036854775808)' for x in flips)})) AS x").selectExpr("fp", "fp ^ x AS point")
+    pairs = simhash._by_point(visits, 4)
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(r) for r in pairs.collect()}
+    assert found and all((a ^ b).bit_count() <= 4 and a < b for a, b in found)
+    assert {x for r in found for x in r} == set(hot[:3])
