@@ -14,8 +14,9 @@ positives too; what sums below the support goes. The words, the two parts of eve
 phrases meet by joins on the phrase itself; hashes only decide what is counted.
 
 With a fixed support the local one falls to a single occurrence once the corpus has about ``support``
-blocks. The result stays exact and the union is then no more than the result, but the first pass hands on
-every block's distinct phrases; for a corpus of that size choose a support that grows with it.
+blocks, and blocks would hand on all their distinct phrases. Where it would be below ``LEAST_LOCAL``, phrases
+are found by length instead: a pass counts those whose parts are frequent in all, by a code of 64 bits each, and the codes that reach the support make the bitmap that the next pass and the exact count use.
+Phrases of one code are summed together, so none is lost.
 
 Defined results: null text is empty, a null language is ``und`` (together with documents that say so);
 texts without words count nothing; ranks within equal score and count follow the phrase's bytes; rows that
@@ -39,6 +40,10 @@ from offermend.session import staged
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 BLOCK_BYTES = 48_000_000
+#: Below this local support of a block, phrases are found a length at a time.
+LEAST_LOCAL = 3
+#: Phrases of up to so many words get a pass for each length then.
+ALONE = 3
 #: Phrases handed on at a time.
 SLICE = 100_000
 #: Fewer, larger shards than the scan has tasks, down to this number, keep the local support up.
@@ -98,13 +103,38 @@ class Block:
         return [b" ".join([self.known[i] for i in row]) for row in self.words[where[:, None] + np.arange(k)].tolist()]
 
 
-def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Place in the bitmap of phrases given by the hashes of their words, a row each."""
+def _code(hashes: np.ndarray) -> np.ndarray:
+    """Codes of 64 bits of phrases given by the hashes of their words, a row each."""
     h = np.zeros(len(hashes), np.uint64)
     for column in hashes.T:
         h = (h ^ column) * ODD
         h ^= h >> np.uint64(32)
-    return (h * SPREAD >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
+    return h * SPREAD
+
+
+def _shift(bits: int) -> int:
+    """By how much a code is shifted to become a place in a bitmap."""
+    return 64 - int(math.log2(bits))
+
+
+def _coded(block: Block):
+    """A function of (k, where) that gives the codes of the block's phrases."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, block.known), np.uint64, len(block.known))
+    return lambda k, where: _code(hashes[block.words[where[:, None] + np.arange(k)]])
+
+
+def _through(codes, bitmap: np.ndarray):
+    """A function of (k, counts, where) that says which of a block's phrases have their bit set."""
+    shift = np.uint64(_shift(8 * len(bitmap)))
+
+    def passes(k: int, _counts, where: np.ndarray) -> np.ndarray:
+        out = np.empty(len(where), bool)
+        for i in range(0, len(where), SLICE):
+            at = (codes(k, where[i:i + SLICE]) >> shift).astype(np.int64)
+            out[i:i + SLICE] = bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        return out
+
+    return passes
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[str, int, int, Block]]:
@@ -143,13 +173,13 @@ def _said(schema: pa.Schema, lang: str, block: Block, k: int, where: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(numbers[i:i + SLICE], pa.int64())], schema=schema)
 
 
-def _weighed(docs: DataFrame, text: str, lang: str, block_bytes: int) -> DataFrame:
-    """(lang, text, total bytes of the language), in as few partitions as blocks of that size need."""
+def _weighed(docs: DataFrame, text: str, lang: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """(lang, text, total bytes of the language), in as few partitions as blocks of that size need, and all bytes."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
     totals = staged(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total")))
     whole = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, -(-whole // block_bytes))
-    return rows.join(small(totals), "lang").select("lang", "text", "total").coalesce(shards)
+    return rows.join(small(totals), "lang").select("lang", "text", "total").coalesce(shards), whole
 
 
 def mine(weighed: DataFrame, support: int = SUPPORT, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -174,8 +204,6 @@ def mine(weighed: DataFrame, support: int = SUPPORT, longest: int = LONGEST, blo
 
 def bitmap_of(found: DataFrame) -> np.ndarray:
     """The bitmap of the phrases found (a written table), as bytes of eight bits, of a bounded size."""
-    rows = found.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * rows - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed: dict[bytes, int] = {}
@@ -190,10 +218,15 @@ def bitmap_of(found: DataFrame) -> np.ndarray:
             if len(hashed) > 500_000:
                 hashed.clear()
             for rows_ in by_length.values():
-                yield pa.RecordBatch.from_arrays([pa.array(_bit(np.array(rows_, np.uint64), bits))], names=["bit"])
+                yield pa.RecordBatch.from_arrays([pa.array(_code(np.array(rows_, np.uint64)).view(np.int64))], names=["code"])
 
-    at = F.col("bit") + 1  # Spark's buckets of 32768 bits begin at 1
-    buckets = found.select("phrase").mapInArrow(run, "bit long").groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    return _bitmap(found.select("phrase").mapInArrow(run, "code long"), found.count())
+
+
+def _bitmap(codes: DataFrame, rows: int) -> np.ndarray:
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * rows - 1).bit_length()))
+    at = F.shiftrightunsigned("code", _shift(bits)) + 1  # Spark's buckets of 32768 bits begin at 1
+    buckets = codes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     whole = np.zeros(bits // 8, np.uint8)
     for row in buckets.toLocalIterator():  # at most MOST_BITS in all
         start = (row["bucket"] - 1) * 4096
@@ -201,24 +234,48 @@ def bitmap_of(found: DataFrame) -> np.ndarray:
     return whole
 
 
+def mine_lengths(weighed: DataFrame, shortest: int, longest: int, bitmap: np.ndarray | None, support: int = SUPPORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(code) of all phrases of ``shortest`` to ``longest`` words whose code occurs ``support`` times in all, of those
+    whose shorter parts the bitmap lets through."""
+    shared = weighed.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, block in _blocks(batches, block_bytes):
+            codes = _coded(block)
+            known = _through(codes, shared.value) if shortest > 1 else None
+            passes = lambda k, counts, where, known=known: known(k, counts, where) if k < shortest else np.ones(len(where), bool)
+            for k, where, counts in block.phrases(passes, longest):
+                for i in range(0, len(where) if k >= shortest else 0, SLICE):
+                    yield pa.RecordBatch.from_arrays([pa.array(codes(k, where[i:i + SLICE]).view(np.int64)), pa.array(counts[i:i + SLICE], pa.int64())], names=["code", "n"])
+
+    # a block's codes are distinct, so they are dealt as they are
+    found = weighed.mapInArrow(run, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
+    return found.where(F.col("n") >= support).select("code")
+
+
+def bitmap_by_length(weighed: DataFrame, support: int = SUPPORT, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """The bitmap of all phrases that may be frequent in all, found step by step: a pass hands on a code and a count for
+    each phrase of a block whose parts are frequent in all. Phrases of over ``ALONE`` words, which are few, share a pass."""
+    found, rows, bitmap = None, 0, None
+    steps = [(k, k) for k in range(1, min(ALONE, longest) + 1)] + [(ALONE + 1, longest)] * (longest > ALONE)
+    for first, last in steps:
+        part = staged(mine_lengths(weighed, first, last, bitmap, support, block_bytes))
+        here = part.count()
+        if bitmap is not None and not here:
+            break
+        found, rows = part if found is None else found.union(part), rows + here
+        bitmap = _bitmap(found, rows)
+    return bitmap
+
+
 def count(weighed: DataFrame, bitmap: np.ndarray, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, a): exact occurrences of every phrase the bitmap lets through; a null phrase counts all words."""
     shared = weighed.sparkSession.sparkContext.broadcast(bitmap)
-    bits = 8 * len(bitmap)
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, _, _, block in _blocks(batches, block_bytes):
-            words = block.words
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, block.known), np.uint64, len(block.known))
-
-            def passes(k: int, _counts, where, words=words, hashes=hashes) -> np.ndarray:
-                out = np.empty(len(where), bool)
-                for i in range(0, len(where), SLICE):
-                    at = _bit(hashes[words[where[i:i + SLICE, None] + np.arange(k)]], bits)
-                    out[i:i + SLICE] = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-                return out
-
+            words, passes = block.words, _through(_coded(block), shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(np.count_nonzero(words))], pa.int64())], schema=schema)
             for k, where, counts in block.phrases(passes, longest):
                 yield from _said(schema, lang, block, k, where, counts)
@@ -228,9 +285,12 @@ def count(weighed: DataFrame, bitmap: np.ndarray, longest: int = LONGEST, block_
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = SUPPORT, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, a) of all phrases of 1 to ``longest`` words that occur ``support`` times or more, and a null phrase with all words of the language; a written table."""
-    weighed = _weighed(docs, text, lang, block_bytes)
-    found = staged(mine(weighed, support, longest, block_bytes))
-    counted = count(weighed, bitmap_of(found), longest, block_bytes)
+    weighed, whole = _weighed(docs, text, lang, block_bytes)
+    if support * block_bytes > (LEAST_LOCAL - 1) * whole:
+        bitmap = bitmap_of(staged(mine(weighed, support, longest, block_bytes)))
+    else:
+        bitmap = bitmap_by_length(weighed, support, longest, block_bytes)
+    counted = count(weighed, bitmap, longest, block_bytes)
     return staged(counted.where((F.col("a") >= support) | F.col("phrase").isNull()))
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from llm.helpers import docs, rows_of
 
 from offermend.llm import collocations
@@ -68,5 +69,21 @@ def test_lowered_support_loses_nothing(spark):
     assert rows_of(collocations.collocations(docs(spark, rows).repartition(9), block_bytes=2000)) == want
 
 
+def test_phrases_found_by_length(spark, monkeypatch):
+    """Blocks whose local support would be 1 do not hand on all their distinct phrases."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["new york city hall", f"w{rng.randrange(10**6)}"]) for _ in range(60)), "en") for i in range(200)]
+    frame = docs(spark, rows).repartition(6)
+    want = brute(rows, 20)
+    assert want and rows_of(collocations.collocations(frame, support=20, block_bytes=500)) == want
+    weighed, whole = collocations._weighed(frame, "text", "lang", 500)
+    assert 20 * 500 < whole
+    monkeypatch.setattr(collocations, "mine", None)  # it would hand on all
+    assert rows_of(collocations.collocations(frame, support=20, block_bytes=500)) == want
+    bitmap = collocations.bitmap_by_length(weighed, 20, 5, 500)
+    frequent = sum(1 for k in range(1, 6) for a in Counter(p for _, t, _ in rows for w in [t.split()] for p in zip(*[w[i:] for i in range(k)], strict=False)).values() if a >= 20)
+    assert 0 < np.unpackbits(bitmap).sum() <= frequent
+
+
 def test_empty_table(spark):
     assert collocations.collocations(docs(spark, [])).count() == 0
