@@ -10,8 +10,10 @@ from offermend import schemas
 from offermend.functions.html import strip_html
 from offermend.operators import detect, report
 from offermend.operators.export import export_model_rows
+from offermend.plans import process_offers as process
 from offermend.plans.process_offers import _read_once
 from offermend.plans.runs import fixture_offers, fresh_run, located, run_options
+from offermend.session import staged
 from offermend.sources.store import Store
 
 
@@ -46,6 +48,20 @@ def test_a_run_reads_sizes_and_ages_once(results):
     assert [o for o, _ in got] == ["1", "1", "1", "2", "3", "4", "5", "6"] and len({a for o, a in got if o == "1"}) == 1
 
 
+def test_image_values_are_opened_in_place_and_turned_down_in_order(spark, folder, monkeypatch):
+    fx, index, offers = located(spark, folder)
+    seen = offers.selectExpr("offer_id", "inline(array(named_struct('char_input', 'Nope', 'value_input', 'red'), named_struct('char_input', 'Color', 'value_input', 'zzqq'), named_struct('char_input', 'Nope', 'value_input', 'blue')))")
+    written = []
+    monkeypatch.setattr(process, "staged", lambda frame: written.append(staged(frame)) or written[-1])
+    rows = process.process_offers(fixture_offers(fx), index, run_options(image_values=seen.where("offer_id <> '1'").distinct()))
+    long = [w for w in written if "source" in w.columns]
+    assert long and not any(w.where("source = 'image'").count() for w in long)
+    got = {r.offer_id: [(x.source, x.char_name, x.value_input, x.reason) for x in r.rejected] for r in rows.where("cat IS NOT NULL").collect()}
+    none, unlisted = "char_not_in_characteristics", "value_not_in_values_table"
+    asked = [("image", "Color", "zzqq", unlisted), ("image", "Nope", "blue", none), ("image", "Nope", "red", none)]
+    assert len(got) > 2 and got.pop("1") == [] and all(v == asked for v in got.values())
+
+
 def test_copies_are_numbered_apart_and_dealt_without_a_digest(spark, folder):
     fx, _, _ = located(spark, folder)
     rows = _read_once(fixture_offers(fx), run_options())
